@@ -21,8 +21,22 @@ def op6_shard_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op10_fm_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fm_index import mark
+
+    docs, bench = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return mark(docs, bench, ["doc_id"]).select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_url_filter, op6_shard_tree)}
+    return {f.__name__: f for f in (op1_url_filter, op6_shard_tree, op10_fm_decontaminate)}
 
 
 def oracle_sql() -> dict:
