@@ -14,6 +14,16 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), URL_RULES)
 
 
+def op4_token_fst(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .token_fst import count_tokens
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    counted = count_tokens(docs, ["doc_id"], str(public_tokenizers.path("byte_bpe_50k.json")))
+    return counted.withColumn("over_limit", F.col("n_tokens") > 512)
+
+
 def op6_shard_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .shard_tree import assign, layout
 
@@ -36,7 +46,7 @@ def op10_fm_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_url_filter, op6_shard_tree, op10_fm_decontaminate)}
+    return {f.__name__: f for f in (op1_url_filter, op4_token_fst, op6_shard_tree, op10_fm_decontaminate)}
 
 
 def oracle_sql() -> dict:
