@@ -24,6 +24,12 @@ def op4_token_fst(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
+def op5_pii_transducers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import detect
+
+    return detect(spark.read.parquet(f"{sf_dir}/documents.parquet"), ["doc_id"])
+
+
 def op6_shard_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .shard_tree import assign, layout
 
@@ -31,6 +37,25 @@ def op6_shard_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op8_nbest_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .piece_lattice import encode
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    encoded = encode(docs, ["doc_id"], str(public_tokenizers.path("piece_bpe_32k.model")), n_best=3, ids=False)
+    return encoded.select(
+        "doc_id",
+        "n_pieces",
+        F.round(F.col("scores")[0], 6).alias("best_score"),
+        F.size("scores").alias("n_best"),
+        F.round(F.col("scores")[0] - F.try_element_at("scores", F.lit(2)), 6).alias("gap_to_second"),
+        F.round(F.col("scores")[0] - F.try_element_at("scores", F.lit(3)), 6).alias("gap_to_third"),
+        "ids_sha256",
+        "decodes",
+    )
+
+
 def op10_fm_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .fm_index import mark
 
@@ -46,7 +71,7 @@ def op10_fm_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_url_filter, op4_token_fst, op6_shard_tree, op10_fm_decontaminate)}
+    return {f.__name__: f for f in (op1_url_filter, op4_token_fst, op5_pii_transducers, op6_shard_tree, op8_nbest_pieces, op10_fm_decontaminate)}
 
 
 def oracle_sql() -> dict:
