@@ -14,6 +14,13 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), URL_RULES)
 
 
+def op3_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .weak_quality import classify
+
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return classify(docs, ["doc_id"], labels)
+
+
 def op4_token_fst(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -71,7 +78,7 @@ def op10_fm_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_url_filter, op4_token_fst, op5_pii_transducers, op6_shard_tree, op8_nbest_pieces, op10_fm_decontaminate)}
+    return {f.__name__: f for f in (op1_url_filter, op3_weak_quality, op4_token_fst, op5_pii_transducers, op6_shard_tree, op8_nbest_pieces, op10_fm_decontaminate)}
 
 
 def oracle_sql() -> dict:
