@@ -14,6 +14,12 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), URL_RULES)
 
 
+def op2_minhash_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dup import near_duplicates
+
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op3_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .weak_quality import classify
 
@@ -78,7 +84,7 @@ def op10_fm_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_url_filter, op3_weak_quality, op4_token_fst, op5_pii_transducers, op6_shard_tree, op8_nbest_pieces, op10_fm_decontaminate)}
+    return {f.__name__: f for f in (op1_url_filter, op2_minhash_odd_sketch, op3_weak_quality, op4_token_fst, op5_pii_transducers, op6_shard_tree, op8_nbest_pieces, op10_fm_decontaminate)}
 
 
 def oracle_sql() -> dict:
