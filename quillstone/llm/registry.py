@@ -50,6 +50,12 @@ def op6_shard_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op7_rlz_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .rlz_dedup import remove_duplicates
+
+    return remove_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), ["doc_id"], texts=False)
+
+
 def op8_nbest_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -84,7 +90,7 @@ def op10_fm_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_url_filter, op2_minhash_odd_sketch, op3_weak_quality, op4_token_fst, op5_pii_transducers, op6_shard_tree, op8_nbest_pieces, op10_fm_decontaminate)}
+    return {f.__name__: f for f in (op1_url_filter, op2_minhash_odd_sketch, op3_weak_quality, op4_token_fst, op5_pii_transducers, op6_shard_tree, op7_rlz_dedup, op8_nbest_pieces, op10_fm_decontaminate)}
 
 
 def oracle_sql() -> dict:
