@@ -1,11 +1,266 @@
-"""Queries of the search engine and their SQL counterparts."""
+"""Queries of the search engine over the documents table, one for each operator."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .functions.scoring import FIELDS, decode_postings, encode_posting, idf
+from .functions.stemming import stemmer
+from .functions.text import INDEX_V1, INDEX_V2, QUERY, clean, drop_stop_words, tokens, tokens_of_fragments
+from .operators import extract as X
+from .operators import postings as P
+from .operators.queryparse import classify, parse
+from .operators.search import search
+from .oracle import SHARD_SIZE, oracles
+from .sources.pages import markup_pages
 
-def oracle_sql() -> dict:
-    return {}
+#: Query lines that the search queries answer.
+LINES = (
+    (1, "thtion onere"),
+    (2, "thor thor The 25kmph"),
+    (3, "b:thor reti i:src1 c:en src2 onere"),
+    (4, "t:document b:erhe"),
+    (5, "t:12 document t:13"),
+    (6, "see http://x.com now"),
+    (7, "t:a foo:b"),
+    (8, "T:abc"),
+    (9, ""),
+    (10, "erhe t:src3"),
+    (11, "t:src5 src5 b:thor:reti"),
+    (12, "l:site r:note alpha c:docs"),
+    (13, "don't re-read http://a.b/c (thor)"),
+)
+CHUNK = 10_000
+
+
+def lines(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(LINES), "query_id int, line string")
+
+
+def _cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markup_pages(spark, sf_dir).select("doc_ord", clean(F.col("text")).alias("text"))
+
+
+def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bare = _cleaned(spark, sf_dir).select("doc_ord", X.strip_infobox(F.col("text")).alias("text"))
+    return bare.select("doc_ord", X.section(F.col("text"), X.REFERENCE_HEADINGS, 1).alias("body"), X.section(F.col("text"), X.REFERENCE_HEADINGS, 2).alias("refs"))
+
+
+def _exploded(df: DataFrame, column, name: str = "fragment") -> DataFrame:
+    return df.select("doc_ord", F.posexplode(column).alias("pos", name))
+
+
+def _fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.extract_fields(markup_pages(spark, sf_dir))
+
+
+def _postings(spark: SparkSession, sf_dir: str, stem: bool = False) -> DataFrame:
+    return P.postings(P.field_tokens(_fields(spark, sf_dir)), stem)
+
+
+def _counted(df: DataFrame, column) -> DataFrame:
+    return df.select("doc_ord", F.explode(column).alias("token")).groupBy("doc_ord", "token").agg(F.count("*").alias("n"))
+
+
+def pages_markup_view(spark, d):
+    return markup_pages(spark, d)
+
+
+def clean_casefold(spark, d):
+    return _cleaned(spark, d)
+
+
+def infobox_extract(spark, d):
+    return _exploded(_cleaned(spark, d), X.fragments(F.col("text"), X.INFOBOX))
+
+
+def infobox_strip(spark, d):
+    return _cleaned(spark, d).select("doc_ord", X.strip_infobox(F.col("text")).alias("text"))
+
+
+def references_split(spark, d):
+    return _parts(spark, d)
+
+
+def category_extract(spark, d):
+    return _exploded(_parts(spark, d), X.fragments(F.col("refs"), X.CATEGORY))
+
+
+def category_strip(spark, d):
+    return _parts(spark, d).select("doc_ord", X.strip_categories(F.col("refs")).alias("refs"))
+
+
+def external_links_split(spark, d):
+    refs = category_strip(spark, d)
+    return refs.select("doc_ord", X.section(F.col("refs"), X.LINK_HEADINGS, 1).alias("refs"), X.section(F.col("refs"), X.LINK_HEADINGS, 2).alias("links"))
+
+
+def links_extract(spark, d):
+    return _exploded(external_links_split(spark, d), X.fragments(F.col("links"), X.LINK))
+
+
+def references_extract(spark, d):
+    return _exploded(external_links_split(spark, d), X.fragments(F.col("refs"), X.REFERENCE))
+
+
+def tokenize_v1(spark, d):
+    return _counted(_cleaned(spark, d), tokens(F.col("text"), INDEX_V1))
+
+
+def tokenize_v2(spark, d):
+    return _counted(_cleaned(spark, d), tokens(F.col("text"), INDEX_V2))
+
+
+def tokenize_query(spark, d):
+    return _counted(markup_pages(spark, d), tokens(F.col("text"), QUERY))
+
+
+def tokenize_fragments(spark, d):
+    return _counted(_fields(spark, d), tokens_of_fragments(F.concat("infobox", "category", "links", "references"), INDEX_V2))
+
+
+def stopword_filter(spark, d):
+    return _counted(_cleaned(spark, d), drop_stop_words(tokens(F.col("text"), INDEX_V1), INDEX_V1))
+
+
+def length_filter(spark, d):
+    return _counted(_cleaned(spark, d), drop_stop_words(tokens(F.col("text"), INDEX_V2), INDEX_V2))
+
+
+def stem_vocabulary(spark, d):
+    words = P.field_tokens(_fields(spark, d)).select("token").distinct()
+    return words.select("token", stemmer(spark)(F.col("token")).alias("stem"))
+
+
+def field_term_counts(spark, d):
+    return _postings(spark, d)
+
+
+def field_term_counts_stemmed(spark, d):
+    return _postings(spark, d, stem=True)
+
+
+def field_term_counts_v1(spark, d):
+    return P.postings(P.field_tokens(_fields(spark, d), INDEX_V1), stem=False)
+
+
+def posting_encode(spark, d):
+    return _postings(spark, d).select("token", "doc_ord", encode_posting().alias("posting"))
+
+
+def posting_list(spark, d):
+    return P.posting_lists(_postings(spark, d))
+
+
+def posting_decode(spark, d):
+    decoded = posting_list(spark, d).select("token", F.explode(decode_postings(F.col("postings"))).alias("p"))
+    return decoded.select("token", "p.doc_ord", *(f"p.{f}" for f in FIELDS))
+
+
+def chunk_merge(spark, d):
+    pages = markup_pages(spark, d)
+    halves = [P.postings(P.field_tokens(X.extract_fields(pages.where(F.col("doc_ord") % 2 == i))), stem=False) for i in (0, 1)]
+    return P.posting_lists(P.merge_postings(halves))
+
+
+def document_frequency(spark, d):
+    return P.document_frequencies(_postings(spark, d))
+
+
+def idf_table(spark, d):
+    n = markup_pages(spark, d).agg(F.count("*").alias("n_docs"))
+    return document_frequency(spark, d).crossJoin(n).select("token", "df", F.round(idf(F.col("n_docs"), F.col("df")), 6).alias("idf"))  # n is one row
+
+
+def vocab_shards(spark, d):
+    return P.vocabulary_shards(document_frequency(spark, d), SHARD_SIZE)
+
+
+def secondary_index(spark, d):
+    return P.secondary_index(vocab_shards(spark, d))
+
+
+def shard_lookup(spark, d):
+    words = document_frequency(spark, d).select("token")
+    wanted = words.unionByName(words.select(F.concat("token", F.lit("x")).alias("token"))).unionByName(spark.createDataFrame([("!",), ("zzzzz",)], "token string")).distinct()
+    return P.shard_lookup(wanted, secondary_index(spark, d))
+
+
+def title_address(spark, d):
+    return markup_pages(spark, d).select("doc_ord", F.floor(F.col("doc_ord") / CHUNK).alias("chunk"), (F.col("doc_ord") % CHUNK).alias("line"))
+
+
+def title_lookup(spark, d):
+    wanted = document_hits(spark, d)
+    return wanted.join(markup_pages(spark, d).select("doc_ord", "title"), "doc_ord").select("token", "doc_ord", "title")
+
+
+def document_hits(spark, d):
+    """Postings of some tokens: a filter that reaches the scan of a stored index."""
+    return _postings(spark, d).where(F.col("token").isin("thor", "onere", "src1")).select("token", "doc_ord")
+
+
+def corpus_stats(spark, d):
+    return P.corpus_statistics(markup_pages(spark, d), _postings(spark, d))
+
+
+def index_stats(spark, d):
+    vocabulary = document_frequency(spark, d)
+    return vocabulary.agg(F.count("*").alias("vocabulary"), F.ceil(F.count("*") / (SHARD_SIZE + 1)).alias("shards"))
+
+
+def query_classify(spark, d):
+    return classify(lines(spark))
+
+
+def query_parse(spark, d):
+    return parse(lines(spark), stem=False)
+
+
+def _search(spark, d, which, **options):
+    pages = markup_pages(spark, d)
+    found = _postings(spark, d, options.get("stem", False))
+    n = pages.agg(F.count("*").alias("n_docs"))
+    asked = lines(spark).where(F.col("query_id").isin(*which)) if which else lines(spark)
+    return search(asked, found, P.document_frequencies(found), n, pages.select("doc_ord", "title"), **({"stem": False} | options))
+
+
+def search_free_text(spark, d):
+    return _search(spark, d, (1,))
+
+
+def search_field(spark, d):
+    return _search(spark, d, (3,))
+
+
+def search_batch(spark, d):
+    return _search(spark, d, ())
+
+
+def search_aggregated(spark, d):
+    return _search(spark, d, (), aggregate=True)
+
+
+def search_stemmed(spark, d):
+    return _search(spark, d, (), stem=True)
+
+
+_QUERIES = (
+    pages_markup_view, clean_casefold, infobox_extract, infobox_strip, references_split, category_extract, category_strip,
+    external_links_split, links_extract, references_extract, tokenize_v1, tokenize_v2, tokenize_query, tokenize_fragments,
+    stopword_filter, length_filter, stem_vocabulary, field_term_counts, field_term_counts_stemmed, field_term_counts_v1,
+    posting_encode, posting_list, posting_decode, chunk_merge, document_frequency, idf_table, vocab_shards, secondary_index,
+    shard_lookup, title_address, title_lookup, document_hits, corpus_stats, index_stats, query_classify, query_parse,
+    search_free_text, search_field, search_batch, search_aggregated, search_stemmed,
+)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {f.__name__: f for f in _QUERIES}
+
+
+def oracle_sql() -> dict[str, str]:
+    return oracles(LINES, CHUNK)
