@@ -8,10 +8,11 @@
 3. The members of a band bucket are compared with the bucket's smallest member, never all with all: pairs
    whose sketches estimate less than REJECT (some five standard deviations below the bound) are dropped,
    and of the others first the one with the smallest partner is confirmed on the full sets.
-4. Confirmed links give components. Only pairs whose members are in different components yet are
-   confirmed next: first those with other buckets' smallest members, then, in buckets that still hold
-   several components, every member outside the bucket's largest component against the rest. So no
-   candidate is lost, and a group of copies costs one comparison a member.
+4. Confirmed links give components. In buckets that hold several components yet, a member may be linked with
+   another one than the smallest. Members that such buckets connect are compared on their full sets, in
+   pairs of blocks of bounded size that return the links which join components, never all pairs. So no
+   candidate is lost; a group of copies costs one comparison a member, and only groups whose members
+   are similar but not linked cost more.
 
 A link needs 100 * |A and B| >= threshold * |A or B|, counted on the full sets. Sets hold 64-bit hashes;
 two different shingles of compared texts share one with a probability of some 1e-13 a pair.
@@ -45,6 +46,8 @@ SKETCH_BITS = 512
 REJECT = 0.55
 #: Shingles that are hashed at once, so that they stay in the cache.
 TILE = 16_384
+#: Of a block of nodes that are compared with each other: nodes, shingles; and columns of a matrix at once.
+BLOCK_ROWS, BLOCK_SHINGLES, MATRIX_COLUMNS = 1024, 1_000_000, 4096
 
 _rng = np.random.default_rng(20240229)
 MULTIPLIERS = _rng.integers(1, 1 << 63, BANDS * ROWS, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -181,6 +184,75 @@ def _likely(pairs: DataFrame, sketches: DataFrame, threshold: int) -> DataFrame:
     return both.where(fits & (estimate(F.col("s_a"), F.col("s_b")) >= REJECT)).select("a", "b").distinct()
 
 
+def _settle(open_: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """Links (a, b) that join components, among nodes that shared buckets (node, lead, label) connect.
+
+    Nodes that are connected through buckets make a group. Its full sets are compared in pairs of blocks of
+    bounded size, by the product of their incidence matrices; what leaves a pair of blocks is a spanning
+    forest of its components, never its pairs.
+    """
+    groups = components(open_.select(F.col("node").alias("a"), F.col("lead").alias("b")))
+    nodes = open_.select("node", "label").distinct().join(groups.withColumnRenamed("label", "group"), "node").join(sets.dropDuplicates(["node"]), "node")
+    nodes = materialize(nodes.select("group", "node", "label", "full"), "groups")
+    sizes = nodes.groupBy("group").agg(F.count("*").alias("m"), F.sum(F.size("full")).alias("s"))
+    sizes = sizes.select("group", F.greatest(F.ceil(F.col("m") / BLOCK_ROWS), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    split = nodes.join(sizes, "group").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    split = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    split = split.select("group", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "block", "node", "label", "full")
+
+    def compare(table: pa.Table) -> pa.Table:
+        return forest(table, threshold)
+
+    return split.groupBy("group", "b1", "b2").applyInArrow(compare, "a long, b long").distinct()
+
+
+def forest(table: pa.Table, threshold: int) -> pa.Table:
+    """Links between two blocks (or inside one) that join different labels, without cycles."""
+    block = table["block"].to_numpy()
+    node, label = table["node"].to_numpy(), table["label"].to_numpy()
+    full = table["full"].combine_chunks()
+    size = np.diff(full.offsets.to_numpy())
+    values = full.values.to_numpy()[full.offsets[0].as_py() : full.offsets[-1].as_py()]
+    kinds, code, seen = np.unique(values, return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(node)), size)
+    shared = seen[code] > 1  # a shingle of one set only is in no intersection
+    row, code = row[shared], np.unique(code[shared], return_inverse=True)[1]
+    order = np.argsort(code, kind="stable")
+    row, code = row[order], code[order]
+    left = np.flatnonzero(block == table["b1"][0].as_py())
+    right = np.flatnonzero(block == table["b2"][0].as_py())
+    both = np.zeros((len(left), len(right)), np.float32)
+    place = np.zeros(len(node), np.int64)
+    place[left] = np.arange(len(left))
+    place_right = np.zeros(len(node), np.int64)
+    place_right[right] = np.arange(len(right))
+    in_left, in_right = np.isin(row, left), np.isin(row, right)
+    for first in range(0, int(code[-1]) + 1 if len(code) else 0, MATRIX_COLUMNS):
+        a, z = np.searchsorted(code, [first, first + MATRIX_COLUMNS])
+        x, y = np.zeros((len(left), MATRIX_COLUMNS), np.float32), np.zeros((len(right), MATRIX_COLUMNS), np.float32)
+        l, r = np.flatnonzero(in_left[a:z]) + a, np.flatnonzero(in_right[a:z]) + a
+        x[place[row[l]], code[l] - first] = 1
+        y[place_right[row[r]], code[r] - first] = 1
+        both += x @ y.T
+    union = size[left][:, None] + size[right][None, :] - both
+    i, j = np.nonzero((100 * both >= threshold * union) & (label[left][:, None] != label[right][None, :]))
+    parent = {int(x): int(x) for x in np.unique(label)}
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    found = []
+    for a, b in zip(left[i].tolist(), right[j].tolist()):
+        x, y = root(int(label[a])), root(int(label[b]))
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            found.append((int(node[a]), int(node[b])))
+    return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
+
+
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept) of every row; component_id is the smallest id reachable over links."""
     rows = materialize(_signatures(docs, id_col, text_col), "signatures")
@@ -203,32 +275,13 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "
     links = materialize(_confirm(nearest, sets, threshold), "links")
     labels = components(links)
 
-    def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-        found = pairs
-        for side in ("a", "b"):
-            found = found.join(labels.select(F.col("node").alias(side), F.col("label").alias(f"l_{side}")), side, "left")
-            found = found.withColumn(f"l_{side}", F.coalesce(f"l_{side}", side))
-        return found.where(F.col("l_a") != F.col("l_b")).select("a", "b")
-
-    more = materialize(_confirm(apart(likely.join(nearest, ["a", "b"], "left_anti"), labels), sets, threshold), "links")
+    # buckets that still hold several components
+    labelled = members.select("key", "lead", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    mixed = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where(F.col("x") < F.col("y"))
+    open_ = materialize(labelled.join(mixed.select("key"), "key").select("node", "lead", "label").distinct(), "open")
+    more = materialize(_settle(open_, sets, threshold), "links")
     if not more.isEmpty():
-        links = links.unionByName(more)
-        labels = components(links)
-
-    # buckets that still hold several components: members outside the largest one against the rest
-    labelled = members.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-    sizes = labelled.groupBy("key", "label").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("key").agg(F.max(F.struct("n", "label"))["label"].alias("main"), F.count("*").alias("k")).where(F.col("k") > 1)
-    open_ = materialize(labelled.join(main.select("key", "main"), "key"), "open")
-    pivots = open_.where(F.col("label") != F.col("main")).select("key", F.col("node").alias("p"), F.col("label").alias("p_label"))
-    rest = open_.select("key", F.col("node").alias("q"), F.col("label").alias("q_label"))
-    pairs = pivots.join(rest, "key").where((F.col("p_label") != F.col("q_label")) & (F.col("p") != F.col("q")))
-    pairs = pairs.select(F.greatest("p", "q").alias("a"), F.least("p", "q").alias("b")).distinct().join(likely, ["a", "b"], "left_anti")
-    rest_pairs = materialize(_likely(pairs, sketches, threshold), "pairs")
-    if not rest_pairs.isEmpty():
-        last = materialize(_confirm(rest_pairs, sets, threshold), "links")
-        if not last.isEmpty():
-            labels = components(links.unionByName(last))
+        labels = components(links.unionByName(more))
 
     component = classes.select("same", "node").join(labels, "node", "left").select("same", F.coalesce("label", "node").alias("component_id"))
     out = rows.select("id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.col("same")).alias("same")).join(component, "same", "left")
