@@ -75,6 +75,12 @@ def op8_nbest_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .multi_index import search
+
+    return search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op10_fm_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .fm_index import mark
 
@@ -90,7 +96,7 @@ def op10_fm_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_url_filter, op2_minhash_odd_sketch, op3_weak_quality, op4_token_fst, op5_pii_transducers, op6_shard_tree, op7_rlz_dedup, op8_nbest_pieces, op10_fm_decontaminate)}
+    return {f.__name__: f for f in (op1_url_filter, op2_minhash_odd_sketch, op3_weak_quality, op4_token_fst, op5_pii_transducers, op6_shard_tree, op7_rlz_dedup, op8_nbest_pieces, op9_multi_index, op10_fm_decontaminate)}
 
 
 def oracle_sql() -> dict:
