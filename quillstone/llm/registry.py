@@ -100,4 +100,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {}
+    from .oracle import oracles
+
+    return oracles()
