@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 #: Words remembered in a worker.
-MAX_WORDS = 500_000
+MAX_WORDS = 200_000
 #: Lower-cases A-Z and nothing else.
 FOLD = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)

@@ -26,6 +26,7 @@ are cut alike; an empty table gives an empty result; other columns don't matter,
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -39,9 +40,9 @@ from ._words import WordHasher, mix, windows
 
 WINDOW, ANCHOR = 13, 4
 #: Text of a reference block that a task indexes at once.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 3 << 20
 #: Input bytes, as stored, of a group of anchors.
-GROUP_BYTES = 8 << 20
+GROUP_BYTES = 1 << 20
 
 FACTOR = np.dtype([("start", "<i4"), ("length", "<i4"), ("ref_id", "<i8"), ("ref_start", "<i4")])
 
@@ -114,16 +115,11 @@ def parse(rows: np.ndarray, doc: np.ndarray, start: np.ndarray, ref_id: np.ndarr
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
-    import zstandard
-
-    body = b"".join(a.tobytes() for a in arrays)
-    return zstandard.ZstdCompressor(level=1).compress(body)
+    return zlib.compress(b"".join(a.tobytes() for a in arrays), 1)
 
 
 def _unpack(raw: bytes) -> bytes:
-    import zstandard
-
-    return zstandard.ZstdDecompressor().decompress(raw)
+    return zlib.decompress(raw)
 
 
 def _by_document(ids: np.ndarray, tags: np.ndarray, doc: np.ndarray, found: np.ndarray):
@@ -139,7 +135,7 @@ def _by_document(ids: np.ndarray, tags: np.ndarray, doc: np.ndarray, found: np.n
 
 def _rows_of(group: list[int], body: list[bytes | None], ids: list, tags: list, factors: list[bytes | None]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.array(group, pa.int32()), pa.array(body, pa.binary()), pa.array(ids, pa.int64()), pa.array(tags, pa.int64()), pa.array(factors, pa.binary())],
+        [pa.array(group, pa.int32()), pa.array(body, pa.binary()), pa.array(ids, pa.int64()), pa.array(tags, pa.int32()), pa.array(factors, pa.binary())],
         names=["group", "body", "id", "tag", "factors"],
     )
 
@@ -190,8 +186,8 @@ def _read(body: bytes) -> tuple[np.ndarray, ...]:
     """Ids, tags, and for each window document, start, anchor and hash."""
     n, n_docs, n_windows, packed = np.frombuffer(body, np.int64, 4)
     small = _unpack(body[32 : 32 + packed])
-    cut = np.cumsum([8 * n_docs, 8 * n_docs, 4 * n, 4 * n])
-    ids, tags = np.frombuffer(small[: cut[0]], np.int64), np.frombuffer(small[cut[0] : cut[1]], np.int64)
+    cut = np.cumsum([8 * n_docs, 4 * n_docs, 4 * n, 4 * n])
+    ids, tags = np.frombuffer(small[: cut[0]], np.int64), np.frombuffer(small[cut[0] : cut[1]], np.int32)
     code, start, size = np.frombuffer(small[cut[1] : cut[2]], np.uint32), np.frombuffer(small[cut[2] : cut[3]], np.int32), np.frombuffer(small[cut[3] :], np.uint8)
     anchor = np.frombuffer(body, np.uint64, n, 32 + packed)
     low = np.frombuffer(body, np.uint8, 6 * n_windows, 32 + packed + 8 * n).reshape(-1, 6)
@@ -206,7 +202,7 @@ def _parse_group(table: pa.Table) -> pa.Table:
     """Parse the segments of a group of anchors against all blocks' windows there."""
     done = table.filter(pa.compute.is_valid(table["factors"])).select(["id", "tag", "factors"])
     bodies = [_read(b) for b in table["body"].drop_null().to_pylist()]
-    schema = pa.schema([("id", pa.int64()), ("tag", pa.int64()), ("factors", pa.binary())])
+    schema = pa.schema([("id", pa.int64()), ("tag", pa.int32()), ("factors", pa.binary())])
     if not bodies:
         return done.cast(schema)
     ids, tags = np.concatenate([b[0] for b in bodies]), np.concatenate([b[1] for b in bodies])
@@ -251,19 +247,19 @@ def factors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 raws.append(r)
                 held += len(r)
                 if held >= BLOCK_BYTES:
-                    yield from _index_block(np.array(ids, np.int64), np.array(tags, np.int64), raws, hasher, groups)
+                    yield from _index_block(np.array(ids, np.int64), np.array(tags, np.int32), raws, hasher, groups)
                     ids, tags, raws, held = [], [], [], 0
         if ids:
-            yield from _index_block(np.array(ids, np.int64), np.array(tags, np.int64), raws, hasher, groups)
+            yield from _index_block(np.array(ids, np.int64), np.array(tags, np.int32), raws, hasher, groups)
 
     def parse_group(table):
         import pyarrow.compute  # noqa: F401
 
         return _parse_group(table)
 
-    rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("tag"), F.col(text_col).alias("text"))
-    sent = rows.mapInArrow(index, "group int, body binary, id long, tag long, factors binary")
-    parsed = sent.groupBy("group").applyInArrow(parse_group, "id long, tag long, factors binary")
+    rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.hash(text_col).alias("tag"), F.col(text_col).alias("text"))
+    sent = rows.mapInArrow(index, "group int, body binary, id long, tag int, factors binary")
+    parsed = sent.groupBy("group").applyInArrow(parse_group, "id long, tag int, factors binary")
     return parsed.groupBy("id", "tag").agg(F.collect_list("factors").alias("factors"))
 
 
@@ -301,7 +297,7 @@ def remove_duplicates(docs: DataFrame, keep: list[str], id_col: str = "doc_id",
     """The kept columns with n_words, n_removed and kept_sha256; with texts, the text column holds the kept words
     joined by spaces; with details, factors lists the parse: struct(start, length, ref_id, ref_start)."""
     found = factors(docs, id_col, text_col).select(F.col("id").alias("__id__"), F.col("tag").alias("__tag__"), F.col("factors").alias("__factors__"))
-    source = docs.withColumn("__hash__", F.xxhash64(text_col))
+    source = docs.withColumn("__hash__", F.hash(text_col))
     joined = source.join(found, (source[id_col] == found["__id__"]) & (source["__hash__"] == found["__tag__"]), "left")
     parts = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("length", T.IntegerType()), T.StructField("ref_id", T.LongType()), T.StructField("ref_start", T.IntegerType())]))
     fields = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())]
