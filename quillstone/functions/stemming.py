@@ -17,13 +17,15 @@ _memo: dict[str, str] = {}
 
 
 def stem_series(words: pd.Series) -> pd.Series:
-    """Stems of a batch: each distinct word is stemmed once while it is remembered."""
+    """Stems of a batch; a word is stemmed once while it is remembered, a null stays null."""
     if len(_memo) > MAX_WORDS:
         _memo.clear()
-    for w in words.dropna().unique():
-        if w not in _memo:
-            _memo[w] = stem(w)
-    return words.map(_memo)
+    found = list(map(_memo.get, words))
+    for i, s in enumerate(found):
+        if s is None and words.iloc[i] is not None:
+            w = words.iloc[i]
+            found[i] = _memo[w] = stem(w)
+    return pd.Series(found, index=words.index, dtype=object)
 
 
 def stemmer(spark: SparkSession) -> Callable[[Column], Column]:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import clean
+from ..runtime import spread
 
 INFOBOX = r"(?s)\{\{infobox(.*?)\}\}"
 CATEGORY = r"(?s)\[\[category:(.*?)\]\]"
@@ -39,7 +40,7 @@ def extract_fields(pages: DataFrame) -> DataFrame:
 
     Categories, links and references are read in the references section only, in this order.
     """
-    cleaned = pages.select("doc_ord", F.lower(F.coalesce("title", F.lit(""))).alias("title"), clean(F.col("text")).alias("text"))
+    cleaned = spread(pages.select("doc_ord", "title", "text")).select("doc_ord", F.lower(F.coalesce("title", F.lit(""))).alias("title"), clean(F.col("text")).alias("text"))
     boxed = cleaned.select("doc_ord", "title", fragments(F.col("text"), INFOBOX).alias("infobox"), strip_infobox(F.col("text")).alias("text"))
     parts = boxed.select("doc_ord", "title", "infobox", section(F.col("text"), REFERENCE_HEADINGS, 1).alias("body"), section(F.col("text"), REFERENCE_HEADINGS, 2).alias("refs"))
     listed = parts.withColumns({"category": fragments(F.col("refs"), CATEGORY), "refs": strip_categories(F.col("refs"))})

@@ -26,11 +26,12 @@ def field_tokens(fields: DataFrame, config: TokenizerConfig = INDEX_V2, extra_st
         return F.struct(F.lit(field).alias("field"), drop_stop_words(own, config, extra_stop_words).alias("tokens"))
 
     bags = fields.select("doc_ord", F.explode(F.array(*(found(f) for f in FIELDS))).alias("bag"))
-    return bags.select("doc_ord", F.col("bag.field").alias("field"), F.explode("bag.tokens").alias("token"))
+    # the array is a column of its own before it is exploded, so that no row carries it along
+    return bags.select("doc_ord", "bag.field", "bag.tokens").select("doc_ord", "field", F.explode("tokens").alias("token"))
 
 
 def postings(occurrences: DataFrame, stem: bool = True) -> DataFrame:
-    """(token, doc_ord, t, i, b, c, r, l): counts by field; one shuffle, with counting before it."""
+    """(token, doc_ord, t, i, b, c, r, l): counts by field, after one shuffle on (token, doc_ord) of what tasks have counted."""
     token = stemmer(occurrences.sparkSession)(F.col("token")) if stem else F.col("token")
     counts = [F.count_if(F.col("field") == f).cast("int").alias(f) for f in FIELDS]
     return occurrences.select("doc_ord", "field", token.alias("token")).groupBy("token", "doc_ord").agg(*counts)
@@ -91,12 +92,10 @@ def shard_lookup(words: DataFrame, index: DataFrame) -> DataFrame:
     return words.join(ranges, inside).select("token", "shard")
 
 
-def corpus_statistics(pages: DataFrame, found: DataFrame) -> DataFrame:
-    """One row: n_docs, vocabulary, n_postings, n_occurrences."""
+def corpus_statistics(pages: DataFrame, found: DataFrame, frequencies: DataFrame | None = None) -> DataFrame:
+    """One row: n_docs, vocabulary, n_postings, n_occurrences. The vocabulary is counted by frequencies, if these are stored already."""
     n = pages.agg(F.count("*").alias("n_docs"))
-    counts = found.agg(
-        F.count_distinct("token").alias("vocabulary"),
-        F.count("*").alias("n_postings"),
-        F.coalesce(F.sum(sum((F.col(f) for f in FIELDS[1:]), F.col("t"))), F.lit(0)).cast("long").alias("n_occurrences"),
-    )
-    return n.crossJoin(counts)  # one row with one row
+    frequencies = document_frequencies(found) if frequencies is None else frequencies
+    words = frequencies.agg(F.count("*").alias("vocabulary"), F.coalesce(F.sum("df"), F.lit(0)).cast("long").alias("n_postings"))
+    counts = found.agg(F.coalesce(F.sum(sum((F.col(f) for f in FIELDS[1:]), F.col("t"))), F.lit(0)).cast("long").alias("n_occurrences"))
+    return n.crossJoin(words).crossJoin(counts)  # one row each

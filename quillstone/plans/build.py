@@ -32,7 +32,7 @@ def build_index(pages: DataFrame, path: str, config: TokenizerConfig = INDEX_V2,
     frequencies = spark.read.parquet(f"{path}/frequencies")
     plan.titles.repartitionByRange(n, "doc_ord").sortWithinPartitions("doc_ord").write.mode("overwrite").parquet(f"{path}/titles")
     secondary_index(vocabulary_shards(frequencies)).write.mode("overwrite").parquet(f"{path}/shards")
-    corpus_statistics(spark.read.parquet(f"{path}/titles"), stored).write.mode("overwrite").parquet(f"{path}/stats")
+    corpus_statistics(spark.read.parquet(f"{path}/titles"), stored, frequencies).write.mode("overwrite").parquet(f"{path}/stats")
     counts = spark.read.parquet(f"{path}/shards").agg(F.count("*").alias("shards"))
     row = spark.read.parquet(f"{path}/stats").select("vocabulary").crossJoin(counts)  # one row with one row
     return row.select(F.lit(time.time() - began).alias("seconds"), "vocabulary", "shards", F.lit(stored_size(spark, path)).alias("bytes"))

@@ -15,6 +15,7 @@ from .operators import postings as P
 from .operators.queryparse import classify, parse
 from .operators.search import search
 from .oracle import SHARD_SIZE, oracles
+from .runtime import spread
 from .sources.pages import markup_pages
 
 #: Query lines that the search queries answer.
@@ -41,7 +42,7 @@ def lines(spark: SparkSession) -> DataFrame:
 
 
 def _cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return markup_pages(spark, sf_dir).select("doc_ord", clean(F.col("text")).alias("text"))
+    return spread(markup_pages(spark, sf_dir)).select("doc_ord", clean(F.col("text")).alias("text"))
 
 
 def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,7 +116,7 @@ def tokenize_v2(spark, d):
 
 
 def tokenize_query(spark, d):
-    return _counted(markup_pages(spark, d), tokens(F.col("text"), QUERY))
+    return _counted(spread(markup_pages(spark, d)), tokens(F.col("text"), QUERY))
 
 
 def tokenize_fragments(spark, d):

@@ -54,6 +54,12 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows out to all cores if the source has fewer partitions than that: small single files, never large inputs."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df
+
+
 def release() -> None:
     """Delete every table that materialize() wrote in this process."""
     while _written:
