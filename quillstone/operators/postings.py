@@ -30,11 +30,17 @@ def field_tokens(fields: DataFrame, config: TokenizerConfig = INDEX_V2, extra_st
     return bags.select("doc_ord", "bag.field", "bag.tokens").select("doc_ord", "field", F.explode("tokens").alias("token"))
 
 
-def postings(occurrences: DataFrame, stem: bool = True) -> DataFrame:
-    """(token, doc_ord, t, i, b, c, r, l): counts by field, after one shuffle on (token, doc_ord) of what tasks have counted."""
+def postings(occurrences: DataFrame, stem: bool = True, only: DataFrame | None = None) -> DataFrame:
+    """(token, doc_ord, t, i, b, c, r, l): counts by field, after one shuffle on (token, doc_ord) of what tasks have counted.
+
+    With only(token), other tokens are dropped before they are counted.
+    """
     token = stemmer(occurrences.sparkSession)(F.col("token")) if stem else F.col("token")
     counts = [F.count_if(F.col("field") == f).cast("int").alias(f) for f in FIELDS]
-    return occurrences.select("doc_ord", "field", token.alias("token")).groupBy("token", "doc_ord").agg(*counts)
+    named = occurrences.select("doc_ord", "field", token.alias("token"))
+    if only is not None:
+        named = named.join(only, "token", "left_semi")
+    return named.groupBy("token", "doc_ord").agg(*counts)
 
 
 def document_frequencies(found: DataFrame) -> DataFrame:

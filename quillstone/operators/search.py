@@ -6,26 +6,31 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scoring import idf, weighted_tf
+from ..runtime import materialize
+from .postings import postings
 from .queryparse import parse
 
+#: Query terms of a batch that are read into the driver and broadcast.
+MAX_TERMS = 10_000
+
 
 def score(terms: DataFrame, found: DataFrame, frequencies: DataFrame, n_docs: DataFrame) -> DataFrame:
     """(query_id, field_pos, field, pos, token, doc_ord, tf, idf, score): an entry for each term and document.
 
     A field term's documents are all that have the token; where that field lacks it the score is 0.
-    n_docs is one row (n_docs). Only postings of the terms are read: the join's small side is broadcast
-    if the planner finds it small enough.
+    n_docs is one row (n_docs).
     """
     weighed = terms.join(frequencies, "token").crossJoin(n_docs).withColumn("idf", idf(F.col("n_docs"), F.col("df")))  # n_docs is one row
     entries = found.join(weighed, "token").withColumn("tf", weighted_tf(F.col("field")).cast("long"))
     return entries.select("query_id", "field_pos", "field", "pos", "token", "doc_ord", "tf", "idf", (F.col("tf") * F.col("idf")).alias("score"))
 
 
-def rank(entries: DataFrame, titles: DataFrame, k: int = 10, aggregate: bool = False) -> DataFrame:
+def rank(entries: DataFrame, titles: DataFrame, k: int = 10, aggregate: bool = False, few: bool = False) -> DataFrame:
     """The k best entries of each query with titles; with aggregate, documents by the sum of their entries.
 
     Entries of one document aren't added up by default. Ties go to the earlier term, then to the smaller
-    document; scores are compared to six decimals.
+    document; scores are compared to six decimals. With few (queries of a bounded number), the answers are
+    broadcast to the titles, which then aren't shuffled.
     """
     if aggregate:
         entries = entries.groupBy("query_id", "doc_ord").agg(F.sum("score").alias("score"))
@@ -34,11 +39,36 @@ def rank(entries: DataFrame, titles: DataFrame, k: int = 10, aggregate: bool = F
         ties = [F.col("field_pos"), F.col("pos"), F.col("doc_ord")]
     order = Window.partitionBy("query_id").orderBy(F.round("score", 6).desc(), *ties)
     best = entries.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    named = best.join(titles.select("doc_ord", "title"), "doc_ord", "left")
+    named = (F.broadcast(best) if few else best).join(titles.select("doc_ord", "title"), "doc_ord")
     columns = ["query_id", "rank", "doc_ord", "title"] + ([] if aggregate else ["field", "token", "tf"])
     return named.select(*columns, F.round("score", 6).alias("score"))
 
 
+def bounded(terms: DataFrame) -> tuple[DataFrame, list[str] | None]:
+    """Terms to join with, and their tokens if there are MAX_TERMS terms at most.
+
+    So few terms are read into the driver: the join broadcasts them, and their tokens become a filter that
+    reaches the scan of stored postings. More terms are joined as they are.
+    """
+    rows = terms.limit(MAX_TERMS + 1).collect()
+    if len(rows) > MAX_TERMS:
+        return terms, None
+    return F.broadcast(terms.sparkSession.createDataFrame(rows, terms.schema)), sorted({r["token"] for r in rows})
+
+
 def search(lines: DataFrame, found: DataFrame, frequencies: DataFrame, n_docs: DataFrame, titles: DataFrame, k: int = 10, stem: bool = True, aggregate: bool = False) -> DataFrame:
-    """Ranked answers to lines(query_id, line); a line without hits has no rows."""
-    return rank(score(parse(lines, stem), found, frequencies, n_docs), titles, k, aggregate)
+    """Ranked answers to lines(query_id, line) from postings and frequencies; a line without hits has no rows."""
+    terms, words = bounded(parse(lines, stem))
+    if words is not None:
+        found, frequencies = (df.where(F.col("token").isin(words)) for df in (found, frequencies))
+        frequencies = F.broadcast(frequencies)  # a row for each of the words at most
+    return rank(score(terms, found, frequencies, n_docs), titles, k, aggregate, words is not None)
+
+
+def search_fields(lines: DataFrame, occurrences: DataFrame, n_docs: DataFrame, titles: DataFrame, k: int = 10, stem: bool = True, aggregate: bool = False) -> DataFrame:
+    """The same without an index: counts only the terms' tokens in field occurrences, and keeps those counts as a table."""
+    terms, words = bounded(parse(lines, stem))
+    only = terms.select("token").distinct()
+    found = materialize(postings(occurrences, stem, only if words is None else F.broadcast(only)), "matches")
+    frequencies = found.groupBy("token").agg(F.count("*").alias("df"))
+    return rank(score(terms, found, frequencies, n_docs), titles, k, aggregate, words is not None)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,13 +27,23 @@ def build_index(pages: DataFrame, path: str, config: TokenizerConfig = INDEX_V2,
     spark, began = pages.sparkSession, time.time()
     plan = index_pages(pages, config, stem, extra_stop_words)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    plan.postings.repartitionByRange(n, "token", "doc_ord").sortWithinPartitions("token", "doc_ord").write.mode("overwrite").parquet(f"{path}/postings")
-    stored = spark.read.parquet(f"{path}/postings")
-    document_frequencies(stored).repartitionByRange(n, "token").sortWithinPartitions("token").write.mode("overwrite").parquet(f"{path}/frequencies")
-    frequencies = spark.read.parquet(f"{path}/frequencies")
-    plan.titles.repartitionByRange(n, "doc_ord").sortWithinPartitions("doc_ord").write.mode("overwrite").parquet(f"{path}/titles")
-    secondary_index(vocabulary_shards(frequencies)).write.mode("overwrite").parquet(f"{path}/shards")
-    corpus_statistics(spark.read.parquet(f"{path}/titles"), stored, frequencies).write.mode("overwrite").parquet(f"{path}/stats")
+
+    def titles() -> None:
+        plan.titles.repartitionByRange(n, "doc_ord").sortWithinPartitions("doc_ord").write.mode("overwrite").parquet(f"{path}/titles")
+
+    def counts_of(stored: DataFrame) -> DataFrame:
+        document_frequencies(stored).repartitionByRange(n, "token").sortWithinPartitions("token").write.mode("overwrite").parquet(f"{path}/frequencies")
+        return spark.read.parquet(f"{path}/frequencies")
+
+    with ThreadPoolExecutor(2) as pool:  # small jobs run beside each other
+        named = pool.submit(titles)
+        plan.postings.repartitionByRange(n, "token", "doc_ord").sortWithinPartitions("token", "doc_ord").write.mode("overwrite").parquet(f"{path}/postings")
+        stored = spark.read.parquet(f"{path}/postings")
+        frequencies = counts_of(stored)
+        shards = pool.submit(lambda: secondary_index(vocabulary_shards(frequencies)).write.mode("overwrite").parquet(f"{path}/shards"))
+        named.result()
+        corpus_statistics(spark.read.parquet(f"{path}/titles"), stored, frequencies).write.mode("overwrite").parquet(f"{path}/stats")
+        shards.result()
     counts = spark.read.parquet(f"{path}/shards").agg(F.count("*").alias("shards"))
     row = spark.read.parquet(f"{path}/stats").select("vocabulary").crossJoin(counts)  # one row with one row
     return row.select(F.lit(time.time() - began).alias("seconds"), "vocabulary", "shards", F.lit(stored_size(spark, path)).alias("bytes"))

@@ -13,7 +13,7 @@ from .functions.text import INDEX_V1, INDEX_V2, QUERY, clean, drop_stop_words, t
 from .operators import extract as X
 from .operators import postings as P
 from .operators.queryparse import classify, parse
-from .operators.search import search
+from .operators.search import search_fields
 from .oracle import SHARD_SIZE, oracles
 from .runtime import spread
 from .sources.pages import markup_pages
@@ -223,10 +223,9 @@ def query_parse(spark, d):
 
 def _search(spark, d, which, **options):
     pages = markup_pages(spark, d)
-    found = _postings(spark, d, options.get("stem", False))
     n = pages.agg(F.count("*").alias("n_docs"))
     asked = lines(spark).where(F.col("query_id").isin(*which)) if which else lines(spark)
-    return search(asked, found, P.document_frequencies(found), n, pages.select("doc_ord", "title"), **({"stem": False} | options))
+    return search_fields(asked, P.field_tokens(_fields(spark, d)), n, pages.select("doc_ord", "title"), **({"stem": False} | options))
 
 
 def search_free_text(spark, d):
