@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ..runtime import ship
+from ..runtime import ship, spread
 
 #: Text bytes that a chunk holds; a single longer text makes a chunk of its own.
 CHUNK_BYTES = 4 << 20
@@ -59,7 +59,7 @@ def map_texts(
     names = {f.name for f in fields}
     keep = [c for c in keep if c not in names]
     hidden = "__text__"
-    source = df.select(*keep, df[text].alias(hidden))
+    source = spread(df.select(*keep, df[text].alias(hidden)))
     schema = T.StructType([*(df.schema[c] for c in keep), *fields])
     types = {f.name: to_arrow_type(f.dataType) for f in fields}
 

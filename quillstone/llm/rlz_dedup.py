@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..runtime import ship
+from ..runtime import ship, spread
 from ._rows import bounded_batches
 from ._words import WordHasher, mix, windows
 
@@ -258,7 +258,7 @@ def factors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         return _parse_group(table)
 
     rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.hash(text_col).alias("tag"), F.col(text_col).alias("text"))
-    sent = rows.mapInArrow(index, "group int, body binary, id long, tag int, factors binary")
+    sent = spread(rows).mapInArrow(index, "group int, body binary, id long, tag int, factors binary")
     parsed = sent.groupBy("group").applyInArrow(parse_group, "id long, tag int, factors binary")
     return parsed.groupBy("id", "tag").agg(F.collect_list("factors").alias("factors"))
 
