@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+import time
 
 from pyspark.sql import SparkSession
 
@@ -18,6 +19,7 @@ def main(args: list[str]) -> int:
     if args[0] == "index":
         print(build_index(read_dump(spark, args[1]), args[2]).first().asDict())
         return 0
+    began = time.time()
     found = search_index(spark, args[1], read_queries(spark, args[2])).orderBy("query_id", "rank")
     last = None
     for r in found.toLocalIterator():
@@ -25,6 +27,7 @@ def main(args: list[str]) -> int:
             print()
         print(r["title"])
         last = r["query_id"]
+    print(f"{time.time() - began:.3f} s")
     return 0
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The letters of the fields in posting order, and their weights.
 FIELDS = ("t", "i", "b", "c", "r", "l")
 WEIGHTS = {"t": 10, "i": 5, "b": 1, "c": 5, "r": 2, "l": 2}
 

@@ -23,7 +23,7 @@ class TokenizerConfig:
     lower_first: bool
 
 
-# Regular-expression classes, alike in Java and RE2: characters that become spaces, and what splits.
+# Regular-expression classes, alike in Java and RE2, of characters that become spaces, and of what splits.
 SPECIALS_V2 = r"[\x27\x60\"|.*\[\]{}();:,=~\-+_!?/><&\\#$@%\n]"
 SPECIALS_V1 = r"[\x{2014}\x27\x60\"|.*\[\]{}();:,=\-+_!?/><&\\#$@%\n]"
 BLANKS_ASCII = r"[ \t\n\r\x0B\x0C\x1C-\x1F]+"

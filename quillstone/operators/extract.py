@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import clean
 from ..runtime import spread
 
+# Markup patterns and headings.
 INFOBOX = r"(?s)\{\{infobox(.*?)\}\}"
 CATEGORY = r"(?s)\[\[category:(.*?)\]\]"
 LINK = r"(?s)\* \[(.*?)\]"

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.postings import posting_lists
+
 
 @dataclass
 class Index:
@@ -44,6 +46,13 @@ def load(spark: SparkSession, path: str) -> Index:
     return Index(*(spark.read.parquet(f"{path}/{t}") for t in TABLES))
 
 
+def export_text(index: Index, path: str, partitions: int | None = None) -> None:
+    """Write posting lists as text, a line token:postings each, in ranges of tokens and sorted within files."""
+    n = partitions or int(index.postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lists = posting_lists(index.postings).repartitionByRange(n, "token").sortWithinPartitions("token")
+    lists.select(F.concat("token", F.lit(":"), "postings").alias("value")).write.mode("overwrite").text(path)
+
+
 def stored_size(spark: SparkSession, path: str) -> int:
     """Bytes of a stored index, whatever file system holds it."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -10,7 +10,7 @@ from quillstone.operators.extract import extract_fields
 from quillstone.operators.queryparse import classify, parse
 from quillstone.plans.build import build_index, index_pages, load, search_index
 from quillstone.sources.pages import read_dump, read_queries
-from quillstone.sources.store import save
+from quillstone.sources.store import export_text, save
 from quillstone.streaming.ingest import ingest
 
 DUMP = """<mediawiki>
@@ -117,6 +117,20 @@ def test_shards_and_lookup(spark):
     assert sorted(map(tuple, P.shard_lookup(asked, index).collect())) == [("b", 0), ("c", 1), ("cb", 2), ("z", 3), ("zz", 3)]
 
 
+def test_export(spark, stored, tmp_path):
+    export_text(load(spark, stored[0]), str(tmp_path / "text"), 2)
+    lines = [r["value"] for r in spark.read.text(str(tmp_path / "text")).collect()]
+    assert "god:d0c1" in lines and "loki:d1t1b1" in lines and len(lines) == load(spark, stored[0]).frequencies.count()
+
+
+def test_command_line(stored, tmp_path, capsys):
+    from quillstone.__main__ import main
+
+    (tmp_path / "q.txt").write_text("thor\nloki\n")
+    assert main(["search", stored[0], str(tmp_path / "q.txt")]) == 0 and main([]) == 2
+    assert capsys.readouterr().out.splitlines()[:4] == ["AT&T Thor", "Loki", "", "Loki"]
+
+
 def test_empty_corpus(spark, tmp_path):
     empty = spark.createDataFrame([], "doc_ord long, title string, text string")
     assert index_pages(empty).stats.first()["n_docs"] == 0
