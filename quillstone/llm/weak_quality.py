@@ -8,10 +8,15 @@
    TRAIN_ROWS documents at most (those whose ids hash smallest).
 4. The scorer judges every document; those below a score of 0.5 are rejected.
 
-Toxicity has a weak-label model of its own, whose labellers count hits of a word list. The list is made
-of fixed English insults and of words and word beginnings learned from labelled rows, MAX_TOXIC toxic and
-MAX_CLEAN clean ones at most. A word is learned if it is in many distinct toxic texts and hardly in clean
-ones. A document whose toxicity posterior is 0.5 or more is rejected as well.
+Toxicity has a weak-label model of its own, whose labellers read a summed log-odds score of a word list.
+The list is made of fixed English insults and of words and word beginnings learned from labelled rows,
+MAX_TOXIC toxic and MAX_CLEAN clean ones at most, near copies once. A word is learned if its share of toxic
+texts is beyond what chance gives among as many words as were tried, each language held against its own
+share of toxic texts, and if it is LEAST_RATIO times as frequent in toxic texts as in clean ones. It weighs
+the logarithm of that ratio. A text scores the labels' log-odds of toxic, plus the weights of its distinct
+words, less what a toxic text of as many words would have of them beyond a clean one: a listed word that
+clean texts hold now and then says little in a long text. A document whose toxicity posterior is 0.5 or
+more is rejected as well.
 
 Defined cases: a null or empty text has no words, so all labellers abstain and it scores as the scorer
 scores the average of nothing, its intercept and dense means; without documents the result is empty;
@@ -34,12 +39,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..runtime import materialize
 from ._rows import map_texts
 
 #: Documents that the linear scorer is fitted on, at most.
 TRAIN_ROWS = 4000
-#: Labelled rows that toxic words are learned from, at most; the fewest distinct toxic texts of a word.
-MAX_TOXIC, MAX_CLEAN, LEAST_TEXTS = 3000, 10_000, 6
+#: Labelled rows that toxic words are learned from, at most.
+MAX_TOXIC, MAX_CLEAN = 3000, 10_000
+#: Letters of word beginnings; how much more frequent a listed word is in toxic texts; the least weight of an insult.
+BEGINNINGS, LEAST_RATIO, INSULT_WEIGHT = (4, 5, 6, 7, 8), 4.0, 6.0
 #: Slots of hashed word shapes.
 SLOTS = 1024
 
@@ -166,65 +174,131 @@ class Shapes:
 WORDS = re.compile(r"[^\W\d_]+")
 
 
-def toxic_features(text: str) -> set[str]:
-    words = set(WORDS.findall(text.lower()))
-    return words | {w[:k] + "*" for w in words if len(w) > 5 for k in (4, 5)}
+class ToxicWords(dict):
+    """Weights of words, and of word beginnings ending in *; the log-odds of toxic, and what a distinct word of a text takes off."""
 
+    prior, rate = 0.0, 0.0
 
-def learn_toxic(docs: DataFrame, labels: DataFrame | None, id_col: str, text_col: str) -> list[str]:
-    """Words, and word beginnings ending in *, that mark toxic texts in the labelled sample."""
-    known = sorted(INSULTS)
-    if labels is None:
-        return known
-    toxic = F.max("toxic").alias("toxic")
-    marked = labels.where(F.col(id_col).isNotNull() & F.col("toxic").isNotNull()).groupBy(id_col).agg(toxic)
-    order = [F.xxhash64(id_col), F.col(id_col)]
-    # each text goes once, with hashes of its first and last words: near copies of one text share one of them
-    side = lambda t, n: marked.where(F.col("toxic") == t).orderBy(*order).limit(n)
-    ends = [F.xxhash64(F.slice("w", 1, 5)).alias("head"), F.xxhash64(F.slice("w", -F.least(F.lit(5), F.size("w")), 5)).alias("tail")]
-
-    def sample(t: int, n: int) -> DataFrame:
-        found = docs.select(id_col, F.col(text_col).alias("text")).where(F.col("text").isNotNull()).join(F.broadcast(side(t, n)), id_col)
-        return found.withColumn("w", F.split("text", r"\s+")).where(F.size("w") > 0).select("text", *ends)
-
-    def features(wanted):
-        def run(batches):
-            only = wanted.value if wanted is not None else None
-            for b in batches:
-                rows = [(f, h, t) for text, h, t in zip(*(c.to_pylist() for c in b.columns)) for f in (toxic_features(text) if only is None else toxic_features(text) & only)]
-                if rows:
-                    f, h, t = zip(*rows)
-                    yield pa.RecordBatch.from_arrays([pa.array(f), pa.array(h, pa.int64()), pa.array(t, pa.int64())], names=["f", "h", "t"])
 
-        return run
+def toxic_features(words: list[str]) -> Counter:
+    """How many distinct words of a text each word and word beginning stands for."""
+    found = Counter(words)
+    for k in BEGINNINGS:
+        found.update([w[:k] + "*" for w in words if len(w) >= k])
+    return found
 
-    texts = F.least(F.countDistinct("h"), F.countDistinct("t"))
-    schema = "f string, h long, t long"
-    seen = sample(1, MAX_TOXIC).mapInArrow(features(None), schema).groupBy("f").agg(texts.alias("n")).where(F.col("n") >= LEAST_TEXTS)
-    hits = {r["f"]: r["n"] for r in seen.collect()}
-    wanted = docs.sparkSession.sparkContext.broadcast(frozenset(hits))
-    clean = {r["f"]: r["n"] for r in sample(0, MAX_CLEAN).mapInArrow(features(wanted), schema).groupBy("f").agg(F.countDistinct("h").alias("n")).collect()}
-    share = (MAX_CLEAN + 1) / MAX_TOXIC  # clean texts count by how much rarer they are in the sample than in the labels
-    return sorted({*known, *(f for f, n in hits.items() if n / (n + share * clean.get(f, 0) + 1) >= 0.9)})
 
+def weigh(toxic: dict, clean: dict) -> np.ndarray:
+    """Weights of features, 0 for those not listed. Of each side: texts and words that hold a feature, and as many as chance expects there."""
+    (t, et, wt, ewt), (c, ec, wc, ewc) = ([side[k].astype(float) for k in ("texts", "texts_expected", "words", "words_expected")] for side in (toxic, clean))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        evidence = 2 * (t * np.log(t / et) + np.where(c > 0, c * np.log(c / ec), 0))
+    weights = np.log((wt + 0.5) / (ewt + 0.5)) - np.log((wc + 0.5) / (ewc + 0.5))
+    listed = (t > et) & (evidence >= 2 * math.log(max(2, len(t)))) & (weights >= math.log(LEAST_RATIO))
+    return np.where(listed, weights, 0.0)
 
-class ToxicHits:
-    def __init__(self, listed: list[str]):
-        self.words = frozenset(w for w in listed if not w.endswith("*"))
-        self.starts = frozenset(w[:-1] for w in listed if w.endswith("*"))
-        self.memo: dict[str, bool] = {}
 
-    def __call__(self, text: str) -> int:
-        words, hits = set(WORDS.findall(text.lower())), 0
-        hits = len(words & self.words)
-        if self.starts:
-            hits += sum(len(w) > 5 and (w[:4] in self.starts or w[:5] in self.starts) and w not in self.words for w in words)
-        return hits
+def learn_toxic(docs: DataFrame, labels: DataFrame | None, id_col: str, text_col: str, lang_col: str = "lang") -> ToxicWords:
+    """Words and word beginnings that mark toxic texts in the labelled sample; rates are of each language where there is such a column."""
+    found = ToxicWords((w, INSULT_WEIGHT) for w in INSULTS)
+    if labels is None:
+        return found
+    marked = labels.where(F.col(id_col).isNotNull() & F.col("toxic").isNotNull()).groupBy(id_col).agg((F.max("toxic") > 0).cast("int").alias("toxic"))
+    sizes = {r["toxic"]: r["count"] for r in marked.groupBy("toxic").count().collect()}
+    order = [F.xxhash64(id_col), F.col(id_col)]
+    side = lambda t, n: marked.where(F.col("toxic") == t).orderBy(*order).limit(n)
+    lang = F.coalesce(F.col(lang_col).cast("string"), F.lit("")) if lang_col in docs.columns else F.lit("")
+    texts = docs.select(id_col, F.col(text_col).alias("text"), lang.alias("lang")).where(F.col("text").isNotNull())
+    texts = texts.join(F.broadcast(side(1, MAX_TOXIC).union(side(0, MAX_CLEAN))), id_col).withColumn("w", F.split("text", r"\s+"))
+    # each text goes once: near copies share a hash of their first or last words
+    ends = [F.xxhash64(F.slice("w", 1, 5)).alias("head"), F.xxhash64(F.slice("w", -F.least(F.lit(5), F.size("w")), 5)).alias("tail")]
+    texts = texts.select("toxic", *ends, id_col, "lang", "text")
+    for end in ("head", "tail"):
+        rest = [c for c in (id_col, "head", "tail", "lang", "text") if c != end]
+        texts = texts.groupBy("toxic", end).agg(F.min(F.struct(*rest)).alias("s")).select("toxic", end, "s.*")
+
+    def split(batches):
+        for b in batches:
+            words = [sorted(set(WORDS.findall(t.lower()))) for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(words, pa.list_(pa.string()))], names=["toxic", "lang", "words"])
+
+    sample = materialize(texts.select("toxic", "lang", "text").mapInArrow(split, "toxic int, lang string, words array<string>"), "toxic")
+    of = lambda t, x: F.sum(F.when(F.col("toxic") == t, x).otherwise(0))
+    n = F.size("words")
+    totals = sample.groupBy("lang").agg(of(1, 1).alias("t1"), of(0, 1).alias("t0"), of(1, n).alias("w1"), of(0, n).alias("w0"))
+    shares = totals.select("lang", (F.col("t1") / (F.col("t0") + F.col("t1"))).alias("texts"), F.coalesce(F.col("w1") / F.nullif(F.col("w0") + F.col("w1"), F.lit(0)), F.lit(0.0)).alias("words"))
+
+    def features(batches):
+        counts: dict[tuple, list[int]] = {}
+
+        def rows():
+            keys, sums = zip(*counts.items())
+            f, g = zip(*keys)
+            counts.clear()
+            return pa.RecordBatch.from_arrays([pa.array(f), pa.array(g), *(pa.array(c, pa.int64()) for c in zip(*sums))], names=["f", "lang", "t0", "t1", "w0", "w1"])
+
+        for b in batches:
+            for toxic, g, words in zip(*(c.to_pylist() for c in b.columns)):
+                for f, k in toxic_features(words).items():
+                    if (sums := counts.get((f, g))) is None:
+                        sums = counts[f, g] = [0, 0, 0, 0]
+                    sums[toxic] += 1
+                    sums[2 + toxic] += k
+                if len(counts) > 200_000:
+                    yield rows()
+        if counts:
+            yield rows()
+
+    counted = sample.mapInArrow(features, "f string, lang string, t0 long, t1 long, w0 long, w1 long").groupBy("f", "lang").agg(*(F.sum(c).alias(c) for c in ("t0", "t1", "w0", "w1")))
+    expected = [F.sum((F.col("t0") + F.col("t1")) * F.col("texts")).alias("te"), F.sum((F.col("w0") + F.col("w1")) * F.col("words")).alias("we")]
+    seen = counted.join(F.broadcast(shares), "lang").groupBy("f").agg(*(F.sum(c).alias(c) for c in ("t0", "t1", "w0", "w1")), *expected).where("t1 > 1").toArrow()
+    t0, t1, w0, w1, te, we = (seen[c].to_numpy() for c in ("t0", "t1", "w0", "w1", "te", "we"))
+    toxic = {"texts": t1, "texts_expected": te, "words": w1, "words_expected": we}
+    clean = {"texts": t0, "texts_expected": t0 + t1 - te, "words": w0, "words_expected": w0 + w1 - we}
+    for f, w in zip(seen["f"].to_pylist(), weigh(toxic, clean).tolist()):
+        if w:
+            found[f] = max(w, found.get(f, 0.0))
+
+    def hits(batches):
+        listed = ToxicHits(found)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([listed.weights(w)[0] for w in b.column(2).to_pylist()], pa.int64()), pa.compute.list_value_length(b.column(2)).cast(pa.int64())], names=["toxic", "hits", "n"])
+
+    rates = sample.mapInArrow(hits, "toxic int, hits long, n long").groupBy("toxic").agg((F.sum("hits") / F.greatest(F.sum("n"), F.lit(1))).alias("rate"))
+    rate = {r["toxic"]: r["rate"] for r in rates.collect()}
+    if len(rate) == 2:
+        found.prior, found.rate = math.log(sizes[1] / sizes[0]), max(0.0, rate[1] - rate[0])
+    return found
 
 
-def toxic_votes(hits: int) -> list[int]:
-    """Three labellers: any hit, two hits or more, four or more."""
-    return [1 if hits else -1, 1 if hits > 1 else -1 if not hits else 0, 1 if hits > 3 else -1 if not hits else 0]
+class ToxicHits:
+    def __init__(self, listed: ToxicWords):
+        self.listed = listed
+        self.starts = frozenset(f[: BEGINNINGS[0]] for f in listed if f.endswith("*"))
+
+    def weights(self, words) -> tuple[int, float]:
+        """How many of the distinct words are listed, and the sum of their weights; a word goes by itself or its longest listed beginning."""
+        hits, total, get, starts, first = 0, 0.0, self.listed.get, self.starts, BEGINNINGS[0]
+        for w in words:
+            x = get(w)
+            if x is None and w[:first] in starts:
+                for k in reversed(BEGINNINGS):
+                    if len(w) >= k and (x := get(w[:k] + "*")) is not None:
+                        break
+            if x is not None:
+                hits, total = hits + 1, total + x
+        return hits, total
+
+    def __call__(self, text: str) -> tuple[int, float]:
+        """Listed words of a text, and its score."""
+        words = set(WORDS.findall(text.lower()))
+        hits, total = self.weights(words)
+        return hits, self.listed.prior + total - self.listed.rate * len(words)
+
+
+def toxic_votes(hits: int, score: float) -> list[int]:
+    """Three labellers: a score above 0, above 2, above 6."""
+    return [1 if score > 0 and hits else -1, 1 if score > 2 and hits else -1 if not hits else 0, 1 if score > 6 and hits else -1 if not hits else 0]
 
 
 class Scorer:
@@ -261,7 +335,7 @@ def classify(docs: DataFrame, keep: list[str], labels: DataFrame | None = None,
             words = raw.split()
             codes.append(encode_votes(vote(measure(raw, words), len(words))))
             hits.append(toxic(t or ""))
-        return {"code": codes, "toxic_code": [encode_votes(toxic_votes(h)) for h in hits]}
+        return {"code": codes, "toxic_code": [encode_votes(toxic_votes(*h)) for h in hits]}
 
     def factory():
         toxic = ToxicHits(listed.value)
@@ -316,8 +390,8 @@ def classify(docs: DataFrame, keep: list[str], labels: DataFrame | None = None,
                 x.append(np.concatenate((measured, shapes.slots(raw))))
                 hits.append(toxic(t or ""))
             score = scorer(np.array(x).reshape(-1, width))
-            bad = [toxic_model.posterior(encode_votes(toxic_votes(h))) >= 0.5 for h in hits]
-            return {"posterior": posterior, "score": score, "toxic_hits": hits, "toxic": bad, "accepted": [s >= 0.5 and not b for s, b in zip(score.tolist(), bad)]}
+            bad = [toxic_model.posterior(encode_votes(toxic_votes(*h))) >= 0.5 for h in hits]
+            return {"posterior": posterior, "score": score, "toxic_hits": [h for h, _ in hits], "toxic": bad, "accepted": [s >= 0.5 and not b for s, b in zip(score.tolist(), bad)]}
 
         return apply
 

@@ -60,3 +60,26 @@ def test_plain_junk_is_rejected(spark, text):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
     extra = spark.createDataFrame([(-1, text)], "doc_id long, text string")
     assert not classify(docs.unionByName(extra), ["doc_id"]).where("doc_id = -1").first()["accepted"]
+
+
+def test_a_rare_class_of_toxic_texts_is_learned(spark):
+    # toxic Spanish texts are 12 of 708 labelled ones; their words share only a beginning, which clean Spanish ones hold now and then
+    mark = lambda i, n: " ".join(f"bomente{chr(97 + (i * 5 + k * 7) % 26)}{chr(97 + (i + k) % 26)}" for k in range(n))
+    fill = lambda i: " ".join(f"w{chr(97 + (i * j) % 26)}{chr(97 + (i + j * j) % 26)}{chr(97 + j % 26)}" for j in range(40))
+    rows = [(i, f"start{i} es{i} {fill(i)} {mark(i, 4) if i < 24 else mark(i, 1) if i < 160 and i % 12 == 0 else ''} end{i}", "es" if i < 160 else "en") for i in range(720)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i < 12), 1) for i in range(720) if i < 12 or i >= 24], "doc_id long, toxic int, quality int")
+    found = {r["doc_id"]: r["toxic"] for r in classify(docs, ["doc_id"], labels).collect()}
+    assert all(found[i] for i in range(24)) and not any(found[i] for i in range(24, 720))
+
+
+def test_held_out_toxic_recall_by_language(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    held = docs.selectExpr("doc_id", "pmod(xxhash64(array_join(slice(split(text, ' '), 1, 5), ' ')), 3) = 0 AS held")
+    trained = labels.join(held.where("NOT held"), "doc_id").select(*labels.columns)
+    found = classify(docs, ["doc_id", "lang"], trained).join(labels.withColumnRenamed("toxic", "is_toxic"), "doc_id").join(held.where("held"), "doc_id").collect()
+    for lang in ("en", "de", "es", "fr"):
+        toxic = [r["toxic"] for r in found if r["lang"] == lang and r["is_toxic"]]
+        clean = [r["toxic"] for r in found if r["lang"] == lang and not r["is_toxic"]]
+        print(lang, sum(toxic), len(toxic), sum(clean), len(clean))
+        assert sum(toxic) / len(toxic) > 0.8 and sum(clean) / len(clean) < 0.03
