@@ -5,9 +5,11 @@ are counted over all URLs that a rule decides. A URL's score is the difference o
 log-likelihoods divided by its length in bytes. The threshold is calibrated on the counted URLs
 themselves, from histograms of the scores of both classes, where both error rates balance.
 
-Counts are kept in hashed tables of a fixed number of slots, so a model's size doesn't depend on the
-input: tasks count into arrays and send only their non-zero slots, and sums per slot are what the
-driver sees (TABLE slots a side at most).
+Counts are exact and lie in a table of n-grams that grows with the input. What a byte adds to a score
+depends only on the ORDER bytes before it and on itself, so each distinct n-gram of the input is priced
+once, by joins with the counts of its shorter forms. URLs are scored in blocks of an Arrow batch: a block
+names each of its n-grams once, so that one that every URL holds meets the prices once a block. Neither
+counts nor prices are collected, and they are broadcast only where the planner finds them small.
 
 Defined cases: a null URL or one without "://" has an empty host and path and no rule; its score is
 0, which counts as allowed whatever the threshold. An empty table, or one in which no rule decides
@@ -17,18 +19,23 @@ judged alike and each count. Other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+from itertools import count
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..runtime import materialize
 from ._rows import map_texts
 
 #: Longest context in bytes; all shorter ones are used too.
 ORDER = 4
-#: Slots of a side's table of n-gram counts, and of its table of context counts.
+#: Slots of scorer()'s tables of n-gram and context counts; judge() doesn't use them.
 TABLE = 1 << 18
+#: URL bytes of a block, at most, where it has more than one URL.
+BLOCK_BYTES = 1 << 18
 #: Weight of the next shorter context's estimate, in counts.
 BACKOFF = 4.0
 #: Bins of a score histogram, over scores from -LIMIT to LIMIT.
@@ -76,33 +83,10 @@ def _grams(urls: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray],
     return lengths, starts, contexts, grams
 
 
-def count(df: DataFrame) -> np.ndarray:
-    """Tables of both sides, [side, gram or context, slot], from rows (url, accepted boolean)."""
-
-    def run(batches):
-        tables = np.zeros((2, 2, TABLE), np.int64)
-        for b in batches:
-            urls, sides = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for side in (0, 1):
-                if own := [u.encode() for u, s in zip(urls, sides) if s == bool(side) and u]:
-                    _, _, contexts, grams = _grams(own)
-                    for c, g in zip(contexts, grams):
-                        tables[side, 0] += np.bincount(g, minlength=TABLE)
-                        tables[side, 1] += np.bincount(c, minlength=TABLE)
-        flat = tables.reshape(-1)
-        slots = np.flatnonzero(flat)
-        for i in range(0, len(slots), 100_000):
-            part = slots[i : i + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(flat[part])], names=["slot", "n"])
-
-    sums = df.mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    flat = np.zeros(4 * TABLE, np.int64)
-    flat[sums["slot"].to_numpy()] = sums["n"].to_numpy()
-    return flat.reshape(2, 2, TABLE)
-
-
 def scorer(tables: np.ndarray):
-    """A function from URLs to length-normalised differences of log-likelihoods, accepted less rejected."""
+    """A function from URLs to length-normalised differences of log-likelihoods, accepted less rejected.
+
+    The hashed form in memory, for small models: where slots collide, it differs from judge()."""
     if not tables[0].any() or not tables[1].any():
         return lambda urls: np.zeros(len(urls))
     counts = tables.astype(np.float64)
@@ -127,12 +111,91 @@ def scorer(tables: np.ndarray):
     return score
 
 
-def _scored(df: DataFrame, keep: list[str], tables) -> DataFrame:
+def grams(urls: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths, and for each byte the n-gram that ends there, as a number of its ORDER + 1 bytes."""
+    pad = b"\x00" * ORDER
+    data = np.frombuffer(b"".join(pad + u for u in urls), np.uint8).astype(np.int64)
+    lengths = np.array([len(u) for u in urls], np.int64)
+    at = np.arange(lengths.sum()) + np.repeat(np.arange(1, len(urls) + 1) * ORDER, lengths)
+    keys = np.zeros(len(at), np.int64)
+    for back in range(ORDER, -1, -1):
+        keys = keys << 8 | data[at - back]
+    return lengths, keys
+
+
+def _blocks(rows: DataFrame) -> DataFrame:
+    """The rows with a number of the block that each lies in."""
+
     def factory():
-        score = scorer(tables.value)
-        return lambda urls: {"score": score(urls.to_pylist())}
+        from pyspark import TaskContext
+
+        task, made = TaskContext.get().partitionId(), count()
+
+        def apply(urls: pa.Array) -> dict:
+            return {"block": np.full(len(urls), task << 32 | next(made), np.int64)}
+
+        return apply
 
-    return map_texts(df, keep, [T.StructField("score", T.DoubleType())], factory, text="url")
+    return map_texts(rows, rows.columns, [T.StructField("block", T.LongType())], factory, text="url", size=BLOCK_BYTES)
+
+
+def _counted(rows: DataFrame) -> DataFrame:
+    """(block, key, n0, n1): the n-grams of each block, and how often rejected and accepted URLs hold them there."""
+
+    def run(batches):
+        for b in batches:
+            blocks, said = b.column(0).to_numpy(), b.column(2).to_pylist()
+            urls = [(u or "").encode() for u in b.column(1).to_pylist()]
+            side = np.array([2 if s is None else int(s == "allow") for s in said])
+            for block in np.unique(blocks):
+                own = np.flatnonzero(blocks == block)
+                lengths, keys = grams([urls[i] for i in own])
+                distinct, where = np.unique(keys, return_inverse=True)
+                sides = np.repeat(side[own], lengths)
+                n = [pa.array(np.bincount(where[sides == k], minlength=len(distinct))) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(distinct), block)), pa.array(distinct), *n], names=["block", "key", "n0", "n1"])
+
+    return rows.select("block", "url", "said").mapInArrow(run, "block long, key long, n0 long, n1 long")
+
+
+def price(counted: DataFrame) -> DataFrame:
+    """(key, price): the difference of log-likelihoods, accepted less rejected, of each n-gram's last byte; 0 if a side has no counts."""
+    summed = lambda df, key: df.groupBy(key.alias("key")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    key = F.col("key")
+    by_size = {ORDER + 1: counted}
+    for size in range(ORDER, 0, -1):
+        by_size[size] = summed(by_size[size + 1], key.bitwiseAND((1 << 8 * size) - 1))
+    shorter = None
+    for size in range(1, ORDER + 2):
+        # an n-gram of this size, the counts of its context, and the estimate of its form without the first byte
+        whole = summed(by_size[size], F.shiftright(key, 8)).select(F.col("key").alias("context"), F.col("n0").alias("m0"), F.col("n1").alias("m1"))
+        df = by_size[size].select("key", "n0", "n1", F.shiftright(key, 8).alias("context"), key.bitwiseAND((1 << 8 * (size - 1)) - 1).alias("tail")).join(whole, "context")
+        if shorter is None:
+            df = df.select("*", F.lit(1 / 256).alias("q0"), F.lit(1 / 256).alias("q1"), (F.least("m0", "m1") > 0).alias("both"))
+        else:
+            df = df.join(shorter, "tail")
+        p = [((F.col(f"n{k}") + BACKOFF * F.col(f"q{k}")) / (F.col(f"m{k}") + BACKOFF)).alias(f"q{k}") for k in (0, 1)]
+        shorter = df.select(F.col("key").alias("tail"), *p, "both")
+    return shorter.select(F.col("tail").alias("key"), F.when(F.col("both"), F.log("q1") - F.log("q0")).otherwise(0.0).alias("price"))
+
+
+def _scored(rows: DataFrame, keep: list[str]) -> DataFrame:
+    """The kept columns of rows with blocks, and the score of each."""
+    counted = materialize(_counted(rows), "grams")
+    total = counted.groupBy("key").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    prices = price(materialize(total, "counts"))
+    priced = counted.select("block", "key").join(prices, "key").select("block", "key", "price")
+
+    def score(urls: pa.Table, known: pa.Table) -> pa.Table:
+        lengths, keys = grams([(u or "").encode() for u in urls["url"].to_pylist()])
+        found = known["key"].to_numpy()
+        order = np.argsort(found)
+        prices = known["price"].to_numpy()[order][np.searchsorted(found[order], keys)] if len(keys) else np.zeros(0)
+        sums = np.bincount(np.repeat(np.arange(len(lengths)), lengths), weights=prices, minlength=len(lengths))
+        return urls.select(keep).append_column("score", pa.array(np.divide(sums, lengths, out=np.zeros(len(lengths)), where=lengths > 0)))
+
+    schema = T.StructType([*(rows.schema[c] for c in keep), T.StructField("score", T.DoubleType())])
+    return rows.groupBy("block").cogroup(priced.groupBy("block")).applyInArrow(score, schema)
 
 
 def calibrate(scored: DataFrame) -> float:
@@ -153,14 +216,12 @@ def calibrate(scored: DataFrame) -> float:
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id") -> DataFrame:
     """(id, host, path, rule, verdict, score) for every row of pages(id, url)."""
-    spark = pages.sparkSession
     host, path = host_and_path(F.col("url"))
     rows = pages.select(id_col, "url", host.alias("host"), path.alias("path"))
     rule, said = decide(F.col("host"), F.col("path"), rules)
     rows = rows.select("*", rule.alias("rule"), said.alias("said"))
-    known = rows.where(F.col("said").isNotNull()).select("url", (F.col("said") == "allow").alias("accepted"))
-    tables = spark.sparkContext.broadcast(count(known))
-    threshold = calibrate(_scored(known, ["accepted"], tables))
-    scored = _scored(rows, [id_col, "host", "path", "rule", "said"], tables)
+    rows = materialize(_blocks(rows), "urls")
+    scored = materialize(_scored(rows, [id_col, "host", "path", "rule", "said"]), "scored")
+    threshold = calibrate(scored.where(F.col("said").isNotNull()).select("score", (F.col("said") == "allow").alias("accepted")))
     by_score = F.when((F.col("host") == "") | (F.col("score") >= threshold), "allow").otherwise("block")
     return scored.select(id_col, "host", "path", "rule", F.coalesce("said", by_score).alias("verdict"), "score")

@@ -83,3 +83,29 @@ def test_score_is_the_length_normalised_ratio():
 
     for u in ("abab", "bb", "zz"):
         assert abs(scorer(tables)([u])[0] - (log_p(u, "abab") - log_p(u, "bbbb")) / len(u)) < 1e-9
+
+
+def test_scores_are_exact_where_n_grams_are_many(spark):
+    import random
+    from collections import Counter
+
+    from quillstone.llm.url_model import BACKOFF
+
+    rng = random.Random(5)
+    urls = [f"http://{'ok' if i % 2 else 'no'}.x/{''.join(rng.choice('abcdefghijklmnopqrstuvwxyz0123456789') for _ in range(40))}" for i in range(4000)]
+    urls += ["http://else.y/" + u[-30:] for u in urls[:40]] + [None, "", "mailto:a"]
+    found = {r["page_id"]: r["score"] for r in judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").repartition(3), [("ok.x/", "allow"), ("no.x/", "block")]).collect()}
+    seen = (Counter(), Counter())
+    for i, u in enumerate(urls[:4000]):
+        text = "\0" * ORDER + u
+        for j in range(ORDER, len(text)):
+            for k in range(ORDER + 1):
+                seen[i % 2].update((text[j - k : j + 1], ("before", text[j - k : j])))
+    for i in [*range(20), *range(4000, 4043)]:
+        text, total = "\0" * ORDER + (urls[i] or ""), 0.0
+        for j in range(ORDER, len(text)):
+            p = [1 / 256, 1 / 256]
+            for k in range(ORDER + 1):
+                p = [(seen[s][text[j - k : j + 1]] + BACKOFF * p[s]) / (seen[s]["before", text[j - k : j]] + BACKOFF) for s in (0, 1)]
+            total += math.log(p[1]) - math.log(p[0])
+        assert abs(found[i] - total / max(1, len(text) - ORDER)) < 1e-9
