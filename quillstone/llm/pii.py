@@ -50,6 +50,10 @@ HOMOGLYPHS |= {ord(z) + i: str(i) for z in ZEROS for i in range(10)}
 HOMOGLYPHS |= {c + 0xFEE0: chr(c) for c in range(0x21, 0x7F)}
 
 
+#: Letters of an input that are looked for before the machine is set on a place.
+HEAD = 4
+
+
 class Transducer:
     """Deterministic longest-match rewriting over a trie.
 
@@ -67,34 +71,45 @@ class Transducer:
                     self.arcs.append({})
                 at = self.arcs[at][c]
             self.final[at] = (out, apart)
+        #: Where a rule may fit: beginnings of the inputs, so nothing is rewritten in a text without one.
+        self.heads = re.compile(self._heads(0, HEAD))
+
+    def _heads(self, at: int, depth: int) -> str:
+        if not depth or at in self.final:
+            return ""
+        return "(?:" + "|".join(re.escape(c) + self._heads(to, depth - 1) for c, to in self.arcs[at].items()) + ")"
 
     def run(self, text: str, folded: str) -> tuple[str, list[int], list[int], list[bool]]:
         """Output, the source span of each of its characters, and whether it was rewritten."""
-        arcs, final, first = self.arcs, self.final, self.arcs[0]
+        arcs, final, search = self.arcs, self.final, self.heads.search
         out, start, end, changed = [], [], [], []
-        i, n = 0, len(text)
-        while i < n:
-            if folded[i] in first:
-                at, j, best = 0, i, None
-                while j < n and (at := arcs[at].get(folded[j], -1)) >= 0:
-                    j += 1
-                    if at in final:
-                        made, apart = final[at]
-                        if not apart or (not (i and folded[i - 1].isalnum()) and not (j < n and folded[j].isalnum())):
-                            best = (j, made)
-                if best:
-                    for c in best[1]:
-                        out.append(c)
-                        start.append(i)
-                        end.append(best[0])
-                        changed.append(True)
-                    i = best[0]
-                    continue
-            out.append(text[i])
-            start.append(i)
-            end.append(i + 1)
-            changed.append(False)
-            i += 1
+        i, last, n = 0, 0, len(text)
+
+        def copy(to: int) -> None:
+            out.append(text[last:to])
+            start.extend(range(last, to))
+            end.extend(range(last + 1, to + 1))
+            changed.extend([False] * (to - last))
+
+        while m := search(folded, i):
+            i = m.start()
+            at, j, best = 0, i, None
+            while j < n and (at := arcs[at].get(folded[j], -1)) >= 0:
+                j += 1
+                if at in final:
+                    made, apart = final[at]
+                    if not apart or (not (i and folded[i - 1].isalnum()) and not (j < n and folded[j].isalnum())):
+                        best = (j, made)
+            if not best:
+                i += 1
+                continue
+            copy(i)
+            out.append(best[1])
+            start.extend([i] * len(best[1]))
+            end.extend([best[0]] * len(best[1]))
+            changed.extend([True] * len(best[1]))
+            i = last = best[0]
+        copy(n)
         return "".join(out), start, end, changed
 
 
@@ -118,11 +133,6 @@ def _rules() -> list[tuple[str, str, bool]]:
 
 MACHINE = Transducer(_rules())
 DIGIT_GAP = re.compile(r"(?<=[0-9+])(?:[ ,]+|[ ]*-[ ]*)(?=[0-9])")
-#: What a text must hold for the second transducer to have anything to do.
-TRIGGER = re.compile(
-    r"[​-‍⁠﻿­]|&#(?:64|46);|&(?:commat|period);|[\[({<] ?(?:at|@|dot|\.) ?[\])}>]| dot |"
-    r"(?<![^\W_])(?:zero|one|two|three|four|five|six|seven|eight|nine)(?:[ ,-]+(?:zero|one|two|three|four|five|six|seven|eight|nine|[0-9]+)){5}"
-)
 _FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -170,25 +180,22 @@ def find_disguised(text: str, base: list[tuple[str, int, int]]) -> list[tuple[st
     """Identifiers that show only after normalisation, with spans in the source text."""
     plain = text if text.isascii() else text.translate(HOMOGLYPHS)
     folded = plain.translate(_FOLD)
-    spelled = TRIGGER.search(folded) is not None
-    if plain == text and not spelled:
+    if plain == text and not MACHINE.heads.search(folded):  # the machine would leave the text as it is
         return []
-    if spelled:
-        out, start, end, changed = MACHINE.run(plain, folded)
+    out, start, end, changed = MACHINE.run(plain, folded)
+    if plain != text:
         changed = [c or text[a:b] != plain[a:b] for c, a, b in zip(changed, start, end)]
-        if any(changed):
-            keep, last = [], 0
-            for m in DIGIT_GAP.finditer(out):  # separators next to spelled digits go
-                if changed[m.start() - 1] or changed[m.end()]:
-                    keep.extend(range(last, m.start()))
-                    last = m.end()
-            keep.extend(range(last, len(out)))
-            if len(keep) < len(out):
-                out = "".join([out[i] for i in keep])
-                start, end, changed = [start[i] for i in keep], [end[i] for i in keep], [changed[i] for i in keep]
-    else:
-        out, start, end = plain, range(len(text)), range(1, len(text) + 1)
-        changed = [a != b for a, b in zip(text, plain)]
+    elif AT not in text and changed.count(True) == out.count(AT):  # words at make no identifier by themselves
+        return []
+    keep, last = [], 0
+    for m in DIGIT_GAP.finditer(out):  # separators next to spelled digits go
+        if changed[m.start() - 1] or changed[m.end()]:
+            keep.extend(range(last, m.start()))
+            last = m.end()
+    if last:
+        keep.extend(range(last, len(out)))
+        out = "".join([out[i] for i in keep])
+        start, end, changed = [start[i] for i in keep], [end[i] for i in keep], [changed[i] for i in keep]
     worded = out.replace(AT, "@").replace(DOT, ".")
     found = []
     for kind, a, b in find(worded):

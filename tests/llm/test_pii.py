@@ -86,3 +86,32 @@ def test_operator(spark, docs, rows, no_docs):
     assert by_id[500]["spans"] == "email:2:14,ip:15:22,email:27:43" and by_id[500]["text"] == "x [EMAIL] [IP] and [EMAIL]"
     assert by_id[501]["text"] is None and by_id[501]["spans"] == "" and by_id[502]["text"] == ""
     assert detect(no_docs, ["doc_id"]).collect() == []
+
+
+@pytest.mark.parametrize(
+    "text, kind",
+    [
+        ("+1 212 555 zero one zero one", "phone"),
+        ("+1 five five five 123 4567", "phone"),
+        ("plus 44 20 7946 0958", "phone"),
+        ("4111 1111 1111 one one one one", "card"),
+        ("192.168.0.one", "ip"),
+    ],
+)
+def test_few_spelled_items_are_enough(text, kind):
+    for whole in (text, f"see {text} now", f"{text} and the dot it has", f"\u200b {text}"):
+        assert [(k, whole[a:b]) for k, a, b in find_disguised(whole, find(whole))] == [(kind, text)]
+
+
+def test_nothing_is_lost_to_the_search_for_places(monkeypatch):
+    from quillstone.llm import pii
+
+    rng = random.Random(4)
+    parts = [*pii.DIGIT_WORDS, *"0123456789", "+", "plus ", " at ", " dot ", "[at]", "( dot )", "&#64;", "&period;", "\u200b", ".", " ", ", ", "-", "bob", "x.de", "@", "٤", "о", "Seven", "someone", "com"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(4, 24))) for _ in range(20_000)]
+    texts += [" ".join(rng.choice([*pii.DIGIT_WORDS, "4", "12", "555"]) for _ in range(14)) for _ in range(3000)]
+    texts += ["+" + t for t in texts[-3000:]]
+    found = [find_disguised(t, find(t)) for t in texts]
+    assert sum(map(bool, found)) > 500
+    monkeypatch.setattr(pii.MACHINE, "heads", re.compile(r"(?s:.)"))  # the machine is set on every character
+    assert [t for t, f in zip(texts, found) if find_disguised(t, find(t)) != f] == []
