@@ -9,8 +9,9 @@ sampled suffix positions, and overlapping ones merge into removal spans.
 A phrase (window) is `window` consecutive words of a test item, or all words of a shorter item.
 Words are runs of ASCII letters and digits and of all characters beyond ASCII, A-Z in lower case.
 
-The phrases are broadcast in blocks of at most BLOCK_BYTES; a larger benchmark means more blocks, and
-so more passes over a task's shards, never a larger broadcast.
+The phrases are broadcast in blocks of at most BLOCK_BYTES, each a variable of its own; only a single item
+that is larger makes a larger one. A larger benchmark means more blocks, and so more passes over a task's
+shards: the driver and each worker hold one block at a time, and the passes' hits and items are merged.
 
 Defined cases: null texts and texts without words have no words and no hits; items with a null or
 wordless text have no windows; an item whose id is null hits words but isn't listed; rows that repeat
@@ -20,10 +21,12 @@ are judged one by one; an empty table on either side gives no hits.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -181,20 +184,20 @@ class Phrases:
         self.shortest = min(self.by_length, default=0)
 
 
-def phrase_blocks(benchmark: DataFrame, window: int, id_col: str, text_col: str) -> list[Phrases]:
+def phrase_blocks(benchmark: DataFrame, window: int, id_col: str, text_col: str) -> Iterator[Phrases]:
     """The benchmark's phrases, in blocks of bounded size, streamed through the driver."""
-    blocks, held, size = [], [], 0
+    held, size = [], 0
     for row in benchmark.select(benchmark[id_col].cast("string"), benchmark[text_col]).toLocalIterator():
         tokens = words(row[1])
         cost = 60 * len(tokens) + 8 * window * len(tokens)
         if held and size + cost > BLOCK_BYTES:
-            blocks.append(Phrases(held, window))
+            if any(t for _, t in held):
+                yield Phrases(held, window)
             held, size = [], 0
         held.append((row[0], tokens))
         size += cost
-    if held:
-        blocks.append(Phrases(held, window))
-    return [b for b in blocks if b.by_length]
+    if any(t for _, t in held):
+        yield Phrases(held, window)
 
 
 def _runs(codes: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -267,7 +270,7 @@ def mark(
     spans are the merged removal spans as [start, end) in characters. With cleaned, a column of the
     text column's name follows in which each span is replaced by a space.
     """
-    blocks = docs.sparkSession.sparkContext.broadcast(phrase_blocks(benchmark, window, item_col, item_text))
+    blocks = list(map(docs.sparkSession.sparkContext.broadcast, phrase_blocks(benchmark, window, item_col, item_text)))
     span_type = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
     fields = [
         T.StructField("n_words", T.LongType()),
@@ -279,23 +282,24 @@ def mark(
         fields.append(T.StructField(text_col, docs.schema[text_col].dataType))
 
     def factory():
-        found = blocks.value
-        return lambda texts: _mark_shard(texts, found, text_col if cleaned else None)
+        return lambda texts: _mark_shard(texts, blocks, text_col if cleaned else None)
 
     return map_texts(docs, keep, fields, factory, text=text_col, size=SHARD_BYTES)
 
 
-def _mark_shard(texts: pa.Array, blocks: list[Phrases], cleaned: str | None) -> dict:
+def _mark_shard(texts: pa.Array, blocks: list[Broadcast], cleaned: str | None) -> dict:
     raws = [r or b"" for r in texts.cast(pa.binary()).to_pylist()]
     covered, items, begins, n_words = None, [set() for _ in raws], None, None
-    for phrases in blocks or [Phrases([], 1)]:
+
+    def pass_over(phrases: Phrases) -> None:
+        nonlocal covered, begins, n_words
         codes = _codes(raws, {_BREAK: -1} | phrases.vocabulary)
         if covered is None:
             begins = np.flatnonzero(codes == -1)
             n_words = np.diff(np.append(begins, len(codes))) - 1
             covered = np.zeros(len(codes) + 1, np.int64)
         if not phrases.by_length:
-            continue
+            return
         at, span, which = _occurrences(codes, phrases)
         np.add.at(covered, at, 1)
         np.add.at(covered, at + span, -1)
@@ -303,6 +307,13 @@ def _mark_shard(texts: pa.Array, blocks: list[Phrases], cleaned: str | None) ->
             whose = np.searchsorted(begins, positions, side="right") - 1
             for pair in np.unique(whose * np.int64(len(owners)) + kinds).tolist():
                 items[pair // len(owners)].update(phrases.ids[k] for k in owners[pair % len(owners)])
+
+    for block in blocks:
+        pass_over(block.value)
+        if len(blocks) > 1 and getattr(block, "_path", None):  # a worker keeps what it has read; it can be read again
+            vars(block).pop("_value", None)
+    if not blocks:
+        pass_over(Phrases([], 1))
     hit = np.cumsum(covered)[:-1] > 0
     n_hit = np.add.reduceat(hit.astype(np.int64), begins) if len(begins) else np.zeros(0, np.int64)
     spans: list[list[dict]] = [[] for _ in raws]

@@ -82,3 +82,31 @@ def test_empty_tables(spark, docs, rows, no_docs):
     found = mark(docs, none, ["doc_id"]).collect()
     assert len(found) == len(rows) and not any(r["n_hit"] for r in found)
     assert mark(no_docs, spark.createDataFrame([(1, "a b")], ITEMS), ["doc_id"]).collect() == []
+
+
+def test_a_block_is_held_and_broadcast_by_itself(spark, docs, rows, monkeypatch):
+    import gc
+
+    import pyarrow as pa
+    from pyspark import Broadcast, SparkContext
+
+    sent, send = [], SparkContext.broadcast
+    monkeypatch.setattr(fm_index, "BLOCK_BYTES", 4000)
+    monkeypatch.setattr(SparkContext, "broadcast", lambda self, value: sent.append(send(self, value)) or sent[-1])
+    mark(docs, spark.createDataFrame(items_of(rows), ITEMS), ["doc_id"])
+    assert len(sent) > 1 and all(isinstance(b.value, fm_index.Phrases) for b in sent)
+
+    alive, load = [], Broadcast.load_from_path
+
+    def loaded(self, path):
+        gc.collect()
+        alive.append(sum(isinstance(o, fm_index.Phrases) for o in gc.get_objects()))
+        return load(self, path)
+
+    for b in sent:
+        vars(b).pop("_value", None)
+    monkeypatch.setattr(Broadcast, "load_from_path", loaded)
+    texts = pa.array([t for _, t, *_ in rows])
+    fm_index._mark_shard(texts, sent, None)
+    fm_index._mark_shard(texts, sent, None)
+    assert alive == [0] * (2 * len(sent))
