@@ -12,7 +12,7 @@ from .stopwords import STOP_WORDS
 
 @dataclass(frozen=True)
 class TokenizerConfig:
-    """What a tokenizer does, in order: ASCII strip, URLs, special characters, letter padding, split."""
+    """What a tokenizer does, in order: ASCII strip, URLs, special characters, then split, letter runs on their own where padded."""
 
     name: str
     ascii_only: bool
@@ -46,9 +46,9 @@ def tokens(text: Column, config: TokenizerConfig) -> Column:
         s = F.regexp_replace(s, r"[^\x00-\x7F]", "")
     s = F.regexp_replace(s, "http[^ ]* ", " ")
     s = F.regexp_replace(s, config.specials, " ")
-    if config.pad_letters:
-        s = F.regexp_replace(s, "[A-Za-z]+", " $0 ")
-    return F.filter(F.split(s, config.blanks), lambda x: x != "")
+    blanks = config.blanks.removeprefix("[").removesuffix("]+")
+    run = f"[A-Za-z]+|[^A-Za-z{blanks}]+" if config.pad_letters else f"[^{blanks}]+"
+    return F.regexp_extract_all(s, F.lit(run), F.lit(0))
 
 
 def tokens_of_fragments(fragments: Column, config: TokenizerConfig) -> Column:

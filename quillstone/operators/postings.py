@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 from ..functions.scoring import FIELDS, encode_posting
 from ..functions.stemming import stemmer
 from ..functions.text import INDEX_V1, INDEX_V2, TokenizerConfig, drop_stop_words, tokens, tokens_of_fragments
+from ..runtime import materialize, numbered
 
 LISTS = {"i": "infobox", "c": "category", "r": "references", "l": "links"}
 SHARD_TOKENS = 10_000
+#: Documents of a chunk of a posting list.
+CHUNK_DOCS = 10_000
 
 
 def field_tokens(fields: DataFrame, config: TokenizerConfig = INDEX_V2, extra_stop_words: tuple[str, ...] = ()) -> DataFrame:
@@ -30,17 +33,45 @@ def field_tokens(fields: DataFrame, config: TokenizerConfig = INDEX_V2, extra_st
     return bags.select("doc_ord", "bag.field", "bag.tokens").select("doc_ord", "field", F.explode("tokens").alias("token"))
 
 
-def postings(occurrences: DataFrame, stem: bool = True, only: DataFrame | None = None) -> DataFrame:
+def count_fields(occurrences: DataFrame, only: DataFrame | None = None) -> DataFrame:
     """(token, doc_ord, t, i, b, c, r, l): counts by field, after one shuffle on (token, doc_ord) of what tasks have counted.
 
     With only(token), other tokens are dropped before they are counted.
     """
-    token = stemmer(occurrences.sparkSession)(F.col("token")) if stem else F.col("token")
     counts = [F.count_if(F.col("field") == f).cast("int").alias(f) for f in FIELDS]
-    named = occurrences.select("doc_ord", "field", token.alias("token"))
     if only is not None:
-        named = named.join(only, "token", "left_semi")
-    return named.groupBy("token", "doc_ord").agg(*counts)
+        occurrences = occurrences.join(only, "token", "left_semi")
+    return occurrences.groupBy("token", "doc_ord").agg(*counts)
+
+
+def stem_table(words: DataFrame) -> DataFrame:
+    """(token, stem) of each of words(token): only distinct words reach the stemmer."""
+    distinct = words.select("token").distinct()
+    return materialize(distinct.select("token", stemmer(words.sparkSession)(F.col("token")).alias("stem")), "stems")
+
+
+def restem(counted: DataFrame, stems: DataFrame, ranges: int | None = None) -> DataFrame:
+    """Counts by token as counts by stem: those of a document's tokens with one stem are added up.
+
+    With ranges, rows are dealt by that many ranges of (stem, doc_ord), and no other shuffle is needed to add them up.
+    """
+    named = counted.join(stems, "token").select(F.col("stem").alias("token"), "doc_ord", *FIELDS)
+    if ranges:
+        named = named.repartitionByRange(ranges, "token", "doc_ord")
+    return named.groupBy("token", "doc_ord").agg(*(F.sum(f).cast("int").alias(f) for f in FIELDS))
+
+
+def postings(occurrences: DataFrame, stem: bool = True, ranges: int | None = None) -> DataFrame:
+    """(token, doc_ord, t, i, b, c, r, l): counts of each token, or each stem, of a document by field.
+
+    To stem, tokens are counted as they are and these counts kept as a scratch table; their vocabulary is stemmed
+    once, and its stems are joined with the counts. With ranges, rows are dealt by that many ranges of (token, doc_ord).
+    """
+    counted = count_fields(occurrences)
+    if not stem:
+        return counted.repartitionByRange(ranges, "token", "doc_ord") if ranges else counted
+    counted = materialize(counted, "counts")
+    return restem(counted, stem_table(counted), ranges)
 
 
 def document_frequencies(found: DataFrame) -> DataFrame:
@@ -48,10 +79,15 @@ def document_frequencies(found: DataFrame) -> DataFrame:
     return found.groupBy("token").agg(F.count("*").alias("df"))
 
 
-def posting_lists(found: DataFrame) -> DataFrame:
-    """(token, postings): a token's postings in text form, by document. For export; search reads rows."""
+def posting_lists(found: DataFrame, chunk: int = CHUNK_DOCS) -> DataFrame:
+    """(token, chunk, postings): a token's postings of each chunk of so many documents in text form, by document.
+
+    A token's list is what its chunks hold, one after the other; no row holds more than a chunk's postings,
+    however many documents have the token. For export; search reads rows.
+    """
     rows = F.array_sort(F.collect_list(F.struct("doc_ord", encode_posting().alias("p"))))
-    return found.groupBy("token").agg(F.array_join(F.transform(rows, lambda x: x["p"]), "").alias("postings"))
+    grouped = found.groupBy("token", F.floor(F.col("doc_ord") / chunk).alias("chunk"))
+    return grouped.agg(F.array_join(F.transform(rows, lambda x: x["p"]), "").alias("postings"))
 
 
 def merge_postings(parts: list[DataFrame]) -> DataFrame:
@@ -62,20 +98,16 @@ def merge_postings(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def ordinals(words: DataFrame, prefix: int = 3) -> DataFrame:
+def ordinals(words: DataFrame) -> DataFrame:
     """(token, ordinal): 1-based place of each token in binary order.
 
-    Tokens are numbered within groups of equal beginnings, which lie in order, and offset by the sizes
-    of the groups before; no task sorts the vocabulary.
+    Tokens are dealt by ranges and sorted in each, and the ranges' sizes offset their numbers: no task sorts more
+    than a range, and no beginning of words is a task's alone.
     """
-    words = words.select("token").distinct().withColumn("start", F.substring("token", 1, prefix))
-    sizes = words.groupBy("start").agg(F.count("*").alias("n")).withColumn("first", F.substring("start", 1, 1))
-    firsts = sizes.groupBy("first").agg(F.sum("n").alias("m"))
-    before_first = firsts.withColumn("base", F.coalesce(F.sum("m").over(Window.orderBy("first").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    inside = Window.partitionBy("first").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.withColumn("own", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(before_first.select("first", "base"), "first")
-    numbered = words.withColumn("i", F.row_number().over(Window.partitionBy("start").orderBy("token")))
-    return numbered.join(offsets.select("start", (F.col("base") + F.col("own")).alias("offset")), "start").select("token", (F.col("offset") + F.col("i")).alias("ordinal"))
+    n = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = words.select("token").distinct().repartitionByRange(n, "token").sortWithinPartitions("token")
+    stored = materialize(ranged.withColumn("place", F.monotonically_increasing_id()), "vocabulary")
+    return numbered(stored, "place", "ordinal").select("token", (F.col("ordinal") + 1).alias("ordinal"))
 
 
 def vocabulary_shards(words: DataFrame, size: int = SHARD_TOKENS) -> DataFrame:
@@ -91,11 +123,21 @@ def secondary_index(shards: DataFrame) -> DataFrame:
 def shard_lookup(words: DataFrame, index: DataFrame) -> DataFrame:
     """(token, shard): the last shard that begins at or before the token; none for a token before all.
 
-    A range of first tokens is a shard's half-open interval, so the lookup is one join of a small side.
+    Words and first tokens are dealt together by ranges of tokens. Within a range a word gets the last shard that
+    begins before it, or else the last one of the ranges before, of which there is one row a range.
     """
-    ranges = index.withColumn("next_token", F.lead("first_token").over(Window.orderBy("first_token")))
-    inside = (F.col("token") >= F.col("first_token")) & (F.col("next_token").isNull() | (F.col("token") < F.col("next_token")))
-    return words.join(ranges, inside).select("token", "shard")
+    n = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = words.select("token", F.lit(None).cast("int").alias("shard")).unionByName(index.select(F.col("first_token").alias("token"), "shard"))
+    ranged = both.repartitionByRange(n, "token").withColumn("part", F.spark_partition_id())
+    ranged = materialize(ranged, "ranges")
+    # a first token comes before the same word; among ranges the last shard so far is carried on
+    inside = Window.partitionBy("part").orderBy("token", F.col("shard").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    lasts = ranged.groupBy("part").agg(F.max("shard").alias("own"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # over one row a range
+    carried = F.broadcast(lasts.select("part", F.max("own").over(before).alias("carried")))
+    seen = ranged.select("part", "token", F.col("shard").isNull().alias("asked"), F.last("shard", ignorenulls=True).over(inside).alias("shard"))
+    found = seen.where("asked").join(carried, "part").select("token", F.coalesce("shard", "carried").alias("shard"))
+    return found.where(F.col("shard").isNotNull())
 
 
 def corpus_statistics(pages: DataFrame, found: DataFrame, frequencies: DataFrame | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scoring import idf, weighted_tf
 from ..runtime import materialize
-from .postings import postings
+from .postings import count_fields, merge_postings, restem, stem_table
 from .queryparse import parse
 
 #: Query terms of a batch that are read into the driver and broadcast.
@@ -48,8 +48,9 @@ def bounded(terms: DataFrame) -> tuple[DataFrame, list[str] | None]:
     """Terms to join with, and their tokens if there are MAX_TERMS terms at most.
 
     So few terms are read into the driver: the join broadcasts them, and their tokens become a filter that
-    reaches the scan of stored postings. More terms are joined as they are.
+    reaches the scan of stored postings. More terms are a scratch table.
     """
+    terms = materialize(terms, "terms")
     rows = terms.limit(MAX_TERMS + 1).collect()
     if len(rows) > MAX_TERMS:
         return terms, None
@@ -57,18 +58,67 @@ def bounded(terms: DataFrame) -> tuple[DataFrame, list[str] | None]:
 
 
 def search(lines: DataFrame, found: DataFrame, frequencies: DataFrame, n_docs: DataFrame, titles: DataFrame, k: int = 10, stem: bool = True, aggregate: bool = False) -> DataFrame:
-    """Ranked answers to lines(query_id, line) from postings and frequencies; a line without hits has no rows."""
+    """Ranked answers to lines(query_id, line) from postings and frequencies; a line without hits has no rows.
+
+    Few terms filter the scans by their tokens. Many terms leave only their tokens' rows by a semi-join, which
+    the planner broadcasts or shuffles by the size of the distinct tokens.
+    """
     terms, words = bounded(parse(lines, stem))
     if words is not None:
         found, frequencies = (df.where(F.col("token").isin(words)) for df in (found, frequencies))
         frequencies = F.broadcast(frequencies)  # a row for each of the words at most
+    else:
+        asked = terms.select("token").distinct()
+        found, frequencies = (df.join(asked, "token", "left_semi") for df in (found, frequencies))
     return rank(score(terms, found, frequencies, n_docs), titles, k, aggregate, words is not None)
 
 
 def search_fields(lines: DataFrame, occurrences: DataFrame, n_docs: DataFrame, titles: DataFrame, k: int = 10, stem: bool = True, aggregate: bool = False) -> DataFrame:
-    """The same without an index: counts only the terms' tokens in field occurrences, and keeps those counts as a table."""
+    """The same without an index: counts only the terms' tokens in field occurrences, and keeps those counts as a table.
+
+    To stem, the vocabulary is stemmed first, and the tokens whose stems are asked for are the ones that count.
+    """
     terms, words = bounded(parse(lines, stem))
     only = terms.select("token").distinct()
-    found = materialize(postings(occurrences, stem, only if words is None else F.broadcast(only)), "matches")
+    if stem:
+        stems = stem_table(occurrences)
+        stems = materialize(stems.join(only.withColumnRenamed("token", "stem"), "stem", "left_semi"), "asked")
+        found = restem(count_fields(occurrences, stems.select("token")), stems)
+    else:
+        found = count_fields(occurrences, only if words is None else F.broadcast(only))
+    found = materialize(found, "matches")
     frequencies = found.groupBy("token").agg(F.count("*").alias("df"))
     return rank(score(terms, found, frequencies, n_docs), titles, k, aggregate, words is not None)
+
+
+class Searcher:
+    """A stored index that stays warm: statistics and the postings and frequencies of tokens asked before are kept.
+
+    A batch reads only tokens that no batch before has asked for. What is kept is persisted, in memory or on disk
+    of the executors, and can be read anew if it is lost; close() lets it go.
+    """
+
+    def __init__(self, found: DataFrame, frequencies: DataFrame, n_docs: DataFrame, titles: DataFrame):
+        spark = found.sparkSession
+        self.stored, self.titles = (found, frequencies), titles
+        self.n_docs = spark.createDataFrame([tuple(n_docs.first())], "n_docs long")
+        self.kept: list[tuple[DataFrame, DataFrame]] = []
+        self.known: set[str] = set()
+
+    def search(self, lines: DataFrame, k: int = 10, stem: bool = True, aggregate: bool = False) -> DataFrame:
+        """Ranked answers as search() gives them; batches of more than MAX_TERMS terms aren't kept."""
+        terms, words = bounded(parse(lines, stem))
+        if words is None or len(self.known | set(words)) > 10 * MAX_TERMS:
+            return search(lines, *self.stored, self.n_docs, self.titles, k, stem, aggregate)
+        if new := sorted(set(words) - self.known):
+            self.kept.append(tuple(df.where(F.col("token").isin(new)).persist() for df in self.stored))
+            self.known |= set(new)
+        empty = tuple(df.where("false") for df in self.stored)
+        found, frequencies = (merge_postings([p[i] for p in self.kept] or [empty[i]]) for i in (0, 1))
+        return rank(score(terms, found, F.broadcast(frequencies), self.n_docs), self.titles, k, aggregate, True)
+
+    def close(self) -> None:
+        for pair in self.kept:
+            for df in pair:
+                df.unpersist()
+        self.kept, self.known = [], set()

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
+from .functions.porter2 import DOUBLES, EXCEPTIONS, INVARIANTS, LI_ENDINGS, REGION_PREFIXES, STEP2, STEP3, STEP4
 from .functions.scoring import FIELDS, WEIGHTS
 from .functions.stopwords import STOP_WORDS
 from .functions.text import BLANKS_ASCII, BLANKS_UNICODE, SPECIALS_V1, SPECIALS_V2
+from .operators.postings import CHUNK_DOCS, SHARD_TOKENS
 
 #: Tokens of the first vocabulary shard; later ones hold one more. Small, so that test data has several.
 SHARD_SIZE = 1000
@@ -88,13 +92,69 @@ _BAGS_V1 = "bags AS (" + " UNION ALL ".join(
 ) + ")"
 _POSTINGS = "postings AS (SELECT token, doc_ord, " + ", ".join(f"CAST(count(*) FILTER (WHERE field = '{f}') AS INTEGER) AS {f}" for f in FIELDS) + " FROM bags GROUP BY token, doc_ord)"
 _ENCODED = "'d' || doc_ord || " + " || ".join(f"CASE WHEN {f} <> 0 THEN '{f}' || {f} ELSE '' END" for f in FIELDS)
+_STEMMED = "vocabulary_b AS (SELECT DISTINCT token FROM bags), " + "{stems}" + ", bags_s AS (SELECT doc_ord, field, stem AS token FROM bags JOIN b_stems USING (token)), " + _POSTINGS.replace("FROM bags", "FROM bags_s")
 _DF = "df AS (SELECT token, count(*) AS df FROM postings GROUP BY token)"
 _SHARDS = f"shards AS (SELECT token, CAST(floor(row_number() OVER (ORDER BY token) / {SHARD_SIZE + 1}) AS INTEGER) AS shard FROM df)"
 
 
-def _parsed(lines) -> str:
+def _ends(word: str, pattern: str) -> str:
+    return f"regexp_matches({word}, '({pattern})$')"
+
+
+def _ends_short(word: str) -> str:
+    return f"(regexp_matches({word}, '[^aeiouy][aeiouy][^aeiouywxY]$') OR regexp_matches({word}, '^[aeiouy][^aeiouy]$'))"
+
+
+def _replaced(pairs: dict[str, str]) -> str:
+    """What comes in place of a suffix, as a CASE over the column suf."""
+    return "CASE suf " + " ".join(f"WHEN {_quote(a)} THEN {_quote(b)}" for a, b in pairs.items()) + " END"
+
+
+def _stems(vocabulary: str, tag: str) -> str:
+    """<tag>stems(token, stem) of a table of tokens without apostrophes: Porter2, a common table expression a step.
+
+    w is the word so far, in which Y is a y that counts as a consonant; r1 and r2 are where its regions begin,
+    f is the stem of a word that is done. A suffix is the longest that fits, as the leftmost match is.
+    """
+    cut = "left(w, length(w) - length(suf))"
+    found = lambda suffixes: f"regexp_extract(w, '({'|'.join(suffixes)})$')"
+    first = "'^[^aeiouy]*[aeiouy]+[^aeiouy]'"
+    region = lambda part, whole: f"CASE WHEN regexp_matches({part}, {first}) THEN length(regexp_extract({part}, {first})) ELSE length({part}) END"
+    prefix = f"'^({'|'.join(REGION_PREFIXES)})'"
+    known = "CASE w " + " ".join(f"WHEN {_quote(a)} THEN {_quote(b)}" for a, b in EXCEPTIONS.items()) + " WHEN '' THEN '' ELSE CASE WHEN length(w) <= 2 THEN w END END"
+    last = " UNION ALL ".join(["SELECT token, f AS stem FROM s6 WHERE f IS NOT NULL", """SELECT token, replace(CASE
+ WHEN right(w, 1) = 'e' AND (length(w) - 1 >= r2 OR (length(w) - 1 >= r1 AND NOT """ + _ends_short("left(w, length(w) - 1)") + """)) THEN left(w, length(w) - 1)
+ WHEN right(w, 2) = 'll' AND length(w) - 1 >= r2 THEN left(w, length(w) - 1) ELSE w END, 'Y', 'y') FROM s6 WHERE f IS NULL"""])
+    steps = f"""s0 AS (SELECT token, lower(token) AS w FROM {vocabulary}),
+ s0a AS (SELECT token, {known} AS f, regexp_replace(regexp_replace(w, '^y', 'Y'), '([aeiouy])y', '\1Y', 'g') AS w FROM s0),
+ s0b AS (SELECT *, CASE WHEN regexp_matches(w, {prefix}) THEN length(regexp_extract(w, {prefix})) ELSE {region("w", "w")} END AS r1 FROM s0a),
+ s0c AS (SELECT *, r1 + {region("substr(w, r1 + 1)", "w")} AS r2 FROM s0b),
+ s1 AS (SELECT * REPLACE (CASE WHEN {_ends("w", "sses")} THEN left(w, length(w) - 2)
+  WHEN {_ends("w", "ied|ies")} THEN left(w, length(w) - CASE WHEN length(w) > 4 THEN 2 ELSE 1 END)
+  WHEN {_ends("w", "us|ss")} THEN w WHEN {_ends("w", "s")} AND regexp_matches(left(w, length(w) - 2), '[aeiouy]') THEN left(w, length(w) - 1) ELSE w END AS w) FROM s0c),
+ s1a AS (SELECT * REPLACE (CASE WHEN f IS NULL AND w IN ({', '.join(map(_quote, sorted(INVARIANTS)))}) THEN w ELSE f END AS f), {found(("eedly", "eed", "ingly", "edly", "ing", "ed"))} AS suf FROM s1),
+ s1b AS (SELECT *, {cut} AS c FROM s1a),
+ s1c AS (SELECT token, f, r1, r2, CASE WHEN suf IN ('eed', 'eedly') THEN CASE WHEN length(c) >= r1 THEN c || 'ee' ELSE w END
+  WHEN suf = '' OR NOT regexp_matches(c, '[aeiouy]') THEN w WHEN {_ends("c", "at|bl|iz")} THEN c || 'e'
+  WHEN {_ends("c", "|".join(DOUBLES))} THEN left(c, length(c) - 1) WHEN r1 >= length(c) AND {_ends_short("c")} THEN c || 'e' ELSE c END AS w FROM s1b),
+ s2 AS (SELECT * REPLACE (CASE WHEN length(w) > 2 AND regexp_matches(w, '[^aeiouy][yY]$') THEN left(w, length(w) - 1) || 'i' ELSE w END AS w) FROM s1c),
+ s2a AS (SELECT *, {found((*STEP2, "ogi", "li"))} AS suf FROM s2), s2b AS (SELECT *, {cut} AS c FROM s2a),
+ s3 AS (SELECT token, f, r1, r2, CASE WHEN suf = '' OR length(c) < r1 THEN w WHEN suf = 'ogi' THEN CASE WHEN right(c, 1) = 'l' THEN left(w, length(w) - 1) ELSE w END
+  WHEN suf = 'li' THEN CASE WHEN {_ends("c", "[" + "".join(sorted(LI_ENDINGS)) + "]")} THEN c ELSE w END ELSE c || {_replaced(STEP2)} END AS w FROM s2b),
+ s3a AS (SELECT *, {found((*STEP3, "ative"))} AS suf FROM s3), s3b AS (SELECT *, {cut} AS c FROM s3a),
+ s4 AS (SELECT token, f, r1, r2, CASE WHEN suf = '' OR length(c) < r1 THEN w WHEN suf = 'ative' THEN CASE WHEN length(c) >= r2 THEN c ELSE w END ELSE c || {_replaced(STEP3)} END AS w FROM s3b),
+ s5 AS (SELECT *, {found((*STEP4, "ion"))} AS suf FROM s4), s5a AS (SELECT *, {cut} AS c FROM s5),
+ s6 AS (SELECT token, f, r1, r2, CASE WHEN suf = '' OR length(c) < r2 OR (suf = 'ion' AND NOT {_ends("c", "[st]")}) THEN w ELSE c END AS w FROM s5a),
+ stems AS ({last})"""
+    return re.sub(r"\b(s\d[a-c]?|stems)\b", tag + r"\1", steps)
+
+
+def _parsed(lines, stem: bool = False) -> str:
     values = ", ".join(f"({i}, {_quote(s)})" for i, s in lines)
     known = ", ".join(map(_quote, FIELDS))
+    listed, source = ("words_", "words_ JOIN q_stems USING (token)") if stem else ("all_terms", "all_terms")
+    own = "* EXCLUDE (token, stem), stem AS token" if stem else "*"
+    stemming = f"vocabulary_q AS (SELECT DISTINCT token FROM words_), {_stems('vocabulary_q', 'q_')}," if stem else ""
     return f"""lines AS (SELECT * FROM (VALUES {values}) v(query_id, line)),
  classes AS (SELECT query_id, line, len(p) > 0 AND len(list_filter(p, lambda x: split_part(x, ':', 1) NOT IN ({known}))) = 0 AS is_field
   FROM (SELECT query_id, line, list_filter(string_split(line, ' '), lambda x: contains(x, ':')) AS p FROM lines)),
@@ -104,9 +164,10 @@ def _parsed(lines) -> str:
  sticky AS (SELECT *, coalesce(last_value(own IGNORE NULLS) OVER (PARTITION BY query_id ORDER BY place ROWS UNBOUNDED PRECEDING), 'z') AS field FROM marked),
  texts AS (SELECT query_id, is_field, field, min(place) AS field_pos, string_agg(word, ' ' ORDER BY place) AS text FROM sticky GROUP BY query_id, is_field, field),
  bags_q AS (SELECT query_id, is_field, field, field_pos, {_kept(_query('text'), 1)} AS found FROM texts),
- all_terms AS (SELECT query_id, is_field, field, field_pos, lower(unnest(found)) AS token, generate_subscripts(found, 1) - 1 AS pos FROM bags_q),
+ {listed} AS (SELECT query_id, is_field, field, field_pos, lower(unnest(found)) AS token, generate_subscripts(found, 1) - 1 AS pos FROM bags_q),
+ {stemming} all_found AS (SELECT {own} FROM {source}),
  terms AS (SELECT query_id, CAST(field_pos AS INTEGER) AS field_pos, field, CAST(pos AS INTEGER) AS pos, token
-  FROM (SELECT *, row_number() OVER (PARTITION BY query_id, token ORDER BY field_pos, pos) AS i FROM all_terms) WHERE is_field OR i = 1)"""
+  FROM (SELECT *, row_number() OVER (PARTITION BY query_id, token ORDER BY field_pos, pos) AS i FROM all_found) WHERE is_field OR i = 1)"""
 
 
 _WHOLE = " + ".join(f"{WEIGHTS[f]} * {f}" for f in FIELDS)
@@ -129,9 +190,13 @@ def _explode(column: str, source: str) -> str:
 
 
 def oracles(lines, chunk: int) -> dict[str, str]:
-    """SQL by query name; stemmed queries have none, as the stemmer isn't SQL."""
+    """SQL by query name."""
     stored = (_BAGS, _POSTINGS)
     asked = _with(*stored, _DF, _parsed(lines), _ENTRIES)
+    stemmed = (_BAGS, _STEMMED.replace("{stems}", _stems("vocabulary_b", "b_")))
+    asked_stems = _with(*stemmed, _DF, _parsed(lines, True), _ENTRIES) + _ranked()
+    lists = f"SELECT token, doc_ord // {CHUNK_DOCS} AS chunk, string_agg({_ENCODED}, '' ORDER BY doc_ord) AS postings FROM postings GROUP BY ALL"
+    statistics = "SELECT (SELECT count(*) FROM pages_) AS n_docs, count(DISTINCT token) AS vocabulary, count(*) AS n_postings, CAST(coalesce(sum(t + i + b + c + r + l), 0) AS BIGINT) AS n_occurrences FROM postings"
     return {
         "pages_markup_view": _with() + "SELECT doc_ord, title, text FROM pages_",
         "clean_casefold": _with() + "SELECT doc_ord, text FROM clean_",
@@ -152,9 +217,9 @@ def oracles(lines, chunk: int) -> dict[str, str]:
         "field_term_counts": _with(*stored) + "SELECT * FROM postings",
         "field_term_counts_v1": _with(_BAGS_V1, _POSTINGS) + "SELECT * FROM postings",
         "posting_encode": _with(*stored) + f"SELECT token, doc_ord, {_ENCODED} AS posting FROM postings",
-        "posting_list": _with(*stored) + f"SELECT token, string_agg({_ENCODED}, '' ORDER BY doc_ord) AS postings FROM postings GROUP BY token",
+        "posting_list": _with(*stored) + lists,
         "posting_decode": _with(*stored) + "SELECT * FROM postings",
-        "chunk_merge": _with(*stored) + f"SELECT token, string_agg({_ENCODED}, '' ORDER BY doc_ord) AS postings FROM postings GROUP BY token",
+        "chunk_merge": _with(*stored) + lists,
         "document_frequency": _with(*stored, _DF) + "SELECT token, df FROM df",
         "idf_table": _with(*stored, _DF) + "SELECT token, df, round(ln((SELECT count(*) FROM pages_) / df) / ln(2.0), 6) AS idf FROM df",
         "vocab_shards": _with(*stored, _DF, _SHARDS) + "SELECT token, shard FROM shards",
@@ -165,10 +230,21 @@ def oracles(lines, chunk: int) -> dict[str, str]:
         "title_address": _with() + f"SELECT doc_ord, doc_ord // {chunk} AS chunk, doc_ord % {chunk} AS line FROM pages_",
         "title_lookup": _with(*stored) + "SELECT token, doc_ord, title FROM postings JOIN (SELECT doc_ord, title FROM pages_) USING (doc_ord) WHERE token IN ('thor', 'onere', 'src1')",
         "document_hits": _with(*stored) + "SELECT token, doc_ord FROM postings WHERE token IN ('thor', 'onere', 'src1')",
-        "corpus_stats": _with(*stored) + "SELECT (SELECT count(*) FROM pages_) AS n_docs, count(DISTINCT token) AS vocabulary, count(*) AS n_postings, CAST(coalesce(sum(t + i + b + c + r + l), 0) AS BIGINT) AS n_occurrences FROM postings",
+        "corpus_stats": _with(*stored) + statistics,
         "index_stats": _with(*stored, _DF) + f"SELECT count(*) AS vocabulary, CAST(ceil(count(*) / {SHARD_SIZE + 1}) AS BIGINT) AS shards FROM df",
         "query_classify": "WITH " + _parsed(lines) + " SELECT query_id, line, is_field FROM classes",
         "query_parse": "WITH " + _parsed(lines) + " SELECT query_id, field_pos, field, pos, token FROM terms",
+        "stem_vocabulary": _with(*stemmed) + "SELECT token, stem FROM b_stems",
+        "field_term_counts_stemmed": _with(*stemmed) + "SELECT * FROM postings",
+        "search_stemmed": asked_stems,
+        "stored_search_batch": asked_stems,
+        "warm_search_batch": asked_stems,
+        "streamed_search_batch": asked_stems,
+        "stored_postings": _with(*stemmed) + "SELECT * FROM postings WHERE token IN ('thor', 'oner', 'src')",
+        "index_build_stats": _with(*stemmed, _DF) + f"SELECT count(*) AS vocabulary, CAST(ceil(count(*) / {SHARD_TOKENS + 1}) AS BIGINT) AS shards, true AS timed, true AS sized FROM df",
+        "command_line_index": _with(*stemmed) + statistics,
+        "dump_scan": _with() + "SELECT row_number() OVER (ORDER BY doc_ord) - 1 AS doc_ord, doc_ord AS page_id, title, text FROM pages_",
+        "query_file": "SELECT * FROM (VALUES " + ", ".join(f"(CAST({i} AS BIGINT), {_quote(line)})" for i, (_, line) in enumerate(lines)) + ") v(query_id, line)",
         "search_free_text": asked + _ranked("query_id = 1"),
         "search_field": asked + _ranked("query_id = 3"),
         "search_batch": asked + _ranked(),

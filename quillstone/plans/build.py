@@ -3,47 +3,34 @@
 from __future__ import annotations
 
 import time
-from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import INDEX_V2, TokenizerConfig
 from ..operators.extract import extract_fields
-from ..operators.postings import corpus_statistics, document_frequencies, field_tokens, postings, secondary_index, vocabulary_shards
-from ..operators.search import search
+from ..operators.postings import field_tokens, postings
+from ..operators.search import Searcher, search
+from ..runtime import scratch
 from ..sources.store import Index, load, save, stored_size
 
 
 def index_pages(pages: DataFrame, config: TokenizerConfig = INDEX_V2, stem: bool = True, extra_stop_words: tuple[str, ...] = ()) -> Index:
-    """The index of pages(doc_ord, title, text), as a plan."""
-    found = postings(field_tokens(extract_fields(pages), config, extra_stop_words), stem)
-    frequencies = document_frequencies(found)
-    return Index(found, frequencies, pages.select("doc_ord", "title"), secondary_index(vocabulary_shards(frequencies)), corpus_statistics(pages, found))
+    """Postings of pages(doc_ord, title, text), dealt by ranges as save() wants them, and titles.
+
+    Pages are dealt out by doc_ord, so that a document's tokens are counted where they are found: whole texts are
+    fewer bytes to shuffle than their counts.
+    """
+    ranges = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = pages.select("doc_ord", "title", "text").repartition(ranges, "doc_ord")
+    return Index(postings(field_tokens(extract_fields(dealt), config, extra_stop_words), stem, ranges), pages.select("doc_ord", "title"))
 
 
 def build_index(pages: DataFrame, path: str, config: TokenizerConfig = INDEX_V2, stem: bool = True, extra_stop_words: tuple[str, ...] = ()) -> DataFrame:
     """Write the index of pages to path; one row (seconds, vocabulary, shards, bytes). Text is parsed once."""
     spark, began = pages.sparkSession, time.time()
-    plan = index_pages(pages, config, stem, extra_stop_words)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-    def titles() -> None:
-        plan.titles.repartitionByRange(n, "doc_ord").sortWithinPartitions("doc_ord").write.mode("overwrite").parquet(f"{path}/titles")
-
-    def counts_of(stored: DataFrame) -> DataFrame:
-        document_frequencies(stored).repartitionByRange(n, "token").sortWithinPartitions("token").write.mode("overwrite").parquet(f"{path}/frequencies")
-        return spark.read.parquet(f"{path}/frequencies")
-
-    with ThreadPoolExecutor(2) as pool:  # small jobs run beside each other
-        named = pool.submit(titles)
-        plan.postings.repartitionByRange(n, "token", "doc_ord").sortWithinPartitions("token", "doc_ord").write.mode("overwrite").parquet(f"{path}/postings")
-        stored = spark.read.parquet(f"{path}/postings")
-        frequencies = counts_of(stored)
-        shards = pool.submit(lambda: secondary_index(vocabulary_shards(frequencies)).write.mode("overwrite").parquet(f"{path}/shards"))
-        named.result()
-        corpus_statistics(spark.read.parquet(f"{path}/titles"), stored, frequencies).write.mode("overwrite").parquet(f"{path}/stats")
-        shards.result()
+    with scratch():
+        save(index_pages(pages, config, stem, extra_stop_words), path)
     counts = spark.read.parquet(f"{path}/shards").agg(F.count("*").alias("shards"))
     row = spark.read.parquet(f"{path}/stats").select("vocabulary").crossJoin(counts)  # one row with one row
     return row.select(F.lit(time.time() - began).alias("seconds"), "vocabulary", "shards", F.lit(stored_size(spark, path)).alias("bytes"))
@@ -55,4 +42,10 @@ def search_index(spark: SparkSession, path: str, lines: DataFrame, k: int = 10,
     return search(lines, index.postings, index.frequencies, index.n_docs, index.titles, k, stem, aggregate)
 
 
-__all__ = ["build_index", "index_pages", "load", "save", "search_index"]
+def open_index(spark: SparkSession, path: str) -> Searcher:
+    """A stored index that keeps what its batches have read."""
+    index = load(spark, path)
+    return Searcher(index.postings, index.frequencies, index.n_docs, index.titles)
+
+
+__all__ = ["build_index", "index_pages", "load", "open_index", "save", "search_index"]

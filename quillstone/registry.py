@@ -8,15 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.scoring import FIELDS, decode_postings, encode_posting, idf
-from .functions.stemming import stemmer
 from .functions.text import INDEX_V1, INDEX_V2, QUERY, clean, drop_stop_words, tokens, tokens_of_fragments
 from .operators import extract as X
 from .operators import postings as P
 from .operators.queryparse import classify, parse
 from .operators.search import search_fields
 from .oracle import SHARD_SIZE, oracles
-from .runtime import spread
-from .sources.pages import markup_pages
+from .plans.build import build_index, load, open_index, search_index
+from .runtime import scratch_path, spread
+from .sources.pages import markup_pages, read_dump, read_queries, write_dump
+from .streaming.ingest import ingest, load_streamed
 
 #: Query lines that the search queries answer.
 LINES = (
@@ -132,8 +133,7 @@ def length_filter(spark, d):
 
 
 def stem_vocabulary(spark, d):
-    words = P.field_tokens(_fields(spark, d)).select("token").distinct()
-    return words.select("token", stemmer(spark)(F.col("token")).alias("stem"))
+    return P.stem_table(P.field_tokens(_fields(spark, d)))
 
 
 def field_term_counts(spark, d):
@@ -248,6 +248,69 @@ def search_stemmed(spark, d):
     return _search(spark, d, (), stem=True)
 
 
+def _index(spark, d) -> str:
+    """The path of an index over the markup view, in the shared folder."""
+    path = scratch_path(spark, "index")
+    build_index(markup_pages(spark, d), path)
+    return path
+
+
+def _dump(spark, d) -> str:
+    """The path of a page dump of the markup view, in the shared folder."""
+    path = scratch_path(spark, "dump")
+    write_dump(markup_pages(spark, d), path)
+    return path
+
+
+def stored_search_batch(spark, d):
+    return search_index(spark, _index(spark, d), lines(spark))
+
+
+def warm_search_batch(spark, d):
+    """The batch again, after one of every other line has warmed the searcher."""
+    searcher = open_index(spark, _index(spark, d))
+    searcher.search(lines(spark).where("query_id % 2 = 0")).count()
+    return searcher.search(lines(spark))
+
+
+def streamed_search_batch(spark, d):
+    """The batch over an index that a stream of two files of pages has built."""
+    source, path = scratch_path(spark, "incoming"), scratch_path(spark, "streamed")
+    pages = markup_pages(spark, d)
+    pages.repartition(2, "doc_ord").write.parquet(source)
+    stream = spark.readStream.schema(pages.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    ingest(stream, path, scratch_path(spark, "state")).awaitTermination()
+    return load_streamed(spark, path).search(lines(spark))
+
+
+def stored_postings(spark, d):
+    return load(spark, _index(spark, d)).postings.where(F.col("token").isin("thor", "oner", "src"))
+
+
+def index_build_stats(spark, d):
+    """The statistics of a build; that it took time and space is all that two builds have in common."""
+    built = build_index(markup_pages(spark, d), scratch_path(spark, "index"))
+    return built.select("vocabulary", "shards", (F.col("seconds") > 0).alias("timed"), (F.col("bytes") > 0).alias("sized"))
+
+
+def command_line_index(spark, d):
+    from .__main__ import main
+
+    path = scratch_path(spark, "index")
+    main(["index", _dump(spark, d), path])
+    return load(spark, path).stats
+
+
+def dump_scan(spark, d):
+    return read_dump(spark, _dump(spark, d))
+
+
+def query_file(spark, d):
+    path = scratch_path(spark, "queries")
+    lines(spark).coalesce(1).sortWithinPartitions("query_id").select("line").write.text(path)
+    return read_queries(spark, path)
+
+
 _QUERIES = (
     pages_markup_view, clean_casefold, infobox_extract, infobox_strip, references_split, category_extract, category_strip,
     external_links_split, links_extract, references_extract, tokenize_v1, tokenize_v2, tokenize_query, tokenize_fragments,
@@ -255,6 +318,7 @@ _QUERIES = (
     posting_encode, posting_list, posting_decode, chunk_merge, document_frequency, idf_table, vocab_shards, secondary_index,
     shard_lookup, title_address, title_lookup, document_hits, corpus_stats, index_stats, query_classify, query_parse,
     search_free_text, search_field, search_batch, search_aggregated, search_stemmed,
+    stored_search_batch, warm_search_batch, streamed_search_batch, stored_postings, index_build_stats, command_line_index, dump_scan, query_file,
 )
 
 

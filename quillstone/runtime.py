@@ -1,4 +1,4 @@
-"""Session helpers shared by the whole library: shared scratch tables and code shipping."""
+"""Session helpers shared by the whole library: shared scratch tables, code shipping, row numbers, skewed joins."""
 
 from __future__ import annotations
 
@@ -7,10 +7,20 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+#: Stored bytes of a table that is dealt out to all cores; larger ones have splits enough or aren't worth a shuffle.
+SPREAD_BYTES = 256 << 20
+#: Keys that a salted join counts as hot, at most, and the fewest rows that make a key hot.
+HOT_KEYS, HOT_ROWS = 10_000, 256
+
+_NARROW = {"Project", "Filter", "SubqueryAlias", "LogicalRelation", "LocalRelation", "Relation"}
 _shipped: set[str] = set()
 _written: list[tuple[SparkSession, str]] = []
 
@@ -45,30 +55,121 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def scratch_path(spark: SparkSession, tag: str) -> str:
+    """A new path in the shared folder; what is written there goes with the scratch tables."""
+    path = f"{shared_dir(spark)}/quillstone-{tag}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write df to a table in the shared folder and read it back: lineage ends there and lost executors cost nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quillstone-{tag}-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, tag)
     df.write.option("compression", "zstd").parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def fresh(name: str, *frames: DataFrame) -> str:
+    """A column name that none of the frames has, compared without case."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def stored_bytes(df: DataFrame) -> int | None:
+    """Bytes of the table that df reads, where df is a file or local table with nothing but filters and projections; else None.
+
+    The optimizer's figures are read; nothing is planned or run.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan()
+    leaf, width = plan, 1
+    while width == 1:
+        if leaf.nodeName().split()[0] not in _NARROW:
+            return None
+        children = leaf.children()
+        width = children.size()
+        if width == 1:
+            leaf = children.head()
+    size = int(str(leaf.stats().sizeInBytes()))
+    return size if width == 0 and size < 1 << 60 else None
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deal rows out to all cores if the source has fewer partitions than that: small single files, never large inputs."""
+    """Deal the rows of a small table that lies in fewer splits than there are cores out to all of them.
+
+    Only tables of SPREAD_BYTES at most are dealt, and only where df reads them directly: a large table is never
+    shuffled for this, and no upstream shuffle is run to count partitions.
+    """
+    size = stored_bytes(df)
+    if size is None or size > SPREAD_BYTES:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df
 
 
-def release() -> None:
-    """Delete every table that materialize() wrote in this process."""
-    while _written:
+def numbered(stored: DataFrame, place: str, ordinal: str, *source: str) -> DataFrame:
+    """stored with an ordinal from 0 without gaps, and without the place column and the source columns.
+
+    place holds monotonically_increasing_id() from when the table was written. Without source columns, rows are
+    in order of place; with them (path and first byte of a split), in order of these, then of place. Each
+    partition's or split's offset is a row of a table that is read into the driver and broadcast: one short
+    row a task of the job that wrote the table.
+    """
+    keys = list(source) or [fresh("part", stored)]
+    rows = stored if source else stored.withColumn(keys[0], F.shiftright(place, 33))
+    n, least, offset = (fresh(c, rows) for c in ("n", "least", "offset"))
+    counts = rows.groupBy(*keys).agg(F.count("*").alias(n), F.min(place).alias(least)).collect()
+    offsets, total = [], 0
+    for r in sorted(counts, key=lambda r: tuple(r[k] for k in keys)):
+        offsets.append((*(r[k] for k in keys), total - r[least]))
+        total += r[n]
+    schema = ", ".join([*(f"`{k}` {stored.schema[k].dataType.simpleString() if source else 'bigint'}" for k in keys), f"`{offset}` bigint"])
+    table = F.broadcast(stored.sparkSession.createDataFrame(offsets, schema))
+    return rows.join(table, keys).withColumn(ordinal, F.col(offset) + F.col(place)).drop(*keys, offset, place)
+
+
+def salted_join(many: DataFrame, one: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
+    """many joined with one on key, which is unique in one; rows of many with a hot key are dealt out by a hash of column by.
+
+    A key is hot if it has more than HOT_ROWS rows and a HOT_KEYS-th of all of them, so there are HOT_KEYS hot keys
+    at most; these are counted first and broadcast. A hot key's row of one is repeated once for each deal of so many
+    rows. many should be a stored table: it is read twice.
+    """
+    bound = max(HOT_ROWS, many.count() // HOT_KEYS)
+    salts, salt = fresh("salts", many, one), fresh("salt", many, one)
+    hot = many.groupBy(key).agg(F.ceil(F.count("*") / bound).cast("int").alias(salts)).where(F.col(salts) > 1).limit(HOT_KEYS + 1).collect()
+    if not hot:
+        return many.join(one, key, how)
+    table = F.broadcast(many.sparkSession.createDataFrame(hot, T.StructType([many.schema[key], T.StructField(salts, T.IntegerType())])))
+    dealt = many.join(table, key, "left").withColumn(salt, F.pmod(F.xxhash64(by), F.coalesce(salts, F.lit(1))).cast("int")).drop(salts)
+    repeated = one.join(table, key, "left").withColumn(salt, F.explode(F.sequence(F.lit(0), F.coalesce(salts, F.lit(1)) - 1))).drop(salts)
+    return dealt.join(repeated, [key, salt], how).drop(salt)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def release(since: int = 0) -> None:
+    """Delete the scratch tables of this process, but for the first `since` of them."""
+    while len(_written) > since:
         spark, path = _written.pop()
         try:
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(spark, path)
         except Exception:  # the session has ended; the folder goes with it
             return
 
 
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Scratch tables that are written inside are deleted at the end; nothing lazy that reads them may leave."""
+    mark = len(_written)
+    try:
+        yield
+    finally:
+        release(mark)
+
+
 atexit.register(release)

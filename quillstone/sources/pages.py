@@ -5,36 +5,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import fresh, materialize, numbered
+
 DUMP_SCHEMA = "title string, ns int, id long, revision struct<id:long,text:string>"
 
 
-def with_ordinals(pages: DataFrame) -> DataFrame:
-    """Adds doc_ord, the row's place in source order from 0 without gaps.
+def with_ordinals(rows: DataFrame, name: str = "doc_ord") -> DataFrame:
+    """Adds a column with each row's place in source order from 0 without gaps: files by path, a file's rows as they lie.
 
-    Rows are numbered in their partitions and offset by the sizes of earlier ones, whose counts are a
-    small table of their own; nothing is shuffled but that.
+    rows comes straight from a file source. It is parsed once and kept as a scratch table; splits' sizes are counted
+    there, and their offsets, a short row for each split, are broadcast. Text is never shuffled.
     """
-    placed = pages.withColumn("__id__", F.monotonically_increasing_id())
-    placed = placed.withColumns({"__part__": F.shiftright("__id__", 33), "__row__": F.col("__id__").bitwiseAND((1 << 33) - 1)})
-    counts = sorted((r["__part__"], r["count"]) for r in placed.groupBy("__part__").count().collect())
-    offsets, total = [], 0
-    for part, n in counts:
-        offsets.append((part, total))
-        total += n
-    table = pages.sparkSession.createDataFrame(offsets, "__part__ long, __offset__ long")
-    return placed.join(table, "__part__").withColumn("doc_ord", F.col("__offset__") + F.col("__row__")).drop("__id__", "__part__", "__row__", "__offset__")
+    place, path, first = (fresh(c, rows) for c in ("place", "path", "first_byte"))
+    located = rows.select("*", F.col("_metadata.file_path").alias(path), F.col("_metadata.file_block_start").alias(first))
+    stored = materialize(located.withColumn(place, F.monotonically_increasing_id()), "pages")
+    return numbered(stored, place, name, path, first)
 
 
 def read_dump(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_ord, page_id, title, text) of a page dump; the whole title is kept, missing text is empty."""
-    raw = spark.read.format("xml").option("rowTag", "page").schema(DUMP_SCHEMA).load(path)
-    pages = raw.select(F.col("id").alias("page_id"), F.coalesce("title", F.lit("")).alias("title"), F.coalesce("revision.text", F.lit("")).alias("text"))
-    return with_ordinals(pages).select("doc_ord", "page_id", "title", "text")
+    """(doc_ord, page_id, title, text) of a page dump; titles and texts are kept whole, missing ones are empty."""
+    raw = spark.read.format("xml").option("rowTag", "page").option("ignoreSurroundingSpaces", "false").schema(DUMP_SCHEMA).load(path)
+    pages = with_ordinals(raw)
+    return pages.select("doc_ord", F.col("id").alias("page_id"), F.coalesce("title", F.lit("")).alias("title"), F.coalesce("revision.text", F.lit("")).alias("text"))
 
 
 def read_queries(spark: SparkSession, path: str) -> DataFrame:
     """(query_id, line) of a text file, a query a line, numbered from 0."""
-    return with_ordinals(spark.read.text(path).withColumnRenamed("value", "line")).select(F.col("doc_ord").alias("query_id"), "line")
+    return with_ordinals(spark.read.text(path).withColumnRenamed("value", "line"), "query_id").select("query_id", "line")
+
+
+def write_dump(pages: DataFrame, path: str) -> None:
+    """Write pages(doc_ord, title, text) as a page dump in order of doc_ord, in files by ranges of it."""
+    revision = F.struct(F.col("doc_ord").alias("id"), F.col("text").alias("text"))
+    rows = pages.select("title", F.lit(0).alias("ns"), F.col("doc_ord").alias("id"), revision.alias("revision"))
+    rows.repartitionByRange("id").sortWithinPartitions("id").write.format("xml").option("rowTag", "page").option("rootTag", "mediawiki").save(path)
 
 
 def markup_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,44 +2,55 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.postings import posting_lists
+from ..operators.postings import corpus_statistics, document_frequencies, posting_lists, secondary_index, vocabulary_shards
 
 
 @dataclass
 class Index:
-    """Postings, document frequencies, titles, vocabulary shards and one row of statistics."""
+    """Postings, titles, and what a stored index has besides: document frequencies, vocabulary shards, one row of statistics."""
 
     postings: DataFrame
-    frequencies: DataFrame
     titles: DataFrame
-    shards: DataFrame
-    stats: DataFrame
+    frequencies: DataFrame | None = None
+    shards: DataFrame | None = None
+    stats: DataFrame | None = None
 
     @property
     def n_docs(self) -> DataFrame:
         return self.stats.select("n_docs")
 
 
-TABLES = ("postings", "frequencies", "titles", "shards", "stats")
+TABLES = ("postings", "titles", "frequencies", "shards", "stats")
 
 
 def save(index: Index, path: str, partitions: int | None = None) -> None:
     """Write an index. Postings are dealt by ranges of (token, doc_ord), so a frequent token may span several
-    files, and sorted, so that row groups' statistics answer token lookups."""
+    files, and sorted, so that row groups' statistics answer token lookups. Small tables are written beside each other."""
     spark = index.postings.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    index.postings.repartitionByRange(n, "token", "doc_ord").sortWithinPartitions("token", "doc_ord").write.mode("overwrite").parquet(f"{path}/postings")
-    stored = spark.read.parquet(f"{path}/postings")
-    frequencies = stored.groupBy("token").agg(F.count("*").alias("df"))
-    frequencies.repartitionByRange(n, "token").sortWithinPartitions("token").write.mode("overwrite").parquet(f"{path}/frequencies")
-    index.titles.repartitionByRange(n, "doc_ord").sortWithinPartitions("doc_ord").write.mode("overwrite").parquet(f"{path}/titles")
-    index.shards.write.mode("overwrite").parquet(f"{path}/shards")
-    index.stats.write.mode("overwrite").parquet(f"{path}/stats")
+
+    def ranged(df: DataFrame, name: str, *keys: str) -> None:
+        df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).write.mode("overwrite").parquet(f"{path}/{name}")
+
+    def plain(df: DataFrame, name: str) -> None:
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+
+    with ThreadPoolExecutor(2) as pool:
+        titles = pool.submit(ranged, index.titles, "titles", "doc_ord")
+        index.postings.sortWithinPartitions("token", "doc_ord").write.mode("overwrite").parquet(f"{path}/postings")
+        stored = spark.read.parquet(f"{path}/postings")
+        ranged(document_frequencies(stored), "frequencies", "token")
+        frequencies = spark.read.parquet(f"{path}/frequencies")
+        shards = pool.submit(plain, secondary_index(vocabulary_shards(frequencies)), "shards")
+        titles.result()
+        plain(corpus_statistics(spark.read.parquet(f"{path}/titles"), stored, frequencies), "stats")
+        shards.result()
 
 
 def load(spark: SparkSession, path: str) -> Index:
@@ -47,9 +58,9 @@ def load(spark: SparkSession, path: str) -> Index:
 
 
 def export_text(index: Index, path: str, partitions: int | None = None) -> None:
-    """Write posting lists as text, a line token:postings each, in ranges of tokens and sorted within files."""
+    """Write posting lists as text, a line token:postings for each of a token's chunks, in ranges and sorted within files."""
     n = partitions or int(index.postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    lists = posting_lists(index.postings).repartitionByRange(n, "token").sortWithinPartitions("token")
+    lists = posting_lists(index.postings).repartitionByRange(n, "token", "chunk").sortWithinPartitions("token", "chunk")
     lists.select(F.concat("token", F.lit(":"), "postings").alias("value")).write.mode("overwrite").text(path)
 
 

@@ -1,5 +1,4 @@
 import math
-from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,10 +7,11 @@ from quillstone.functions.scoring import decode_postings, encode_posting
 from quillstone.operators import postings as P
 from quillstone.operators.extract import extract_fields
 from quillstone.operators.queryparse import classify, parse
-from quillstone.plans.build import build_index, index_pages, load, search_index
+from quillstone.operators import search as S
+from quillstone.plans.build import build_index, index_pages, load, open_index, search_index
 from quillstone.sources.pages import read_dump, read_queries
 from quillstone.sources.store import export_text, save
-from quillstone.streaming.ingest import ingest
+from quillstone.streaming.ingest import ingest, load_streamed
 
 DUMP = """<mediawiki>
 <page><title>AT&amp;T Thor</title><ns>0</ns><id>77</id><revision><id>1</id><text xml:space="preserve">{{Infobox x}} Thor runs running hammer ==References== *[note] [[Category:Gods]] ==External links== * [http://a.b site] </text></revision></page>
@@ -95,6 +95,7 @@ def test_posting_codec(spark):
     df = spark.createDataFrame(rows, "token string, doc_ord long, t int, i int, b int, c int, r int, l int")
     lists = P.posting_lists(df)
     assert {r["token"]: r["postings"] for r in lists.collect()} == {"thor": "d3i5c1r1d12t1b7l2", "loki": "d0b1"}
+    assert [(r["chunk"], r["postings"]) for r in P.posting_lists(df, 10).where("token = 'thor'").orderBy("chunk").collect()] == [(0, "d3i5c1r1"), (1, "d12t1b7l2")]
     decoded = lists.select("token", F.explode(decode_postings(F.col("postings"))).alias("p")).select("token", "p.*")
     assert sorted(map(tuple, decoded.collect())) == sorted(rows)
     assert df.select(encode_posting().alias("p")).first()["p"] == "d12t1b7l2"
@@ -131,10 +132,65 @@ def test_command_line(stored, tmp_path, capsys):
     assert capsys.readouterr().out.splitlines()[:4] == ["AT&T Thor", "Loki", "", "Loki"]
 
 
+def test_command_line_builds_an_index(spark, dump, stored, tmp_path, capsys):
+    from quillstone.__main__ import main
+
+    assert main(["index", dump, str(tmp_path / "own")]) == 0
+    assert "'vocabulary'" in capsys.readouterr().out
+    assert ask(spark, str(tmp_path / "own"), "thor hammer") == ask(spark, stored[0], "thor hammer")
+
+
+def test_dump_files_are_numbered_by_path_and_parsed_once(spark, tmp_path):
+    body = lambda a, b: "<mediawiki>" + "".join(f"<page><title>P{i}</title><id>{i}</id><revision><text> t{i} \n</text></revision></page>" for i in range(a, b)) + "</mediawiki>"
+    for name, a, b in (("a", 0, 3), ("b", 3, 50), ("c", 50, 54)):  # the largest file isn't the first
+        (tmp_path / f"{name}.xml").write_text(body(a, b))
+    pages = read_dump(spark, str(tmp_path))
+    rows = pages.orderBy("doc_ord").collect()
+    assert [(r["doc_ord"], r["title"], r["text"]) for r in rows] == [(i, f"P{i}", f" t{i} \n") for i in range(54)]
+    plan = pages._jdf.queryExecution().executedPlan().toString()
+    assert "BuildRight" in plan and "xml" not in plan and "SortMergeJoin" not in plan
+
+
+def test_small_tables_alone_are_dealt_out(spark, tmp_path, monkeypatch):
+    from quillstone import runtime
+
+    spark.range(1000).coalesce(1).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    cores = spark.sparkContext.defaultParallelism
+    assert runtime.spread(df).rdd.getNumPartitions() == cores
+    assert runtime.stored_bytes(df.where("id > 3")) and runtime.stored_bytes(df.distinct()) is None and runtime.stored_bytes(df.join(df.withColumnRenamed("id", "i"), df["id"] == F.col("i"))) is None
+    monkeypatch.setattr(runtime, "SPREAD_BYTES", 10)
+    assert runtime.spread(df) is df
+
+
+def test_a_salted_join_is_a_join(spark, monkeypatch):
+    from quillstone import runtime
+
+    monkeypatch.setattr(runtime, "HOT_ROWS", 5)
+    many = spark.createDataFrame([(1 if i % 3 else i, i, "x") for i in range(90)] + [(None, 7, "y")], "k long, v long, salt string")
+    one = spark.createDataFrame([(i, f"s{i}") for i in range(0, 60)], "k long, salts string")
+    for how in ("inner", "left"):
+        got, want = runtime.salted_join(many, one, "k", "v", how), many.join(one, "k", how)
+        assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_many_terms_and_a_warm_searcher(spark, stored, monkeypatch):
+    lines = ["thor hammer", "b:loki t:thor", "nothing", "site run"]
+    want = ask(spark, stored[0], *lines)
+    df = spark.createDataFrame(list(enumerate(lines)), "query_id int, line string")
+    searcher = open_index(spark, stored[0])
+    got = lambda: [(r["query_id"], r["rank"], r["title"], r["score"]) for r in searcher.search(df).orderBy("query_id", "rank").collect()]
+    assert searcher.search(df.where("query_id = 2")).count() == 0
+    assert got() == want == got() and len(searcher.kept) == 2
+    searcher.close()
+    monkeypatch.setattr(S, "MAX_TERMS", 2)
+    assert ask(spark, stored[0], *lines) == want
+
+
 def test_empty_corpus(spark, tmp_path):
     empty = spark.createDataFrame([], "doc_ord long, title string, text string")
-    assert index_pages(empty).stats.first()["n_docs"] == 0
     save(index_pages(empty), str(tmp_path / "i"), 2)
+    assert load(spark, str(tmp_path / "i")).stats.first()["n_docs"] == 0
     assert ask(spark, str(tmp_path / "i"), "thor") == []
 
 
@@ -147,4 +203,9 @@ def test_streamed_pages_give_the_batch_postings(spark, tmp_path):
     found = spark.read.parquet(str(tmp_path / "out" / "postings")).drop("batch")
     want = P.postings(P.field_tokens(extract_fields(pages)), stem=False)
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
-    assert Path(tmp_path / "out" / "titles").exists()
+    index = load_streamed(spark, str(tmp_path / "out"))
+    assert {r["token"]: r["df"] for r in index.frequencies.collect()} == {"thor": 2, "hammer": 1, "one": 1, "two": 1}
+    asked = spark.createDataFrame([(0, "hammer thor")], "query_id int, line string")
+    got = lambda df: sorted(map(tuple, df.collect()))
+    index.compact(str(tmp_path / "whole"))
+    assert got(index.search(asked, stem=False)) == got(search_index(spark, str(tmp_path / "whole"), asked, stem=False)) and index.search(asked).count() == 3
