@@ -129,20 +129,24 @@ def numbered(stored: DataFrame, place: str, ordinal: str, *source: str) -> DataF
     return rows.join(table, keys).withColumn(ordinal, F.col(offset) + F.col(place)).drop(*keys, offset, place)
 
 
-def salted_join(many: DataFrame, one: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
+def salted_join(many: DataFrame, one: DataFrame, key: str, by: str, how: str = "inner", sizes: DataFrame | None = None) -> DataFrame:
     """many joined with one on key, which is unique in one; rows of many with a hot key are dealt out by a hash of column by.
 
     A key is hot if it has more than HOT_ROWS rows and a HOT_KEYS-th of all of them, so there are HOT_KEYS hot keys
     at most; these are counted first and broadcast. A hot key's row of one is repeated once for each deal of so many
-    rows. many should be a stored table: it is read twice.
+    rows. many should be a stored table: it is read again for the counts, unless sizes(key, rows) has them.
+    Rows with a null key are dealt out too.
     """
-    bound = max(HOT_ROWS, many.count() // HOT_KEYS)
+    sizes = many.groupBy(key).agg(F.count("*").alias("rows")) if sizes is None else sizes
+    total = sizes.agg(F.sum("rows")).first()[0] or 0
+    bound = max(HOT_ROWS, total // HOT_KEYS)
     salts, salt = fresh("salts", many, one), fresh("salt", many, one)
-    hot = many.groupBy(key).agg(F.ceil(F.count("*") / bound).cast("int").alias(salts)).where(F.col(salts) > 1).limit(HOT_KEYS + 1).collect()
+    hot = sizes.where(F.col("rows") > bound).select(key, F.ceil(F.col("rows") / bound).cast("int").alias(salts)).collect()
     if not hot:
         return many.join(one, key, how)
     table = F.broadcast(many.sparkSession.createDataFrame(hot, T.StructType([many.schema[key], T.StructField(salts, T.IntegerType())])))
-    dealt = many.join(table, key, "left").withColumn(salt, F.pmod(F.xxhash64(by), F.coalesce(salts, F.lit(1))).cast("int")).drop(salts)
+    deals = F.when(F.col(key).isNull(), 1 << 20).otherwise(F.coalesce(salts, F.lit(1)))
+    dealt = many.join(table, key, "left").withColumn(salt, F.pmod(F.xxhash64(by), deals).cast("int")).drop(salts)
     repeated = one.join(table, key, "left").withColumn(salt, F.explode(F.sequence(F.lit(0), F.coalesce(salts, F.lit(1)) - 1))).drop(salts)
     return dealt.join(repeated, [key, salt], how).drop(salt)
 
