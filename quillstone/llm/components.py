@@ -5,32 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import materialize
+from ..runtime import materialize, salted_join
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(node, label) of every node of links(a, b); label is the smallest node of its component.
 
     A round makes each node's larger neighbours neighbours of its smallest neighbour, then does the same
     with its smaller ones. Each component ends as a star around its smallest node, after a number of
-    rounds that grows with the logarithm of its size. Self-links don't matter; without links there are
-    no rows.
+    rounds that grows with the logarithm of its size; rounds end only where one changes nothing. The
+    neighbours of a node that has very many are dealt out to several tasks. Self-links don't matter; without
+    links there are no rows.
     """
     edges = links.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges = materialize(edges, "edges")
     before = None
-    for _ in range(rounds):
+    while True:
         mark = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == before or not mark[0]:
             break
         before = mark
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        large = both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where(F.col("u") != F.col("v")).distinct()
+        turned = edges.select(F.col("v").alias("u"), F.col("u").alias("v"))
+        least = edges.unionByName(turned).groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
+        large = salted_join(turned, least, "u", "v").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = materialize(large.where(F.col("u") != F.col("v")).distinct(), "edges")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
-        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        small = salted_join(large, least, "u", "v").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = small.unionByName(least.select("u", F.col("m").alias("v")))
         edges = materialize(small.where(F.col("u") != F.col("v")).distinct(), "edges")
     stars = edges.groupBy("u").agg(F.min("v").alias("label")).select(F.col("u").alias("node"), "label")
     centres = edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()

@@ -9,10 +9,12 @@
    whose sketches estimate less than REJECT (some five standard deviations below the bound) are dropped,
    and of the others first the one with the smallest partner is confirmed on the full sets.
 4. Confirmed links give components. In buckets that hold several components yet, a member may be linked with
-   another one than the smallest. Members that such buckets connect are compared on their full sets, in
-   pairs of blocks of bounded size that return the links which join components, never all pairs. So no
-   candidate is lost; a group of copies costs one comparison a member, and only groups whose members
-   are similar but not linked cost more.
+   another one than the smallest. Of their members, those that share a shingle of their prefixes (the rarest quarter
+   of each set, which linked sets can't but share) with one of another component and of fitting size are
+   compared on their full sets, in pairs of blocks of bounded size that return the links which join components,
+   never all pairs. So no candidate is lost; a group of copies costs one comparison a member, and documents that only
+   share a common passage aren't compared, since what they share isn't rare.
+5. Joins on a leader, a bucket, a component or a shingle that very many rows share deal these rows out to several tasks.
 
 A link needs 100 * |A and B| >= threshold * |A or B|, counted on the full sets. Sets hold 64-bit hashes;
 two different shingles of compared texts share one with a probability of some 1e-13 a pair.
@@ -34,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..runtime import materialize
+from ..runtime import materialize, salted_join
 from ._rows import map_texts
 from ._words import FOLD, MULTIPLIER, WordHasher, mix, windows
 from .components import components
@@ -168,36 +170,66 @@ def _full_sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) ->
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """Those pairs (a, b) whose full sets are similar enough."""
+    """Those stored pairs (a, b) whose full sets are similar enough; a node may be b of very many pairs."""
     left, right = sets.select(F.col("node").alias("a"), F.col("full").alias("x")), sets.select(F.col("node").alias("b"), F.col("full").alias("y"))
     shared = F.size(F.array_intersect("x", "y")).cast("long")
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", shared.alias("s"), (F.size("x") + F.size("y")).cast("long").alias("t"))
+    both = salted_join(pairs, right, "b", "a").join(left, "a").select("a", "b", shared.alias("s"), (F.size("x") + F.size("y")).cast("long").alias("t"))
     return both.where(100 * F.col("s") >= threshold * (F.col("t") - F.col("s"))).select("a", "b").distinct()
 
 
 def _likely(pairs: DataFrame, sketches: DataFrame, threshold: int) -> DataFrame:
-    """Pairs (a, b) that their sizes and odd sketches don't rule out."""
+    """Stored pairs (a, b) that their sizes and odd sketches don't rule out; a node may be b of very many pairs."""
     left = sketches.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a"))
     right = sketches.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("s_b"))
-    both = pairs.join(left, "a").join(right, "b")
+    both = salted_join(pairs, right, "b", "a").join(left, "a")
     fits = 100 * F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b")
     return both.where(fits & (estimate(F.col("s_a"), F.col("s_b")) >= REJECT)).select("a", "b").distinct()
 
 
+def prefix_groups(nodes: DataFrame, threshold: int) -> DataFrame:
+    """Edges (a, b) that connect all nodes(node, label, full), stored, which may be linked with one of another label.
+
+    Sets of similarity t share at least a share t of either, so under any one order of shingles they share one among
+    the first n - ceil(t n) + 1 of either: the prefix. The order is that of rareness among these nodes, so a
+    passage that very many of them hold is in few prefixes. Sizes must fit as well: nodes meet in classes
+    of size of a ratio t, each in its own and the next one.
+    """
+    terms = nodes.select("node", "label", F.explode("full").alias("h"))
+    seen = materialize(terms.groupBy("h").agg(F.count("*").alias("rows"), (F.min("label") < F.max("label")).alias("mixed")), "shingles")
+    placed = salted_join(terms, seen.withColumnRenamed("rows", "df"), "h", "node", sizes=seen.select("h", "rows"))
+    lists = placed.groupBy("node", "label").agg(F.array_sort(F.collect_list(F.struct("df", "h", "mixed"))).alias("own"))
+    n = F.size("own")
+    first = F.slice("own", 1, n - F.ceil(n * threshold / 100).cast("int") + 1)
+    at = F.floor(F.log(n.cast("double")) / math.log(100 / threshold))
+    rows = lists.select("node", "label", at.alias("at"), F.explode(first).alias("s")).where("s.mixed")
+    rows = rows.select("node", "label", F.explode(F.array("at", F.col("at") + 1)).alias("at"), "s.h").select("node", "label", F.xxhash64("h", "at").alias("key"))
+    rows = materialize(rows, "prefixes")
+    groups = rows.groupBy("key").agg(F.min("node").alias("b"), F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("rows"))
+    groups = materialize(groups.where(F.col("x") < F.col("y")), "groups")
+    met = salted_join(rows, groups.select("key", "b"), "key", "node", sizes=groups.select("key", "rows"))
+    return met.select(F.col("node").alias("a"), "b").distinct()
+
+
 def _settle(open_: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """Links (a, b) that join components, among nodes that shared buckets (node, lead, label) connect.
+    """Links (a, b) that join components, among the nodes (node, label) of buckets that hold several.
 
-    Nodes that are connected through buckets make a group. Its full sets are compared in pairs of blocks of
-    bounded size, by the product of their incidence matrices; what leaves a pair of blocks is a spanning
-    forest of its components, never its pairs.
+    Nodes that prefixes connect make a group. Its full sets are compared in pairs of blocks of bounded size,
+    by the product of their incidence matrices, but the group's largest component isn't compared with itself. What
+    leaves a pair of blocks is a spanning forest of its components, never its pairs.
     """
-    groups = components(open_.select(F.col("node").alias("a"), F.col("lead").alias("b")))
-    nodes = open_.select("node", "label").distinct().join(groups.withColumnRenamed("label", "group"), "node").join(sets.dropDuplicates(["node"]), "node")
+    nodes = materialize(open_.join(sets.dropDuplicates(["node"]), "node").select("node", "label", "full"), "open")
+    groups = components(prefix_groups(nodes, threshold))
+    nodes = nodes.join(groups.withColumnRenamed("label", "group"), "node")
     nodes = materialize(nodes.select("group", "node", "label", "full"), "groups")
-    sizes = nodes.groupBy("group").agg(F.count("*").alias("m"), F.sum(F.size("full")).alias("s"))
-    sizes = sizes.select("group", F.greatest(F.ceil(F.col("m") / BLOCK_ROWS), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    split = nodes.join(sizes, "group").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    split = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    parts = nodes.groupBy("group", "label").agg(F.count("*").alias("m"), F.sum(F.size("full")).alias("s"))
+    sizes = parts.groupBy("group").agg(F.max(F.struct("m", "label", "s")).alias("top"), F.sum("m").alias("m"), F.sum("s").alias("s"))
+    blocks = lambda m, s: F.greatest(F.lit(1), F.ceil(m / BLOCK_ROWS), F.ceil(s / BLOCK_SHINGLES)).cast("int")
+    sizes = sizes.select("group", "m", F.col("top.label").alias("largest"), blocks(F.col("top.m"), F.col("top.s")).alias("inner"), blocks(F.col("m") - F.col("top.m"), F.col("s") - F.col("top.s")).alias("others"))
+    sizes = materialize(sizes, "sizes")
+    split = salted_join(nodes, sizes.drop("m"), "group", "node", sizes=sizes.select("group", F.col("m").alias("rows")))
+    place, inside = F.xxhash64("node"), F.col("label") == F.col("largest")
+    split = split.withColumn("block", F.when(inside, F.col("others") + F.pmod(place, "inner")).otherwise(F.pmod(place, "others")).cast("int"))
+    split = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("others") - 1 + F.when(inside, 0).otherwise(F.col("inner")))))
     split = split.select("group", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "block", "node", "label", "full")
 
     def compare(table: pa.Table) -> pa.Table:
@@ -264,27 +296,35 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "
     sketches = classes.select("node", "n", "sketch")
 
     buckets = classes.select("node", F.explode("bands").alias("key"))
-    leaders = buckets.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where(F.col("lead") < F.col("last"))
-    members = materialize(buckets.join(leaders.select("key", "lead"), "key"), "buckets")
+    leaders = buckets.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("last"), F.count("*").alias("rows"))
+    leaders = materialize(leaders.where(F.col("lead") < F.col("last")), "leaders")
+    members = materialize(salted_join(buckets, leaders.select("key", "lead"), "key", "node", sizes=leaders.select("key", "rows")), "buckets")
     starred = members.where(F.col("lead") < F.col("node")).select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()
-    likely = materialize(_likely(starred, sketches, threshold), "pairs")
+    likely = materialize(_likely(materialize(starred, "pairs"), sketches, threshold), "pairs")
 
     wanted = members.select("node").distinct()
     sets = materialize(_full_sets(docs, wanted, id_col, text_col), "sets")
-    nearest = likely.groupBy("a").agg(F.min("b").alias("b"))
+    nearest = materialize(likely.groupBy("a").agg(F.min("b").alias("b")), "pairs")
     links = materialize(_confirm(nearest, sets, threshold), "links")
     labels = components(links)
 
     # buckets that still hold several components
-    labelled = members.select("key", "lead", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where(F.col("x") < F.col("y"))
-    open_ = materialize(labelled.join(mixed.select("key"), "key").select("node", "lead", "label").distinct(), "open")
+    labelled = materialize(members.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")), "labelled")
+    mixed = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("rows")).where(F.col("x") < F.col("y"))
+    mixed = materialize(mixed, "mixed")
+    if mixed.isEmpty():
+        return _with_components(rows, classes, labels, id_col)
+    open_ = salted_join(labelled, mixed.select("key"), "key", "node", sizes=mixed.select("key", "rows")).select("node", "label").distinct()
     more = materialize(_settle(open_, sets, threshold), "links")
     if not more.isEmpty():
         labels = components(links.unionByName(more))
+    return _with_components(rows, classes, labels, id_col)
+
 
+def _with_components(rows: DataFrame, classes: DataFrame, labels: DataFrame, id_col: str) -> DataFrame:
     component = classes.select("same", "node").join(labels, "node", "left").select("same", F.coalesce("label", "node").alias("component_id"))
-    out = rows.select("id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.col("same")).alias("same")).join(component, "same", "left")
+    out = rows.select("id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.col("same")).alias("same"))
+    out = salted_join(out, component, "same", "id", "left")
     return out.select(
         F.col("id").alias(id_col),
         "n_shingles",
