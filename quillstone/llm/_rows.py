@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ..runtime import ship, spread
+from ..runtime import fresh, ship, spread
 
 #: Text bytes that a chunk holds; a single longer text makes a chunk of its own.
 CHUNK_BYTES = 4 << 20
@@ -18,9 +18,12 @@ BATCH_ROWS = 1000
 
 
 def bounded_batches(spark) -> None:
-    """Lower the session's Arrow batch to BATCH_ROWS rows, so that a batch of very long texts stays small."""
+    """Lower the session's Arrow batch to BATCH_ROWS rows, so that a batch of very long texts stays small.
+
+    Batches are cut when a plan runs, so the setting has to stay; one that was set by hand is left alone.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+    if spark.conf.get(key, None) is None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
@@ -52,13 +55,13 @@ def map_texts(
 
     factory() is called once per task; what it returns gets each chunk's text as an Arrow array and
     returns a list or Arrow array for each field. Columns in keep pass through; where a field has
-    the name of a kept column, the field replaces it.
+    the name of a kept column, the field replaces it. The text travels under a name that df lacks.
     """
     ship(df.sparkSession)
     bounded_batches(df.sparkSession)
     names = {f.name for f in fields}
     keep = [c for c in keep if c not in names]
-    hidden = "__text__"
+    hidden = fresh("text", df)
     source = spread(df.select(*keep, df[text].alias(hidden)))
     schema = T.StructType([*(df.schema[c] for c in keep), *fields])
     types = {f.name: to_arrow_type(f.dataType) for f in fields}
