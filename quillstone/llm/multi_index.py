@@ -4,7 +4,9 @@ The two halves of the vectors are quantised on their own, with CENTROIDS centroi
 k-means on TRAIN_ROWS vectors at most (those whose ids hash smallest); a cell is a pair of centroids. A
 query visits cells in order of the summed nearness of its halves to the two centroids, taking pairs from a
 heap (multi-sequence algorithm), until the visited cells hold a share of PROBE of all vectors, and
-at least LEAST of them. Candidates are reranked by their inner product in double precision.
+at least LEAST of them. Candidates are reranked by their inner product in double precision: a matrix product
+preselects those that can be among the k best in spite of its rounding errors, and their scores are then
+computed anew, each in the same order of additions, so equal vectors have equal scores.
 
 PROBE suits vectors without any cluster structure, where recall needs it; for vectors that do cluster a
 small part of it is enough.
@@ -16,7 +18,7 @@ k best of each of its queries.
 
 Defined cases: vectors that are null, all zero, or hold a null or non-finite component take no part, as a
 query or as a candidate; the common length is the most frequent one, and vectors of another
-length take no part; ties go to the smaller id; rows with one id are all candidates, and each that
+length take no part, vectors of one component are like all others; ties go to the smaller id; rows with one id are all candidates, and each that
 qualifies asks once per id with the smallest vector; an empty table gives an empty result; other columns are
 ignored, whatever their names.
 """
@@ -41,7 +43,9 @@ BLOCK, BATCH, GROUP = 16_384, 128, 8
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 15, seed: int = 7) -> np.ndarray:
-    """Centroids of rows; fewer if there are fewer distinct rows."""
+    """Centroids of rows; fewer if there are fewer distinct rows, one if rows have no columns."""
+    if not x.shape[1]:
+        return np.zeros((1, 0))
     distinct = np.unique(x, axis=0)
     rng = np.random.default_rng(seed)
     centres = distinct[rng.permutation(len(distinct))[:k]].copy()
@@ -59,7 +63,7 @@ class Quantiser:
     """Centroids of both halves and the number of vectors in each cell."""
 
     def __init__(self, x: np.ndarray, k: int = CENTROIDS):
-        self.half = x.shape[1] // 2
+        self.half = (x.shape[1] + 1) // 2
         self.parts = [kmeans(x[:, : self.half], k), kmeans(x[:, self.half :], k)]
         self.counts = np.zeros((len(self.parts[0]), len(self.parts[1])), np.int64)
 
@@ -92,7 +96,7 @@ class Quantiser:
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(id, v) of the vectors that take part, as doubles."""
     v = F.col("v")
-    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & v.isNotNull() & (F.size(v) > 1))
+    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & v.isNotNull() & (F.size(v) > 0))
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     return rows.where(finite & F.exists(v, lambda x: x != 0))
 
@@ -152,7 +156,8 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_
             yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), pa.array(group, pa.int32()), pa.array(bits, pa.binary())], names=["query", "q", "grp", "seen"])
 
     asking = indexed.where(F.pmod("id", F.lit(every)) == 0).groupBy("id").agg(F.min("v").alias("q")).select(F.col("id").alias("query"), "q")
-    asked = materialize(asking.repartition("query").mapInArrow(visits, "query long, q array<double>, grp int, seen binary"), "visits")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # given, so that few rows of much work aren't put into one task
+    asked = materialize(asking.repartition(tasks, "query").mapInArrow(visits, "query long, q array<double>, grp int, seen binary"), "visits")
 
     # blocks of groups: vectors go to each block of the group's queries, and queries to each block of its vectors
     grouped = indexed.withColumn("grp", F.floor(F.col("cell") / span).cast("int"))
@@ -168,20 +173,24 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_
         found: list[list] = [[], [], []]
         if len(ids) and queries.num_rows:
             v, cell = _matrix(candidates["v"].combine_chunks(), width), candidates["cell"].to_numpy()
+            largest = np.abs(v).max(0)
             for first in range(0, queries.num_rows, BATCH):
                 part = queries.slice(first, BATCH)
                 seen = np.unpackbits(np.frombuffer(b"".join(part["seen"].to_pylist()), np.uint8).reshape(part.num_rows, -1), axis=1)
-                scores = _matrix(part["q"].combine_chunks(), width) @ v.T
+                q = _matrix(part["q"].combine_chunks(), width)
+                scores = q @ v.T
                 scores[seen[:, cell] == 0] = -np.inf
                 asks = part["query"].to_numpy()
                 scores[asks[:, None] == ids[None, :]] = -np.inf
+                error = 2 * width * np.finfo(float).eps * np.abs(q) @ largest  # of a score, at most
                 least = np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k] if len(ids) > k else np.full(len(asks), -np.inf)
-                for query, row, bound in zip(asks.tolist(), scores, least):
-                    best = np.flatnonzero((row >= bound) & (row > -np.inf))  # all that tie with the k-th
-                    best = best[np.lexsort((ids[best], -row[best]))][:k]
-                    found[0] += [query] * len(best)
-                    found[1] += ids[best].tolist()
-                    found[2] += row[best].tolist()
+                for i, query in enumerate(asks.tolist()):
+                    best = np.flatnonzero((scores[i] >= least[i] - 2 * error[i]) & (scores[i] > -np.inf))
+                    exact = (v[best] * q[i]).sum(1)
+                    order = np.lexsort((ids[best], -exact))[:k]
+                    found[0] += [query] * len(order)
+                    found[1] += ids[best[order]].tolist()
+                    found[2] += exact[order].tolist()
         return pa.table({"query": pa.array(found[0], pa.int64()), "id": pa.array(found[1], pa.int64()), "score": pa.array(found[2], pa.float64())})
 
     keys = ("grp", "vb", "qb")

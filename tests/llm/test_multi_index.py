@@ -87,3 +87,27 @@ def test_recall(spark):
         hits += len({i for i, _ in best} & set(ids[np.argsort(-scores)[:20]].tolist()))
         whole += 20
     assert hits / whole >= 0.9
+
+
+def test_repeated_vectors_tie_exactly(spark, monkeypatch):
+    monkeypatch.setattr(multi_index, "BLOCK", 200)
+    monkeypatch.setattr(multi_index, "BATCH", 37)
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(300, 64)).astype(np.float32)
+    rows = [(i, base[i % 300].tolist()) for i in range(900)]
+    got = found(spark.createDataFrame([(i, v, 0) for i, v in rows], SCHEMA).repartition(4), probe=1.0)
+    wide = base.astype(np.float64)
+    for q, best in got.items():
+        scores = (wide * wide[q % 300]).sum(1)
+        want = sorted((-scores[i % 300], i) for i in range(900) if i != q)[:20]
+        assert best == [(i, -s) for s, i in want]
+
+
+def test_vectors_of_one_component_and_clashing_names(spark):
+    rows = [(i, [float(i % 7) - 3.5]) for i in range(60)]
+    df = spark.createDataFrame([(i, v, 0, "x", 1.0) for i, v in rows], "vec_id long, embedding array<float>, query_id int, id string, v double")
+    got = found(df)
+    for q, best in got.items():
+        want = sorted((-(q % 7 - 3.5) * (i % 7 - 3.5), i) for i, _ in rows if i != q)[:20]
+        assert [i for i, _ in best] == [i for _, i in want]
+    assert len(got) == 3
