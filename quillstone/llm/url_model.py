@@ -2,8 +2,9 @@
 
 Two smoothed variable-order Markov models over URL bytes, one of accepted and one of rejected URLs,
 are counted over all URLs that a rule decides. A URL's score is the difference of the two
-log-likelihoods divided by its length in bytes. The threshold is calibrated on the counted URLs
-themselves, from histograms of the scores of both classes, where both error rates balance.
+log-likelihoods divided by its length in bytes. One in HELD_OUT of the URLs that a rule decides, chosen by a hash
+of the URL, isn't counted: the threshold is calibrated on these, from histograms of the scores of both classes,
+where both error rates balance.
 
 Counts are exact and lie in a table of n-grams that grows with the input. What a byte adds to a score
 depends only on the ORDER bytes before it and on itself, so each distinct n-gram of the input is priced
@@ -11,10 +12,11 @@ once, by joins with the counts of its shorter forms. URLs are scored in blocks o
 names each of its n-grams once, so that one that every URL holds meets the prices once a block. Neither
 counts nor prices are collected, and they are broadcast only where the planner finds them small.
 
-Defined cases: a null URL or one without "://" has an empty host and path and no rule; its score is
-0, which counts as allowed whatever the threshold. An empty table, or one in which no rule decides
-any URL of a side, gives models without counts, scores of 0 and verdict allow. Repeated rows are
-judged alike and each count. Other columns are ignored, whatever their names.
+Defined cases: a null URL or one without "://" has an empty host and path and no rule, and its verdict is the
+method's like that of any other URL; a null or empty URL has no bytes, which is no evidence: its score is 0. An empty
+table, or one in which no rule decides any counted URL of a side, gives models without counts, scores of 0 and
+verdict allow; without held-out URLs of a side the threshold is 0. URLs of any length are scored whole.
+Repeated rows are judged alike and each count. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -38,6 +40,8 @@ TABLE = 1 << 18
 BLOCK_BYTES = 1 << 18
 #: Weight of the next shorter context's estimate, in counts.
 BACKOFF = 4.0
+#: Of so many decided URLs one is held out for the threshold.
+HELD_OUT = 4
 #: Bins of a score histogram, over scores from -LIMIT to LIMIT.
 BINS, LIMIT = 4001, 4.0
 
@@ -219,9 +223,11 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id
     host, path = host_and_path(F.col("url"))
     rows = pages.select(id_col, "url", host.alias("host"), path.alias("path"))
     rule, said = decide(F.col("host"), F.col("path"), rules)
-    rows = rows.select("*", rule.alias("rule"), said.alias("said"))
+    held = F.pmod(F.xxhash64("url"), F.lit(HELD_OUT)) == 0
+    rows = rows.select("*", rule.alias("rule"), said.alias("decided"), F.when(~held, said).alias("said"))
     rows = materialize(_blocks(rows), "urls")
-    scored = materialize(_scored(rows, [id_col, "host", "path", "rule", "said"]), "scored")
-    threshold = calibrate(scored.where(F.col("said").isNotNull()).select("score", (F.col("said") == "allow").alias("accepted")))
-    by_score = F.when((F.col("host") == "") | (F.col("score") >= threshold), "allow").otherwise("block")
-    return scored.select(id_col, "host", "path", "rule", F.coalesce("said", by_score).alias("verdict"), "score")
+    scored = materialize(_scored(rows, [id_col, "host", "path", "rule", "decided", "said"]), "scored")
+    unseen = scored.where(F.col("decided").isNotNull() & F.col("said").isNull())
+    threshold = calibrate(unseen.select("score", (F.col("decided") == "allow").alias("accepted")))
+    by_score = F.when(F.col("score") >= threshold, "allow").otherwise("block")
+    return scored.select(id_col, "host", "path", "rule", F.coalesce("decided", by_score).alias("verdict"), "score")
