@@ -19,8 +19,9 @@ Counts equal those of byte-level BPE vocabularies in the JSON format with the us
 contraction and category split, where no special token is added and special strings in a text count
 as themselves if the tokenizer is told so, else as one token.
 
-Defined cases: a null text counts as empty, with 0 bytes and 0 tokens; repeated rows count alike; an
-empty table gives an empty result; other columns are ignored, whatever their names.
+Defined cases: a null text counts as empty, with 0 bytes and 0 tokens; texts of any length are counted whole, also
+one without any white space; repeated rows count alike; an empty table gives an empty result; other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -39,6 +40,8 @@ from ._rows import map_texts
 
 MAX_STATES = 100_000
 MAX_PIECES = 300_000
+#: Bytes of a piece that is remembered, at most.
+MEMO_BYTES = 64
 #: Characters of a chunk of the splitter.
 CHUNK = 256
 
@@ -266,7 +269,9 @@ class CountTransducer:
                     piece = pieces[i]
                     n = memo.get(piece)
                     if n is None:
-                        n = memo[piece] = run(piece)
+                        n = run(piece)
+                        if len(piece) <= MEMO_BYTES:
+                            memo[piece] = n
                     found[i] = n
         return np.array(found, np.int64)
 
