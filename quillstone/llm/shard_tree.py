@@ -2,9 +2,11 @@
 
 A tree has regions, regions have racks, racks have shards; a node weighs what its shards weigh
 together. A row descends level by level. At each level every child draws an exponential arrival time
-with its weight as rate from a hash of (row key, child name), and the earliest child takes the row
-(weighted rendezvous). A draw depends on nothing but key, child and the child's own weight, so when
-weights change, rows move only into or out of subtrees whose weights changed.
+with its weight as rate, and the earliest child takes the row (weighted rendezvous). A shard's draw comes from a
+hash of (row key, shard name); a rack's or region's is the least of its shards' draws, which is exponential with
+the sum of their weights as rate. So a draw depends on nothing but key and the weights below the child: when
+weights change, rows move only into or out of subtrees whose weights changed, and a new shard takes rows only into
+itself wherever in the tree it is put. A row costs a draw for each shard of the tree.
 
 Defined cases: a null key is hashed as the empty string; rows with equal keys share a shard; a text
 that is null has no bytes, so size 1 and CRC 0; an empty table gives an empty result; columns of the
@@ -35,9 +37,7 @@ class Shard:
 def layout(n: int, per_rack: int = 4, racks: int = 2) -> list[Shard]:
     """n shards of weight 1, racks of per_rack shards, regions of so many racks.
 
-    Existing names never change as n grows. A shard beyond full regions opens a region of its own, so
-    it takes rows only into itself; when it joins a region that has shards already, the rows that
-    enter the region are drawn among all of that region.
+    Existing names never change as n grows, so each further shard takes rows only into itself.
     """
     return [Shard(i // (per_rack * racks), i // per_rack, i) for i in range(n)]
 
@@ -48,31 +48,30 @@ def uniform(key: Column, name: str) -> Column:
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(2**52))
 
 
-def draw(key: Column, children: list[tuple[str, float, int]]) -> Column:
-    """The id of the child whose arrival is earliest; ties go to the smaller id."""
-    if len(children) == 1:
-        return F.lit(children[0][2])
-    arrivals = [F.struct((-F.ln(uniform(key, name)) / F.lit(weight)).alias("t"), F.lit(i).alias("i")) for name, weight, i in children]
-    return F.least(*arrivals)["i"]
+def arrival(key: Column, shards: list[Shard]) -> Column:
+    """When a subtree's first shard arrives: the least of exponential draws, whose rate is the sum of the weights."""
+    draws = [-F.ln(uniform(key, f"shard{s.number}")) / F.lit(float(s.weight)) for s in shards]
+    return draws[0] if len(draws) == 1 else F.least(*draws)
 
 
-def place(key: Column, shards: list[Shard]) -> Column:
-    """The shard of a key: draw a region, then one of its racks, then one of the rack's shards."""
-    regions: dict[int, dict[int, list[Shard]]] = {}
+def descend(key: Column, shards: list[Shard], levels: tuple[str, ...]) -> Column:
+    """The shard of a key: the child with the earliest arrival at each level; ties go to the smaller id."""
+    if len(shards) == 1:
+        return F.lit(shards[0].number)
+    if not levels:
+        return F.least(*(F.struct(arrival(key, [s]).alias("t"), F.lit(s.number).alias("i")) for s in shards))["i"]
+    children: dict[int, list[Shard]] = {}
     for s in shards:
-        if s.weight > 0:
-            regions.setdefault(s.region, {}).setdefault(s.rack, []).append(s)
-    weigh = lambda found: sum(s.weight for s in found)
-
-    def in_rack(rack: list[Shard]) -> Column:
-        return draw(key, [(f"shard{s.number}", s.weight, s.number) for s in rack])
+        children.setdefault(getattr(s, levels[0]), []).append(s)
+    if len(children) == 1:
+        return descend(key, shards, levels[1:])
+    chosen = F.least(*(F.struct(arrival(key, c).alias("t"), F.lit(i).alias("i")) for i, c in children.items()))["i"]
+    return F.coalesce(*(F.when(chosen == i, descend(key, c, levels[1:])) for i, c in children.items()))
 
-    def in_region(racks: dict[int, list[Shard]]) -> Column:
-        chosen = draw(key, [(f"rack{k}", weigh(v), k) for k, v in racks.items()])
-        return F.coalesce(*(F.when(chosen == k, in_rack(v)) for k, v in racks.items()))
 
-    chosen = draw(key, [(f"region{k}", weigh([s for r in v.values() for s in r]), k) for k, v in regions.items()])
-    return F.coalesce(*(F.when(chosen == k, in_region(v)) for k, v in regions.items()))
+def place(key: Column, shards: list[Shard]) -> Column:
+    """The shard of a key: draw a region, then one of its racks, then one of the rack's shards."""
+    return descend(key, [s for s in shards if s.weight > 0], ("region", "rack"))
 
 
 def assign(docs: DataFrame, shards: list[Shard], grown: list[Shard] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -13,18 +13,13 @@ def uniform(key, name):
     return (int(hashlib.md5(f"{name}:{key}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
 
 
-def draw(key, children):
-    return min((-math.log(uniform(key, name)) / w, i) for name, w, i in children)[1] if len(children) > 1 else children[0][2]
-
-
 def place(key, shards):
-    tree = {}
-    for s in shards:
-        tree.setdefault(s.region, {}).setdefault(s.rack, []).append(s)
-    weigh = lambda found: sum(s.weight for s in found)
-    region = tree[draw(key, [(f"region{k}", weigh([s for r in v.values() for s in r]), k) for k, v in tree.items()])]
-    rack = region[draw(key, [(f"rack{k}", weigh(v), k) for k, v in region.items()])]
-    return draw(key, [(f"shard{s.number}", s.weight, s.number) for s in rack])
+    """The first arrival of all: where each level's earliest child leads."""
+    arrive = {s: (-math.log(uniform(key, f"shard{s.number}")) / s.weight, s.number) for s in shards}
+    for level in ("region", "rack", "number"):
+        least = min((min(arrive[s] for s in shards if getattr(s, level) == i)[0], i) for i in {getattr(s, level) for s in shards})[1]
+        shards = [s for s in shards if getattr(s, level) == least]
+    return shards[0].number
 
 
 @pytest.mark.parametrize("bucket_rows", [50_000, 7])
@@ -48,11 +43,12 @@ def moved(spark, before, after, n=20_000):
     return [(r["shard"], r["grown_shard"]) for r in rows]
 
 
-def test_a_new_shard_takes_rows_only_into_itself(spark):
-    rows = moved(spark, layout(16), layout(17))
-    assert {b for a, b in rows if a != b} == {16}
+@pytest.mark.parametrize("n", [16, 17, 18, 21])
+def test_a_new_shard_takes_rows_only_into_itself(spark, n):
+    rows = moved(spark, layout(n), layout(n + 1))
+    assert {b for a, b in rows if a != b} == {n}
     sizes = Counter(b for _, b in rows)
-    assert max(sizes.values()) < 1.25 * min(sizes.values()) and len(sizes) == 17
+    assert max(sizes.values()) < 1.25 * min(sizes.values()) and len(sizes) == n + 1
 
 
 def test_only_subtrees_with_changed_weights_take_part(spark):
