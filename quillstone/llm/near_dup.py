@@ -197,13 +197,14 @@ def prefix_groups(nodes: DataFrame, threshold: int) -> DataFrame:
     terms = nodes.select("node", "label", F.explode("full").alias("h"))
     seen = materialize(terms.groupBy("h").agg(F.count("*").alias("rows"), (F.min("label") < F.max("label")).alias("mixed")), "shingles")
     placed = salted_join(terms, seen.withColumnRenamed("rows", "df"), "h", "node", sizes=seen.select("h", "rows"))
-    lists = placed.groupBy("node", "label").agg(F.array_sort(F.collect_list(F.struct("df", "h", "mixed"))).alias("own"))
+    lists = placed.groupBy("node", "label").agg(F.sort_array(F.collect_list(F.struct("df", "h", "mixed"))).alias("own"))
     n = F.size("own")
     first = F.slice("own", 1, n - F.ceil(n * threshold / 100).cast("int") + 1)
     at = F.floor(F.log(n.cast("double")) / math.log(100 / threshold))
-    rows = lists.select("node", "label", at.alias("at"), F.explode(first).alias("s")).where("s.mixed")
-    rows = rows.select("node", "label", F.explode(F.array("at", F.col("at") + 1)).alias("at"), "s.h").select("node", "label", F.xxhash64("h", "at").alias("key"))
-    rows = materialize(rows, "prefixes")
+    # the prefix is a column of its own before it is exploded, so that no row carries a set along
+    lists = lists.select("node", "label", at.alias("at"), F.filter(first, lambda s: s["mixed"]).alias("prefix"))
+    rows = lists.select("node", "label", "at", F.explode("prefix").alias("s")).select("node", "label", F.explode(F.array("at", F.col("at") + 1)).alias("at"), "s.h")
+    rows = materialize(rows.select("node", "label", F.xxhash64("h", "at").alias("key")), "prefixes")
     groups = rows.groupBy("key").agg(F.min("node").alias("b"), F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("rows"))
     groups = materialize(groups.where(F.col("x") < F.col("y")), "groups")
     met = salted_join(rows, groups.select("key", "b"), "key", "node", sizes=groups.select("key", "rows"))
@@ -217,7 +218,9 @@ def _settle(open_: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     by the product of their incidence matrices, but the group's largest component isn't compared with itself. What
     leaves a pair of blocks is a spanning forest of its components, never its pairs.
     """
-    nodes = materialize(open_.join(sets.dropDuplicates(["node"]), "node").select("node", "label", "full"), "open")
+    tasks = int(open_.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given, as these few rows are much work
+    nodes = open_.join(sets.dropDuplicates(["node"]), "node").select("node", "label", "full").repartition(tasks, "node")
+    nodes = materialize(nodes, "open")
     groups = components(prefix_groups(nodes, threshold))
     nodes = nodes.join(groups.withColumnRenamed("label", "group"), "node")
     nodes = materialize(nodes.select("group", "node", "label", "full"), "groups")
