@@ -138,12 +138,12 @@ def salted_join(many: DataFrame, one: DataFrame, key: str, by: str, how: str = "
     Rows with a null key are dealt out too.
     """
     sizes = many.groupBy(key).agg(F.count("*").alias("rows")) if sizes is None else sizes
-    total = sizes.agg(F.sum("rows")).first()[0] or 0
-    bound = max(HOT_ROWS, total // HOT_KEYS)
+    total, most = sizes.agg(F.sum("rows"), F.max("rows")).first()
+    bound = max(HOT_ROWS, (total or 0) // HOT_KEYS)
+    if (most or 0) <= bound:
+        return many.join(one, key, how)
     salts, salt = fresh("salts", many, one), fresh("salt", many, one)
     hot = sizes.where(F.col("rows") > bound).select(key, F.ceil(F.col("rows") / bound).cast("int").alias(salts)).collect()
-    if not hot:
-        return many.join(one, key, how)
     table = F.broadcast(many.sparkSession.createDataFrame(hot, T.StructType([many.schema[key], T.StructField(salts, T.IntegerType())])))
     deals = F.when(F.col(key).isNull(), 1 << 20).otherwise(F.coalesce(salts, F.lit(1)))
     dealt = many.join(table, key, "left").withColumn(salt, F.pmod(F.xxhash64(by), deals).cast("int")).drop(salts)
