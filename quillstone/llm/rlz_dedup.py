@@ -8,7 +8,8 @@ words of all factors.
    documents is parsed against it on the spot. What remains is, for each window, where it is first met.
 2. These are sent to where the other blocks' windows of the same anchor are: the anchor of a window is
    its smallest hash of ANCHOR words, so neighbouring windows mostly travel together as one segment. Blocks
-   that have a passage in common send it once each, however many of their documents hold it.
+   that have a passage in common send it once each, however many of their documents hold it; a task remembers what
+   its blocks repeat, and sends that once.
 3. There the blocks' indexes are one, and every segment is parsed against all of them: a window is matched
    with its first place in the corpus, and matches that continue each other are one factor. Windows across
    the boundary of two factors are looked up like all others, so none is missed.
@@ -20,7 +21,8 @@ A window counts as found if its anchor's 64 bits and 48 further bits of its own
 Defined cases: words are split at ASCII white space and otherwise left as they are; a null text or one
 of fewer than WINDOW words has no windows; a null id has no smaller or larger ones, so its row is left
 whole and isn't part of the reference; rows with equal ids don't take words from each other, and equal rows
-are cut alike; an empty table gives an empty result; other columns don't matter, whatever their names.
+are cut alike; texts of any length are indexed and cut whole; an empty table gives an empty result; other columns
+don't matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..runtime import ship, spread
+from ..runtime import fresh, ship, spread, stored_bytes
 from ._rows import bounded_batches
 from ._words import WordHasher, mix, windows
 
@@ -43,6 +45,8 @@ WINDOW, ANCHOR = 13, 4
 BLOCK_BYTES = 3 << 20
 #: Input bytes, as stored, of a group of anchors.
 GROUP_BYTES = 1 << 20
+#: Windows of repeated passages that a task remembers, some 20 bytes each.
+MAX_PASSAGES = 1 << 19
 
 FACTOR = np.dtype([("start", "<i4"), ("length", "<i4"), ("ref_id", "<i8"), ("ref_start", "<i4")])
 
@@ -140,17 +144,44 @@ def _rows_of(group: list[int], body: list[bytes | None], ids: list, tags: list,
     )
 
 
-def _index_block(ids: np.ndarray, tags: np.ndarray, raws: list, hasher: WordHasher, groups: int):
-    """Factors that a block finds in itself, and its first windows as packed segments by group."""
+class Passages:
+    """Windows that several documents of a task's blocks hold, with the first place seen: a passage that every block
+    holds is sent once a task rather than once a block. What is forgotten is only sent again."""
+
+    def __init__(self):
+        self.keys, self.ids, self.starts = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def earlier(self, keys: np.ndarray, ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places given, or those remembered where their ids are smaller."""
+        if not len(self.keys):
+            return ids, starts
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        smaller = (self.keys[at] == keys) & (self.ids[at] < ids)
+        return np.where(smaller, self.ids[at], ids), np.where(smaller, self.starts[at], starts)
+
+    def learn(self, keys: np.ndarray, ids: np.ndarray, starts: np.ndarray) -> None:
+        if len(self.keys) + len(keys) > MAX_PASSAGES:
+            self.__init__()
+        keys, ids, starts = np.append(self.keys, keys), np.append(self.ids, ids), np.append(self.starts, starts)
+        order = np.lexsort((starts, ids, keys))
+        order = order[np.concatenate(([True], keys[order][1:] != keys[order][:-1]))] if len(order) else order
+        self.keys, self.ids, self.starts = keys[order][:MAX_PASSAGES], ids[order][:MAX_PASSAGES], starts[order][:MAX_PASSAGES]
+
+
+def _index_block(ids: np.ndarray, tags: np.ndarray, raws: list, hasher: WordHasher, groups: int, passages: Passages):
+    """Factors that a block finds in itself and in remembered passages, and its other windows as packed segments by group."""
     b = Block(ids, raws, hasher)
     tags = tags[b.order]
     if not len(b.hash):
         return
     window_ids = b.ids[b.doc]
     first = first_places(b.hash, window_ids, b.start)
-    known = window_ids[first] < window_ids
+    ref_ids, ref_starts = passages.earlier(b.hash, window_ids[first], b.start[first])
+    known = ref_ids < window_ids
     rows = np.flatnonzero(known)
-    doc, found = parse(rows, b.doc, b.start, window_ids[first], b.start[first])
+    doc, found = parse(rows, b.doc, b.start, ref_ids, ref_starts)
+    repeated = np.flatnonzero(np.bincount(first, minlength=len(first)) > 1)
+    passages.learn(b.hash[repeated], ref_ids[repeated], ref_starts[repeated])
     own_ids, own_tags, factors = _by_document(b.ids, tags, doc, found)
     if own_ids:
         n = len(own_ids)
@@ -224,21 +255,18 @@ def _parse_group(table: pa.Table) -> pa.Table:
     return pa.concat_tables([done.cast(schema), pa.table([pa.array(m, t) for m, t in zip(made, schema.types)], schema=schema)])
 
 
-def stored_bytes(df: DataFrame) -> int:
-    """What the optimizer knows of a table's size."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
 def factors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, tag, factors) of every document that has any; tag is the hash of its text, factors a list of packed FACTOR records."""
     spark = docs.sparkSession
     ship(spark)
     bounded_batches(spark)
     size = stored_bytes(docs.select(id_col, text_col))
-    groups = max(4, size // GROUP_BYTES) if size < 1 << 60 else 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if size is None:  # the optimizer can't tell for more than a scan, so texts are measured
+        size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    groups = max(4, size // GROUP_BYTES)
 
     def index(batches):
-        hasher = WordHasher()
+        hasher, passages = WordHasher(), Passages()
         ids, tags, raws, held = [], [], [], 0
         for b in batches:
             for i, t, r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist()):
@@ -247,10 +275,10 @@ def factors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 raws.append(r)
                 held += len(r)
                 if held >= BLOCK_BYTES:
-                    yield from _index_block(np.array(ids, np.int64), np.array(tags, np.int32), raws, hasher, groups)
+                    yield from _index_block(np.array(ids, np.int64), np.array(tags, np.int32), raws, hasher, groups, passages)
                     ids, tags, raws, held = [], [], [], 0
         if ids:
-            yield from _index_block(np.array(ids, np.int64), np.array(tags, np.int32), raws, hasher, groups)
+            yield from _index_block(np.array(ids, np.int64), np.array(tags, np.int32), raws, hasher, groups, passages)
 
     def parse_group(table):
         import pyarrow.compute  # noqa: F401
@@ -296,9 +324,12 @@ def covered(packed: list[bytes] | None, n_words: int) -> np.ndarray:
 def remove_duplicates(docs: DataFrame, keep: list[str], id_col: str = "doc_id", text_col: str = "text", texts: bool = True, details: bool = False) -> DataFrame:
     """The kept columns with n_words, n_removed and kept_sha256; with texts, the text column holds the kept words
     joined by spaces; with details, factors lists the parse: struct(start, length, ref_id, ref_start)."""
-    found = factors(docs, id_col, text_col).select(F.col("id").alias("__id__"), F.col("tag").alias("__tag__"), F.col("factors").alias("__factors__"))
-    source = docs.withColumn("__hash__", F.hash(text_col))
-    joined = source.join(found, (source[id_col] == found["__id__"]) & (source["__hash__"] == found["__tag__"]), "left")
+    own = sorted({id_col, text_col, *keep})
+    source = docs.select(*own)
+    hashed, there, tag, packed_col, whole = (fresh(c, source) for c in ("hash", "id_there", "tag", "packed", "whole"))
+    found = factors(docs, id_col, text_col).select(F.col("id").alias(there), F.col("tag").alias(tag), F.col("factors").alias(packed_col))
+    source = source.withColumn(hashed, F.hash(text_col))
+    joined = source.join(found, (source[id_col] == found[there]) & (source[hashed] == found[tag]), "left")
     parts = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("length", T.IntegerType()), T.StructField("ref_id", T.LongType()), T.StructField("ref_start", T.IntegerType())]))
     fields = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())]
     if texts:
@@ -331,7 +362,7 @@ def remove_duplicates(docs: DataFrame, keep: list[str], id_col: str = "doc_id",
             arrays = [pa.array(made[f.name], types[f.name]) if f.name in types else pa.array(made[f.name], _parts_type()) for f in fields]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), *arrays], names=[*keep, *made])
 
-    return joined.select(*(source[c] for c in keep), source[text_col].alias("__text__"), "__factors__").mapInArrow(cut, schema)
+    return joined.select(*(source[c] for c in keep), source[text_col].alias(whole), packed_col).mapInArrow(cut, schema)
 
 
 def _parts_type() -> pa.DataType:

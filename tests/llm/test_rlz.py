@@ -58,3 +58,31 @@ def test_factor_boundaries(spark):
 
 def test_empty_table(no_docs):
     assert remove_duplicates(no_docs, ["doc_id"]).collect() == []
+
+
+def test_a_passage_of_every_document_is_sent_once_a_task():
+    import numpy as np
+
+    from quillstone.llm._words import WordHasher
+
+    passage, hasher = " ".join(f"p{i}" for i in range(40)), WordHasher()
+
+    def sent(passages, blocks=30):
+        windows = 0
+        for k in range(blocks):
+            ids = np.arange(k * 10, k * 10 + 10)
+            raws = [f"own{i} {passage} tail{i}".encode() for i in ids]
+            for batch in rlz_dedup._index_block(ids, np.zeros(10, np.int32), raws, hasher, 1, passages or rlz_dedup.Passages()):
+                windows += sum(len(rlz_dedup._read(b)[3]) for b in batch.column(1).to_pylist() if b)
+        return windows
+
+    inner = 40 - WINDOW + 1
+    assert sent(None) >= 30 * inner and sent(rlz_dedup.Passages()) == sent(None) - 29 * inner
+
+
+def test_clashing_names(docs, rows):
+    df = docs
+    for name in ("__factors__", "__hash__", "hash", "tag", "packed", "whole", "factors", "id"):
+        df = df.withColumn(name, docs["lang"])
+    found = remove_duplicates(df, ["doc_id", "__hash__", "hash", "packed", "whole", "__factors__"], texts=False)
+    assert rows_of(found) == sorted(brute(rows), key=str)
