@@ -166,14 +166,20 @@ def release(since: int = 0) -> None:
             return
 
 
+def keep_until_exit(spark: SparkSession, path: str) -> None:
+    """Delete a table that has been written at path when the process ends."""
+    _written.insert(0, (spark, path))
+
+
 @contextmanager
 def scratch() -> Iterator[None]:
     """Scratch tables that are written inside are deleted at the end; nothing lazy that reads them may leave."""
-    mark = len(_written)
+    mark = _written[-1] if _written else None
     try:
         yield
     finally:
-        release(mark)
+        while _written and _written[-1] is not mark:
+            release(len(_written) - 1)
 
 
 atexit.register(release)
