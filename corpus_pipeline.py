@@ -1,6 +1,11 @@
 """A corpus pipeline: five stages over the documents table, each an operator whose decisions take effect.
 
 Every stage works on what its predecessor kept, written as Parquet and read again.
+
+Defined cases, for every stage: a null text stays null and counts as empty: the quality classifier judges it as a text
+without words, it has no copies, no passages, no identifiers and no pieces; a null id is a document of its own that
+stays; rows that repeat an id stay or go together in near_dedup and are judged one by one elsewhere; an empty table
+gives an empty one; columns beyond those of documents are dropped, whatever their names.
 """
 
 from __future__ import annotations
@@ -11,7 +16,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from quillstone.llm import fm_index, near_dup, pii, piece_lattice, weak_quality
-from quillstone.runtime import shared_dir
+from quillstone.runtime import keep_until_exit, scratch, scratch_path, shared_dir
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -53,11 +58,21 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; the tables between them lie in the shared folder."""
+    """All stages over documents; the tables between them lie in the shared folder.
+
+    When a stage's table is written, its predecessor's and the stage's own scratch tables are deleted; the last one
+    stays until the process ends.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    base = f"{shared_dir(spark)}/quillstone-pipeline-{uuid.uuid4().hex}"
-    for i, (name, stage) in enumerate(STAGES):
-        path = f"{base}/{i}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+    with scratch():
+        for name, stage in STAGES[:-1]:
+            docs = _written(stage(spark, docs, sf_dir), scratch_path(spark, name))
+        path = f"{shared_dir(spark)}/quillstone-pipeline-{uuid.uuid4().hex}"
+        docs = _written(STAGES[-1][1](spark, docs, sf_dir), path)
+    keep_until_exit(spark, path)
     return docs
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
