@@ -47,8 +47,28 @@ def test_each_stage_against_brute_force(spark, tmp_path):
         assert r["ids_sha256"] == hashlib.sha256(raw).hexdigest()
 
 
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
+def test_odd_rows_of_each_stage(spark, docs, rows, no_docs, name, stage):
+    clash = docs
+    for c in ("accepted", "kept", "component_id", "items", "spans", "text_", "ids", "node"):
+        clash = clash.withColumn(c, docs["lang"])
+    found = stage(spark, clash, DATA)
+    ids = [r["doc_id"] for r in found.collect()]
+    assert len(ids) <= len(rows) and (name in ("quality", "near_dedup") or len(ids) == len(rows))
+    assert None in ids or name == "quality"
+    assert stage(spark, no_docs, DATA).collect() == []
+
+
 def test_run_and_queries(spark):
+    import os
+
+    from quillstone.runtime import shared_dir
+
+    folder = shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
     assert corpus_pipeline.run(spark, DATA).count() > 100
+    left = set(os.listdir(folder)) - before
+    assert len(left) == 1 and "pipeline" in left.pop()
     import __spark_entry__
 
     names = __spark_entry__.queries()
