@@ -156,8 +156,8 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_
             yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), pa.array(group, pa.int32()), pa.array(bits, pa.binary())], names=["query", "q", "grp", "seen"])
 
     asking = indexed.where(F.pmod("id", F.lit(every)) == 0).groupBy("id").agg(F.min("v").alias("q")).select(F.col("id").alias("query"), "q")
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # given, so that few rows of much work aren't put into one task
-    asked = materialize(asking.repartition(tasks, "query").mapInArrow(visits, "query long, q array<double>, grp int, seen binary"), "visits")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # given, as few rows are much work; by no key, as dealing by the key just grouped by is left out
+    asked = materialize(asking.repartition(tasks).mapInArrow(visits, "query long, q array<double>, grp int, seen binary"), "visits")
 
     # blocks of groups: vectors go to each block of the group's queries, and queries to each block of its vectors
     grouped = indexed.withColumn("grp", F.floor(F.col("cell") / span).cast("int"))
