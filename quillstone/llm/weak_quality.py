@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..runtime import materialize
+from ..runtime import fresh, materialize
 from ._rows import map_texts
 
 #: Documents that the linear scorer is fitted on, at most.
@@ -159,7 +159,8 @@ class Shapes:
     def __init__(self):
         self.memo: dict[bytes, int] = {}
 
-    def slots(self, raw: bytes) -> np.ndarray:
+    def counts(self, raw: bytes) -> tuple[list[int], list[int]]:
+        """The slots that a text fills, and how many words fill each."""
         memo, shapes = self.memo, raw.translate(_SHAPE).split()
         found = list(map(memo.get, shapes))
         if None in found:
@@ -168,7 +169,9 @@ class Shapes:
             for i, s in enumerate(found):
                 if s is None:
                     found[i] = memo[shapes[i]] = xxhash.xxh32_intdigest(_RUNS.sub(rb"\1", shapes[i])[:8]) % SLOTS
-        return np.bincount(np.array(found, np.int64), minlength=SLOTS) / max(1, len(shapes))
+        filled = np.bincount(np.array(found, np.int64), minlength=SLOTS)
+        slots = np.flatnonzero(filled)
+        return slots.tolist(), filled[slots].tolist()
 
 
 WORDS = re.compile(r"[^\W\d_]+")
@@ -301,6 +304,10 @@ def toxic_votes(hits: int, score: float) -> list[int]:
     return [1 if score > 0 and hits else -1, 1 if score > 2 and hits else -1 if not hits else 0, 1 if score > 6 and hits else -1 if not hits else 0]
 
 
+#: Columns that classify() adds.
+JUDGED = ("posterior", "score", "toxic_hits", "toxic", "accepted")
+
+
 class Scorer:
     """Logistic model over standardised measurements and shape frequencies; learns soft labels of good."""
 
@@ -318,88 +325,67 @@ class Scorer:
         self.w = np.zeros(len(used))
         self.w[used] = w
 
-    def __call__(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(((x - self.mean) / self.scale) @ self.w[:-1] + self.w[-1], -50, 50)))
+    def folded(self) -> tuple[list[float], float]:
+        """Weights and intercept for features that aren't standardised."""
+        weights = self.w[:-1] / self.scale
+        return weights.tolist(), float(self.w[-1] - self.mean @ weights)
 
 
 def classify(docs: DataFrame, keep: list[str], labels: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The kept columns with posterior (of good, from the votes), score (of good, from the scorer), toxic_hits, toxic, accepted."""
+    """The kept columns with posterior (of good, from the votes), score (of good, from the scorer), toxic_hits, toxic, accepted.
+
+    Texts are measured once; the measurements and the kept columns are written, and the scorer is a projection over that table.
+    """
     spark = docs.sparkSession
     listed = spark.sparkContext.broadcast(learn_toxic(docs, labels, id_col, text_col))
     m = len(LABELLERS)
-
-    def votes(texts: pa.Array, toxic: ToxicHits) -> dict:
-        codes, hits = [], []
-        for t in texts.to_pylist():
-            raw = (t or "").encode()
-            words = raw.split()
-            codes.append(encode_votes(vote(measure(raw, words), len(words))))
-            hits.append(toxic(t or ""))
-        return {"code": codes, "toxic_code": [encode_votes(toxic_votes(*h)) for h in hits]}
+    keep = [c for c in keep if c not in JUDGED]
+    h, i, code, toxic_code, hits, measures, slots, counts = (fresh(c, docs) for c in ("h", "i", "code", "toxic_code", "hits", "measures", "slots", "counts"))
 
     def factory():
-        toxic = ToxicHits(listed.value)
-        return lambda texts: votes(texts, toxic)
-
-    coded = [T.StructField("code", T.IntegerType()), T.StructField("toxic_code", T.IntegerType())]
-    patterns = map_texts(docs, [], coded, factory, text=text_col).groupBy("code", "toxic_code").agg(F.count("*").alias("n")).collect()
-    quality, toxicity = Counter(), Counter()
-    for r in patterns:
-        quality[r["code"]] += r["n"]
-        toxicity[r["toxic_code"]] += r["n"]
-    quality_model, toxic_model = WeakLabels(dict(quality), m), WeakLabels(dict(toxicity), 3)
-
-    total = sum(quality.values())
-    share = min(1.0, 1.5 * TRAIN_ROWS / max(1, total))
-    h = F.xxhash64(F.col(id_col))
-    sample = docs.where(F.pmod(h, F.lit(1_000_000)) < math.ceil(share * 1_000_000)).select(h.alias("h"), F.col(id_col).alias("i"), F.col(text_col).alias("text"))
-
-    def vectors():
-        shapes = Shapes()
-
-        def apply(texts: pa.Array) -> dict:
-            codes, x = [], []
-            for t in texts.to_pylist():
-                raw = (t or "").encode()
-                words = raw.split()
-                measured = measure(raw, words)
-                codes.append(encode_votes(vote(measured, len(words))))
-                x.append(np.concatenate((measured, shapes.slots(raw))).astype(np.float32).tobytes())
-            return {"code": codes, "x": x}
-
-        return apply
-
-    rows = map_texts(sample, ["h", "i"], [T.StructField("code", T.IntegerType()), T.StructField("x", T.BinaryType())], vectors, text="text")
-    rows = rows.orderBy("h", "i", "x").limit(TRAIN_ROWS).toArrow()
-    width = len(MEASURES) + SLOTS
-    x = np.frombuffer(b"".join(rows["x"].to_pylist()), np.float32).reshape(-1, width).astype(np.float64)
-    y = np.array([1 - quality_model.posterior(c) for c in rows["code"].to_pylist()])
-    model = spark.sparkContext.broadcast((Scorer(x, y), quality_model, toxic_model))
-
-    def scoring():
-        scorer, quality_model, toxic_model = model.value
-        shapes, toxic = Shapes(), ToxicHits(listed.value)
+        toxic, shapes = ToxicHits(listed.value), Shapes()
 
         def apply(texts: pa.Array) -> dict:
-            x, posterior, hits = [], [], []
+            made = {c: [] for c in (code, toxic_code, hits, measures, slots, counts)}
             for t in texts.to_pylist():
                 raw = (t or "").encode()
                 words = raw.split()
                 measured = measure(raw, words)
-                posterior.append(1 - quality_model.posterior(encode_votes(vote(measured, len(words)))))
-                x.append(np.concatenate((measured, shapes.slots(raw))))
-                hits.append(toxic(t or ""))
-            score = scorer(np.array(x).reshape(-1, width))
-            bad = [toxic_model.posterior(encode_votes(toxic_votes(*h))) >= 0.5 for h in hits]
-            return {"posterior": posterior, "score": score, "toxic_hits": [h for h, _ in hits], "toxic": bad, "accepted": [s >= 0.5 and not b for s, b in zip(score.tolist(), bad)]}
+                found, n = shapes.counts(raw)
+                marks = toxic(t or "")
+                row = (encode_votes(vote(measured, len(words))), encode_votes(toxic_votes(*marks)), marks[0], measured, found, n)
+                for column, x in zip(made.values(), row):
+                    column.append(x)
+            return made
 
         return apply
 
-    fields = [
-        T.StructField("posterior", T.DoubleType()),
-        T.StructField("score", T.DoubleType()),
-        T.StructField("toxic_hits", T.LongType()),
-        T.StructField("toxic", T.BooleanType()),
-        T.StructField("accepted", T.BooleanType()),
-    ]
-    return map_texts(docs, keep, fields, scoring, text=text_col)
+    whole, real = T.IntegerType(), T.FloatType()
+    fields = [(code, whole), (toxic_code, whole), (hits, T.LongType()), (measures, T.ArrayType(real)), (slots, T.ArrayType(whole)), (counts, T.ArrayType(whole))]
+    source = docs.withColumns({h: F.xxhash64(F.col(id_col)), i: F.col(id_col)})
+    measured = materialize(map_texts(source, [*keep, h, i], [T.StructField(*f) for f in fields], factory, text=text_col), "measured")
+
+    # at most 3 ** labellers patterns of votes, and 27 of the toxic ones
+    patterns = lambda c: {r[c]: r["n"] for r in measured.groupBy(c).agg(F.count("*").alias("n")).collect()}
+    quality, toxicity = patterns(code), patterns(toxic_code)
+    quality_model, toxic_model = WeakLabels(quality, m), WeakLabels(toxicity, 3)
+
+    share = min(1.0, 1.5 * TRAIN_ROWS / max(1, sum(quality.values())))
+    sample = measured.where(F.pmod(h, F.lit(1_000_000)) < math.ceil(share * 1_000_000)).select(h, i, code, measures, slots, counts)
+    rows = sample.orderBy(h, i, measures, slots, counts).limit(TRAIN_ROWS).toArrow()
+    x = np.zeros((rows.num_rows, len(MEASURES) + SLOTS))
+    for at, (dense, found, n) in enumerate(zip(*(rows[c].to_pylist() for c in (measures, slots, counts)))):
+        x[at, : len(MEASURES)] = dense
+        x[at, len(MEASURES) + np.array(found, int)] = np.array(n) / max(1, sum(n))
+    weights, intercept = Scorer(x, np.array([1 - quality_model.posterior(c) for c in rows[code].to_pylist()])).folded()
+
+    dense = sum((F.col(measures)[k].cast("double") * w for k, w in enumerate(weights[: len(MEASURES)])), F.lit(intercept))
+    table, add = F.lit(weights[len(MEASURES) :]), lambda a, b: a + b
+    shaped = F.aggregate(F.zip_with(slots, counts, lambda s, n: F.get(table, s) * n), F.lit(0.0), add)
+    total = F.aggregate(counts, F.lit(0.0), add)
+    odds = F.greatest(F.lit(-50.0), F.least(F.lit(50.0), dense + shaped / F.greatest(total, F.lit(1.0))))
+    posterior = F.broadcast(spark.createDataFrame([(c, 1 - quality_model.posterior(c)) for c in quality], f"`{code}` int, posterior double"))
+    toxic = F.col(toxic_code).isin([c for c in toxicity if toxic_model.posterior(c) >= 0.5])
+    judged = {"score": 1 / (1 + F.exp(-odds)), "toxic_hits": F.col(hits), "toxic": toxic}
+    found = measured.join(posterior, code).select(*keep, "posterior", *(c.alias(name) for name, c in judged.items()))
+    return found.withColumn("accepted", (F.col("score") >= 0.5) & ~F.col("toxic"))
