@@ -8,15 +8,18 @@
    TRAIN_ROWS documents at most (those whose ids hash smallest).
 4. The scorer judges every document; those below a score of 0.5 are rejected.
 
-Toxicity has a weak-label model of its own, whose labellers read a summed log-odds score of a word list.
-The list is made of fixed English insults and of words and word beginnings learned from labelled rows,
+Toxicity goes the same way, with labellers, a weak-label model and a hashed linear scorer of its own. Each of
+VIEWS labellers reads the words of a text that a hash deals to it, so no two ever see the same word; it holds
+them against a list of weighted words. The list is made of fixed English insults and of words and word beginnings learned from labelled rows,
 MAX_TOXIC toxic and MAX_CLEAN clean ones at most, near copies once. A word is learned if its share of toxic
 texts is beyond what chance gives among as many words as were tried, each language held against its own
 share of toxic texts, and if it is LEAST_RATIO times as frequent in toxic texts as in clean ones. It weighs
-the logarithm of that ratio. A text scores the labels' log-odds of toxic, plus the weights of its distinct
-words, less what a toxic text of as many words would have of them beyond a clean one: a listed word that
-clean texts hold now and then says little in a long text. A document whose toxicity posterior is 0.5 or
-more is rejected as well.
+the logarithm of that ratio. Words score the sum of their weights, less what a toxic text of as many words
+would have of them beyond a clean one: a listed word that clean texts hold now and then says little in a
+long text. A labeller votes toxic above a score of TOXIC_VOTE, clean if no word of its share is
+listed, and abstains between. The scorer learns the posteriors of documents with listed words, TRAIN_ROWS at
+most, and as often the mean posterior of those without, from hashed listed words and the score of the whole
+text with the labels' log-odds of toxic, bounded by TOXIC_BOUND. A document whose toxic_score is 0.5 or more is rejected as well.
 
 Defined cases: a null or empty text has no words, so all labellers abstain and it scores as the scorer
 scores the average of nothing, its intercept and dense means; without documents the result is empty;
@@ -48,8 +51,10 @@ TRAIN_ROWS = 4000
 MAX_TOXIC, MAX_CLEAN = 3000, 10_000
 #: Letters of word beginnings; how much more frequent a listed word is in toxic texts; the least weight of an insult.
 BEGINNINGS, LEAST_RATIO, INSULT_WEIGHT = (4, 5, 6, 7, 8), 4.0, 6.0
-#: Slots of hashed word shapes.
-SLOTS = 1024
+#: Slots of hashed word shapes, and of hashed listed words.
+SLOTS, TOXIC_SLOTS = 1024, 256
+#: Toxicity: labellers, the score above which one votes toxic, and the bound of a text's score as a feature.
+VIEWS, TOXIC_VOTE, TOXIC_BOUND = 3, 3.0, 3.0
 
 # Insults.
 INSULTS = (
@@ -265,7 +270,7 @@ def learn_toxic(docs: DataFrame, labels: DataFrame | None, id_col: str, text_col
     def hits(batches):
         listed = ToxicHits(found)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([listed.weights(w)[0] for w in b.column(2).to_pylist()], pa.int64()), pa.compute.list_value_length(b.column(2)).cast(pa.int64())], names=["toxic", "hits", "n"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(listed.found(w)) for w in b.column(2).to_pylist()], pa.int64()), pa.compute.list_value_length(b.column(2)).cast(pa.int64())], names=["toxic", "hits", "n"])
 
     rates = sample.mapInArrow(hits, "toxic int, hits long, n long").groupBy("toxic").agg((F.sum("hits") / F.greatest(F.sum("n"), F.lit(1))).alias("rate"))
     rate = {r["toxic"]: r["rate"] for r in rates.collect()}
@@ -278,42 +283,43 @@ class ToxicHits:
     def __init__(self, listed: ToxicWords):
         self.listed = listed
         self.starts = frozenset(f[: BEGINNINGS[0]] for f in listed if f.endswith("*"))
+        self.slots = {f: xxhash.xxh32_intdigest(f.encode()) % TOXIC_SLOTS for f in listed}
 
-    def weights(self, words) -> tuple[int, float]:
-        """How many of the distinct words are listed, and the sum of their weights; a word goes by itself or its longest listed beginning."""
-        hits, total, get, starts, first = 0, 0.0, self.listed.get, self.starts, BEGINNINGS[0]
+    def found(self, words) -> list[tuple[str, str]]:
+        """Those of the distinct words that are listed, each by itself or by its longest listed beginning, in order."""
+        found, listed, starts, first = [], self.listed, self.starts, BEGINNINGS[0]
         for w in words:
-            x = get(w)
-            if x is None and w[:first] in starts:
-                for k in reversed(BEGINNINGS):
-                    if len(w) >= k and (x := get(w[:k] + "*")) is not None:
-                        break
-            if x is not None:
-                hits, total = hits + 1, total + x
-        return hits, total
-
-    def __call__(self, text: str) -> tuple[int, float]:
-        """Listed words of a text, and its score."""
-        words = set(WORDS.findall(text.lower()))
-        hits, total = self.weights(words)
-        return hits, self.listed.prior + total - self.listed.rate * len(words)
-
-
-def toxic_votes(hits: int, score: float) -> list[int]:
-    """Three labellers: a score above 0, above 2, above 6."""
-    return [1 if score > 0 and hits else -1, 1 if score > 2 and hits else -1 if not hits else 0, 1 if score > 6 and hits else -1 if not hits else 0]
+            if w in listed:
+                found.append((w, w))
+            elif w[:first] in starts:
+                f = next((f for k in reversed(BEGINNINGS) if len(w) >= k and (f := w[:k] + "*") in listed), None)
+                if f is not None:
+                    found.append((w, f))
+        return sorted(found)
+
+    def __call__(self, text: str) -> tuple[list[int], float, list[int]]:
+        """The labellers' votes on a text, its bounded score, and the slots of its listed words."""
+        listed, words = self.listed, set(WORDS.findall(text.lower()))
+        found, sums = self.found(words), [0.0] * VIEWS
+        for w, f in found:
+            sums[xxhash.xxh32_intdigest(w.encode()) % VIEWS] += listed[f]
+        taken = listed.rate * len(words)
+        least = TOXIC_VOTE + taken / VIEWS
+        votes = [0 if not words else -1 if not x else 1 if x > least else 0 for x in sums]
+        score = listed.prior + sum(sums) - taken if found else -TOXIC_BOUND
+        return votes, max(-TOXIC_BOUND, min(TOXIC_BOUND, score)), [self.slots[f] for _, f in found]
 
 
 #: Columns that classify() adds.
-JUDGED = ("posterior", "score", "toxic_hits", "toxic", "accepted")
+JUDGED = ("posterior", "score", "toxic_hits", "toxic_posterior", "toxic_score", "toxic", "accepted")
 
 
 class Scorer:
-    """Logistic model over standardised measurements and shape frequencies; learns soft labels of good."""
+    """Logistic model over standardised features, the first of them dense and the rest hashed; learns soft labels."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, rounds: int = 400, ridge: float = 1e-3):
+    def __init__(self, x: np.ndarray, y: np.ndarray, dense: int, rounds: int = 400, ridge: float = 1e-3):
         self.mean, self.scale = (x.mean(0), x.std(0) + 1e-3) if len(x) else (np.zeros(x.shape[1]), np.ones(x.shape[1]))
-        self.scale[len(MEASURES) :] = np.maximum(self.scale[len(MEASURES) :], 0.05)
+        self.scale[dense:] = np.maximum(self.scale[dense:], 0.05)
         used = np.append(x.any(0), True)
         z = np.hstack([(x - self.mean) / self.scale, np.ones((len(x), 1))])[:, used]
         w, v = np.zeros(z.shape[1]), np.zeros(z.shape[1])
@@ -332,28 +338,30 @@ class Scorer:
 
 
 def classify(docs: DataFrame, keep: list[str], labels: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The kept columns with posterior (of good, from the votes), score (of good, from the scorer), toxic_hits, toxic, accepted.
+    """The kept columns with posterior (of good, from the votes), score (of good, from the scorer), toxic_hits (listed words),
+    toxic_posterior, toxic_score, toxic, accepted.
 
-    Texts are measured once; the measurements and the kept columns are written, and the scorer is a projection over that table.
+    Texts are measured once; the measurements and the kept columns are written, and the scorers are projections over that table.
     """
     spark = docs.sparkSession
     listed = spark.sparkContext.broadcast(learn_toxic(docs, labels, id_col, text_col))
     m = len(LABELLERS)
     keep = [c for c in keep if c not in JUDGED]
-    h, i, code, toxic_code, hits, measures, slots, counts = (fresh(c, docs) for c in ("h", "i", "code", "toxic_code", "hits", "measures", "slots", "counts"))
+    names = ("h", "i", "code", "toxic_code", "measures", "slots", "counts", "toxic_sum", "toxic_slots")
+    h, i, code, toxic_code, measures, slots, counts, toxic_sum, toxic_slots = (fresh(c, docs) for c in names)
 
     def factory():
         toxic, shapes = ToxicHits(listed.value), Shapes()
 
         def apply(texts: pa.Array) -> dict:
-            made = {c: [] for c in (code, toxic_code, hits, measures, slots, counts)}
+            made = {c: [] for c in (code, toxic_code, measures, slots, counts, toxic_sum, toxic_slots)}
             for t in texts.to_pylist():
                 raw = (t or "").encode()
                 words = raw.split()
                 measured = measure(raw, words)
                 found, n = shapes.counts(raw)
-                marks = toxic(t or "")
-                row = (encode_votes(vote(measured, len(words))), encode_votes(toxic_votes(*marks)), marks[0], measured, found, n)
+                votes, total, marks = toxic(t or "")
+                row = (encode_votes(vote(measured, len(words))), encode_votes(votes), measured, found, n, total, marks)
                 for column, x in zip(made.values(), row):
                     column.append(x)
             return made
@@ -361,31 +369,59 @@ def classify(docs: DataFrame, keep: list[str], labels: DataFrame | None = None,
         return apply
 
     whole, real = T.IntegerType(), T.FloatType()
-    fields = [(code, whole), (toxic_code, whole), (hits, T.LongType()), (measures, T.ArrayType(real)), (slots, T.ArrayType(whole)), (counts, T.ArrayType(whole))]
+    fields = [(code, whole), (toxic_code, whole), (measures, T.ArrayType(real)), (slots, T.ArrayType(whole)), (counts, T.ArrayType(whole))]
+    fields += [(toxic_sum, real), (toxic_slots, T.ArrayType(whole))]
     source = docs.withColumns({h: F.xxhash64(F.col(id_col)), i: F.col(id_col)})
     measured = materialize(map_texts(source, [*keep, h, i], [T.StructField(*f) for f in fields], factory, text=text_col), "measured")
-
-    # at most 3 ** labellers patterns of votes, and 27 of the toxic ones
-    patterns = lambda c: {r[c]: r["n"] for r in measured.groupBy(c).agg(F.count("*").alias("n")).collect()}
-    quality, toxicity = patterns(code), patterns(toxic_code)
-    quality_model, toxic_model = WeakLabels(quality, m), WeakLabels(toxicity, 3)
-
-    share = min(1.0, 1.5 * TRAIN_ROWS / max(1, sum(quality.values())))
-    sample = measured.where(F.pmod(h, F.lit(1_000_000)) < math.ceil(share * 1_000_000)).select(h, i, code, measures, slots, counts)
-    rows = sample.orderBy(h, i, measures, slots, counts).limit(TRAIN_ROWS).toArrow()
-    x = np.zeros((rows.num_rows, len(MEASURES) + SLOTS))
+    hits = F.size(toxic_slots).cast("long")
+
+    # at most 3 ** labellers patterns of votes, and 3 ** VIEWS of the toxic ones, with and without listed words
+    quality = {r[code]: r["n"] for r in measured.groupBy(code).agg(F.count("*").alias("n")).collect()}
+    marked = {(r[toxic_code], r["marked"]): r["n"] for r in measured.groupBy(toxic_code, (hits > 0).alias("marked")).agg(F.count("*").alias("n")).collect()}
+    toxicity = Counter()
+    for (c, _), n in marked.items():
+        toxicity[c] += n
+    quality_model, toxic_model = WeakLabels(quality, m), WeakLabels(toxicity, VIEWS)
+
+    def sample(rows: DataFrame, total: int, *columns: str) -> pa.Table:
+        """TRAIN_ROWS of so many rows, those whose ids hash smallest."""
+        share = min(1.0, 1.5 * TRAIN_ROWS / max(1, total))
+        rows = rows.where(F.pmod(h, F.lit(1_000_000)) < math.ceil(share * 1_000_000)).select(h, i, *columns)
+        return rows.orderBy(h, i, *columns[1:]).limit(TRAIN_ROWS).toArrow()
+
+    rows = sample(measured, sum(quality.values()), code, measures, slots, counts)
+    x = np.zeros((rows.num_rows, m + SLOTS))
     for at, (dense, found, n) in enumerate(zip(*(rows[c].to_pylist() for c in (measures, slots, counts)))):
-        x[at, : len(MEASURES)] = dense
-        x[at, len(MEASURES) + np.array(found, int)] = np.array(n) / max(1, sum(n))
-    weights, intercept = Scorer(x, np.array([1 - quality_model.posterior(c) for c in rows[code].to_pylist()])).folded()
-
-    dense = sum((F.col(measures)[k].cast("double") * w for k, w in enumerate(weights[: len(MEASURES)])), F.lit(intercept))
-    table, add = F.lit(weights[len(MEASURES) :]), lambda a, b: a + b
+        x[at, :m] = dense
+        x[at, m + np.array(found, int)] = np.array(n) / max(1, sum(n))
+    weights, intercept = Scorer(x, np.array([1 - quality_model.posterior(c) for c in rows[code].to_pylist()]), m).folded()
+
+    rows = sample(measured.where(hits > 0), sum(n for (_, has), n in marked.items() if has), toxic_code, toxic_sum, toxic_slots)
+    x = np.zeros((2 * rows.num_rows, 1 + TOXIC_SLOTS))
+    x[:, 0] = -TOXIC_BOUND
+    for at, (total, found) in enumerate(zip(rows[toxic_sum].to_pylist(), rows[toxic_slots].to_pylist())):
+        x[at, 0] = total
+        np.add.at(x[at], 1 + np.array(found, int), 1)
+    bare = {c: n for (c, has), n in marked.items() if not has}
+    mean = sum(toxic_model.posterior(c) * n for c, n in bare.items()) / max(1, sum(bare.values()))
+    toxic_weights, toxic_intercept = Scorer(x, np.array([*(toxic_model.posterior(c) for c in rows[toxic_code].to_pylist()), *[mean] * rows.num_rows]), 1).folded()
+
+    chance = lambda odds: 1 / (1 + F.exp(-F.greatest(F.lit(-50.0), F.least(F.lit(50.0), odds))))
+    add = lambda a, b: a + b
+    dense = sum((F.col(measures)[k].cast("double") * w for k, w in enumerate(weights[:m])), F.lit(intercept))
+    table, toxic_table = F.lit(weights[m:]), F.lit(toxic_weights[1:])
     shaped = F.aggregate(F.zip_with(slots, counts, lambda s, n: F.get(table, s) * n), F.lit(0.0), add)
-    total = F.aggregate(counts, F.lit(0.0), add)
-    odds = F.greatest(F.lit(-50.0), F.least(F.lit(50.0), dense + shaped / F.greatest(total, F.lit(1.0))))
-    posterior = F.broadcast(spark.createDataFrame([(c, 1 - quality_model.posterior(c)) for c in quality], f"`{code}` int, posterior double"))
-    toxic = F.col(toxic_code).isin([c for c in toxicity if toxic_model.posterior(c) >= 0.5])
-    judged = {"score": 1 / (1 + F.exp(-odds)), "toxic_hits": F.col(hits), "toxic": toxic}
-    found = measured.join(posterior, code).select(*keep, "posterior", *(c.alias(name) for name, c in judged.items()))
-    return found.withColumn("accepted", (F.col("score") >= 0.5) & ~F.col("toxic"))
+    score = chance(dense + shaped / F.greatest(F.aggregate(counts, F.lit(0.0), add), F.lit(1.0)))
+    spoken = F.aggregate(F.transform(toxic_slots, lambda s: F.get(toxic_table, s)), F.lit(0.0), add)
+    toxic_score = F.when(hits > 0, chance(F.col(toxic_sum).cast("double") * toxic_weights[0] + toxic_intercept + spoken)).otherwise(F.lit(mean))
+    tables = [
+        F.broadcast(spark.createDataFrame([(c, p(c)) for c in known], f"`{key}` int, {name} double"))
+        for key, name, known, p in (
+            (code, "posterior", quality, lambda c: 1 - quality_model.posterior(c)),
+            (toxic_code, "toxic_posterior", toxicity, toxic_model.posterior),
+        )
+    ]
+    judged = {"score": score, "toxic_hits": hits, "toxic_score": toxic_score}
+    found = measured.join(tables[0], code).join(tables[1], toxic_code)
+    found = found.select(*keep, "posterior", "toxic_posterior", *(c.alias(name) for name, c in judged.items()))
+    return found.withColumn("toxic", F.col("toxic_score") >= 0.5).withColumn("accepted", (F.col("score") >= 0.5) & ~F.col("toxic"))

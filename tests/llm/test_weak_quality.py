@@ -1,6 +1,26 @@
+import math
+from collections import Counter
+
+import numpy as np
 import pytest
 
-from quillstone.llm.weak_quality import LABELLERS, WeakLabels, classify, decode_votes, encode_votes, learn_toxic
+from quillstone.llm.weak_quality import (
+    LABELLERS,
+    SLOTS,
+    TOXIC_BOUND,
+    TOXIC_SLOTS,
+    VIEWS,
+    Scorer,
+    Shapes,
+    ToxicHits,
+    WeakLabels,
+    classify,
+    decode_votes,
+    encode_votes,
+    learn_toxic,
+    measure,
+    vote,
+)
 
 DATA = "/root/testdata/sf0.01"
 
@@ -82,4 +102,70 @@ def test_held_out_toxic_recall_by_language(spark):
         toxic = [r["toxic"] for r in found if r["lang"] == lang and r["is_toxic"]]
         clean = [r["toxic"] for r in found if r["lang"] == lang and not r["is_toxic"]]
         print(lang, sum(toxic), len(toxic), sum(clean), len(clean))
-        assert sum(toxic) / len(toxic) > 0.8 and sum(clean) / len(clean) < 0.03
+        assert sum(toxic) / len(toxic) > 0.9 and sum(clean) / len(clean) < 0.01
+
+
+def test_equals_brute_force_over_whole_texts(spark):
+    docs, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
+    found = {r["doc_id"]: r for r in classify(docs, ["doc_id"], labels).collect()}
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.select("doc_id", "text").collect()}
+    ids = sorted(texts)
+    raw = [texts[i].encode() for i in ids]
+    codes = [encode_votes(vote(measure(b, b.split()), len(b.split()))) for b in raw]
+    model, m = WeakLabels(Counter(codes), len(LABELLERS)), len(LABELLERS)
+    good = np.array([1 - model.posterior(c) for c in codes])
+    x, shapes = np.zeros((len(ids), m + SLOTS)), Shapes()
+    for at, b in enumerate(raw):
+        x[at, :m] = np.float32(measure(b, b.split()))
+        for slot, n in zip(*shapes.counts(b)):
+            x[at, m + slot] = n / len(b.split())
+    weights, intercept = Scorer(x, good, m).folded()
+    score = 1 / (1 + np.exp(-np.clip(x @ np.array(weights) + intercept, -50, 50)))
+
+    marks = [ToxicHits(learn_toxic(docs, labels, "doc_id", "text"))] * len(ids)
+    marks = [hits(texts[i]) for hits, i in zip(marks, ids)]
+    toxic_model = WeakLabels(Counter(encode_votes(v) for v, _, _ in marks), VIEWS)
+    toxic = np.array([toxic_model.posterior(encode_votes(v)) for v, _, _ in marks])
+    has = np.array([bool(slots) for _, _, slots in marks])
+    mean = toxic[~has].mean()
+    z = np.zeros((len(ids), 1 + TOXIC_SLOTS))
+    for at, (_, total, slots) in enumerate(marks):
+        z[at, 0] = np.float32(total)
+        for slot in slots:
+            z[at, 1 + slot] += 1
+    bare = np.zeros((has.sum(), 1 + TOXIC_SLOTS))
+    bare[:, 0] = -TOXIC_BOUND
+    weights, intercept = Scorer(np.vstack([z[has], bare]), np.append(toxic[has], np.full(has.sum(), mean)), 1).folded()
+    toxic_score = np.where(has, 1 / (1 + np.exp(-np.clip(z @ np.array(weights) + intercept, -50, 50))), mean)
+
+    assert len(found) == len(ids)
+    for at, i in enumerate(ids):
+        r = found[i]
+        assert math.isclose(r["posterior"], good[at], abs_tol=1e-9) and math.isclose(r["score"], score[at], abs_tol=1e-6)
+        assert math.isclose(r["toxic_posterior"], toxic[at], abs_tol=1e-9) and math.isclose(r["toxic_score"], toxic_score[at], abs_tol=1e-6)
+        assert r["toxic_hits"] == len(marks[at][2]) and r["toxic"] == (r["toxic_score"] >= 0.5)
+        assert r["accepted"] == (r["score"] >= 0.5 and not r["toxic"])
+
+
+def test_toxic_labellers_read_different_words(spark):
+    listed = learn_toxic(spark.createDataFrame([], "doc_id long, text string"), None, "doc_id", "text")
+    hits = ToxicHits(listed)
+    votes, score, slots = hits("you idiot moron loser clown trash scum vermin morons idiots")
+    assert votes.count(1) >= 2 and score == TOXIC_BOUND and len(slots) == 9
+    one = [hits(f"you {w}")[0] for w in ("idiot", "moron", "loser", "clown", "trash", "scum")]
+    assert all(v.count(1) == 1 and v.count(-1) == VIEWS - 1 for v in one) and len({v.index(1) for v in one}) > 1
+    assert hits("")[0] == [0] * VIEWS and hits("plain words")[0] == [-1] * VIEWS
+
+
+def test_clashing_columns_and_repeated_rows(spark):
+    rows = [(1, "some plain text here", 1, 2.0), (1, "some plain text here", 1, 2.0), (2, None, 3, 0.5), (3, "", 4, 0.1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, slots int, toxic_score double").withColumnsRenamed({"slots": "toxic_slots"})
+    found = classify(docs, ["doc_id", "toxic_slots"]).orderBy("doc_id").collect()
+    assert [r["toxic_slots"] for r in found] == [1, 1, 3, 4] and found[0] == found[1]
+    assert not any(r["toxic"] for r in found)
+
+
+def test_a_very_long_text_is_read_to_its_end(spark):
+    rows = [(i, "quiet words of a calm day. " * 5) for i in range(30)] + [(99, "quiet words of a calm day. " * 200_000 + "idiot moron scum trash loser stupid")]
+    found = {r["doc_id"]: r for r in classify(spark.createDataFrame(rows, "doc_id long, text string"), ["doc_id"]).collect()}
+    assert found[99]["toxic_hits"] == 6 and found[0]["toxic_hits"] == 0
