@@ -41,6 +41,13 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM words LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)
 """
 
+EXACT_DEDUP = r"""
+WITH each_ AS (SELECT doc_id, length(coalesce(text, '')) AS l, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g')) AS text_sha256 FROM documents),
+groups_ AS (SELECT doc_id, text_sha256, first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY l DESC, doc_id) AS keep_id,
+ count(*) OVER (PARTITION BY text_sha256) AS group_size FROM each_)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM groups_
+"""
+
 
 def oracles() -> dict[str, str]:
-    return {"op2_minhash_odd_sketch": NEAR_DUPLICATES, "op7_rlz_dedup": SUBSTRING_DEDUP, "op10_fm_decontaminate": DECONTAMINATION}
+    return {"op2_minhash_odd_sketch": NEAR_DUPLICATES, "op7_rlz_dedup": SUBSTRING_DEDUP, "op10_fm_decontaminate": DECONTAMINATION, "op13_bloom_dedup": EXACT_DEDUP}

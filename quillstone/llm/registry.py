@@ -95,8 +95,20 @@ def op10_fm_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_bloom_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .exact_dup import exact_duplicates
+
+    return exact_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+_QUERIES = (
+    op1_url_filter, op2_minhash_odd_sketch, op3_weak_quality, op4_token_fst, op5_pii_transducers, op6_shard_tree, op7_rlz_dedup,
+    op8_nbest_pieces, op9_multi_index, op10_fm_decontaminate, op13_bloom_dedup,
+)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_url_filter, op2_minhash_odd_sketch, op3_weak_quality, op4_token_fst, op5_pii_transducers, op6_shard_tree, op7_rlz_dedup, op8_nbest_pieces, op9_multi_index, op10_fm_decontaminate)}
+    return {f.__name__: f for f in _QUERIES}
 
 
 def oracle_sql() -> dict:
