@@ -41,6 +41,21 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM words LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)
 """
 
+_TERM = r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'"
+RANKED_SEARCH = rf"""
+WITH words AS (SELECT doc_id, regexp_extract_all({_FOLD}, {_TERM}) AS w FROM documents),
+docs AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n FROM words WHERE len(w) > 0),
+stats AS (SELECT count(*) AS nn, CAST(sum(n) AS BIGINT) AS ll FROM docs),
+norms AS (SELECT doc_id, 10 + (90 * n * nn) // ll AS m FROM docs, stats),
+asked AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({_FOLD}, {_TERM})) AS term FROM benchmark),
+counts AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM words) WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+weights AS (SELECT term, CAST(floor(1000 * ln((2 * nn + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM counts, stats GROUP BY term, nn),
+scores AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+ FROM asked JOIN weights USING (term) JOIN counts USING (term) JOIN norms USING (doc_id) GROUP BY item_id, doc_id)
+SELECT * FROM (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+ FROM scores WHERE score > 0) WHERE rank <= 10
+"""
+
 EXACT_DEDUP = r"""
 WITH each_ AS (SELECT doc_id, length(coalesce(text, '')) AS l, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g')) AS text_sha256 FROM documents),
 groups_ AS (SELECT doc_id, text_sha256, first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY l DESC, doc_id) AS keep_id,
@@ -50,4 +65,4 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
 
 
 def oracles() -> dict[str, str]:
-    return {"op2_minhash_odd_sketch": NEAR_DUPLICATES, "op7_rlz_dedup": SUBSTRING_DEDUP, "op10_fm_decontaminate": DECONTAMINATION, "op13_bloom_dedup": EXACT_DEDUP}
+    return {"op2_minhash_odd_sketch": NEAR_DUPLICATES, "op7_rlz_dedup": SUBSTRING_DEDUP, "op10_fm_decontaminate": DECONTAMINATION, "op11_block_max_wand": RANKED_SEARCH, "op13_bloom_dedup": EXACT_DEDUP}
