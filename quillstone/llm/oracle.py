@@ -56,6 +56,23 @@ SELECT * FROM (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDE
  FROM scores WHERE score > 0) WHERE rank <= 10
 """
 
+_CRC = "list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda s: CAST(ascii(s) AS BIGINT))), lambda a, b: {steps})"
+_STEP = "list_reduce(list_prepend(xor(a, b), [CAST(1 AS BIGINT), 1, 1, 1, 1, 1, 1, 1]), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)"
+PREFIX_TRIE = rf"""
+WITH own AS (SELECT conv_id, list({{'r': coalesce(role, ''), 't': coalesce(text, '')}} ORDER BY turn NULLS FIRST) AS w FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+shared AS (SELECT *, xor({_CRC.format(steps=_STEP)}, 4294967295) % 6 AS h FROM own),
+rebuilt AS (SELECT s.conv_id, list_concat(coalesce(b.w[1 : h], []), s.w[h + 1 :]) AS w FROM shared s LEFT JOIN own b ON b.conv_id = s.conv_id - s.conv_id % 100),
+prefixes AS (SELECT conv_id, d, w[1 : d] AS p FROM (SELECT conv_id, w, unnest(range(0, len(w) + 1)) AS d FROM rebuilt)),
+nodes AS (SELECT p, d, min(conv_id) AS conv_id, count(*) AS n_convs FROM prefixes GROUP BY p, d),
+kids AS (SELECT p[1 : d - 1] AS p, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY ALL),
+below AS (SELECT p[1 : x] AS p, sum(CAST(childless AS BIGINT)) AS n_leaves, sum(saves) AS saved_tokens FROM (
+ SELECT n.p, unnest(range(0, n.d + 1)) AS x, k.p IS NULL AS childless, CASE WHEN n.d = 0 THEN 0 ELSE (n_convs - 1) * length(n.p[n.d].t) END AS saves FROM nodes n LEFT JOIN kids k ON k.p = n.p) GROUP BY ALL),
+ends AS (SELECT w AS p, sha256(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)) AS hash FROM rebuilt GROUP BY w)
+SELECT n.conv_id, CAST(n.d AS BIGINT) AS depth, u.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, CAST(n_leaves AS BIGINT) AS n_leaves,
+ CAST(saved_tokens AS BIGINT) AS saved_tokens, coalesce(hash, sha256('')) AS ends_sha256
+FROM nodes n JOIN below USING (p) LEFT JOIN kids USING (p) LEFT JOIN ends USING (p) LEFT JOIN nodes u ON u.d = n.d - 1 AND u.p = n.p[1 : n.d - 1]
+"""
+
 EXACT_DEDUP = r"""
 WITH each_ AS (SELECT doc_id, length(coalesce(text, '')) AS l, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g')) AS text_sha256 FROM documents),
 groups_ AS (SELECT doc_id, text_sha256, first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY l DESC, doc_id) AS keep_id,
@@ -65,4 +82,4 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
 
 
 def oracles() -> dict[str, str]:
-    return {"op2_minhash_odd_sketch": NEAR_DUPLICATES, "op7_rlz_dedup": SUBSTRING_DEDUP, "op10_fm_decontaminate": DECONTAMINATION, "op11_block_max_wand": RANKED_SEARCH, "op13_bloom_dedup": EXACT_DEDUP}
+    return {"op2_minhash_odd_sketch": NEAR_DUPLICATES, "op7_rlz_dedup": SUBSTRING_DEDUP, "op10_fm_decontaminate": DECONTAMINATION, "op11_block_max_wand": RANKED_SEARCH, "op12_prefix_trie": PREFIX_TRIE, "op13_bloom_dedup": EXACT_DEDUP}

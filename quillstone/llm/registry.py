@@ -101,6 +101,12 @@ def op11_block_max_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .prefix_trie import build_trie
+
+    return build_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op13_bloom_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dup import exact_duplicates
 
@@ -109,7 +115,7 @@ def op13_bloom_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _QUERIES = (
     op1_url_filter, op2_minhash_odd_sketch, op3_weak_quality, op4_token_fst, op5_pii_transducers, op6_shard_tree, op7_rlz_dedup,
-    op8_nbest_pieces, op9_multi_index, op10_fm_decontaminate, op11_block_max_wand, op13_bloom_dedup,
+    op8_nbest_pieces, op9_multi_index, op10_fm_decontaminate, op11_block_max_wand, op12_prefix_trie, op13_bloom_dedup,
 )
 
 
