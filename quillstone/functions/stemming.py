@@ -28,6 +28,17 @@ def stem_series(words: pd.Series) -> pd.Series:
     return pd.Series(found, index=words.index, dtype=object)
 
 
+def stem_words(words: list[str | None]) -> list[str | None]:
+    """Stems of words, none for none, by the same memo."""
+    if len(_memo) > MAX_WORDS:
+        _memo.clear()
+    found = list(map(_memo.get, words))
+    for i, s in enumerate(found):
+        if s is None and words[i] is not None:
+            found[i] = _memo[words[i]] = stem(words[i])
+    return found
+
+
 def stemmer(spark: SparkSession) -> Callable[[Column], Column]:
     ship(spark)
     return F.pandas_udf(stem_series, "string")

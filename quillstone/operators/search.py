@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scoring import idf, weighted_tf
 from ..runtime import materialize
-from .postings import count_fields, merge_postings, restem, stem_table
+from .counting import row_postings
+from .postings import merge_postings
 from .queryparse import parse
 
 #: Query terms of a batch that are read into the driver and broadcast.
@@ -73,19 +74,11 @@ def search(lines: DataFrame, found: DataFrame, frequencies: DataFrame, n_docs: D
     return rank(score(terms, found, frequencies, n_docs), titles, k, aggregate, words is not None)
 
 
-def search_fields(lines: DataFrame, occurrences: DataFrame, n_docs: DataFrame, titles: DataFrame, k: int = 10, stem: bool = True, aggregate: bool = False) -> DataFrame:
-    """The same without an index: counts only the terms' tokens in field occurrences, and keeps those counts as a table.
-
-    To stem, the vocabulary is stemmed first, and the tokens whose stems are asked for are the ones that count.
-    """
+def search_fields(lines: DataFrame, fields: DataFrame, n_docs: DataFrame, titles: DataFrame, k: int = 10, stem: bool = True, aggregate: bool = False) -> DataFrame:
+    """The same without an index: of pages' fields only the terms' tokens, counted in each page's row, are kept as a table."""
     terms, words = bounded(parse(lines, stem))
     only = terms.select("token").distinct()
-    if stem:
-        stems = stem_table(occurrences)
-        stems = materialize(stems.join(only.withColumnRenamed("token", "stem"), "stem", "left_semi"), "asked")
-        found = restem(count_fields(occurrences, stems.select("token")), stems)
-    else:
-        found = count_fields(occurrences, only if words is None else F.broadcast(only))
+    found = row_postings(fields, stem=stem).join(only if words is None else F.broadcast(only), "token", "left_semi")
     found = materialize(found, "matches")
     frequencies = found.groupBy("token").agg(F.count("*").alias("df"))
     return rank(score(terms, found, frequencies, n_docs), titles, k, aggregate, words is not None)

@@ -189,6 +189,30 @@ def _explode(column: str, source: str) -> str:
     return f"SELECT doc_ord, CAST(generate_subscripts({column}, 1) - 1 AS INTEGER) AS pos, unnest({column}) AS fragment FROM {source}"
 
 
+def _spots(field: str, column: str, listed: bool) -> str:
+    """Rows (doc_ord, field, fragment, pos, token) of a field; every token has a place, kept or not."""
+    source = f"(SELECT doc_ord, unnest({column}) AS x, generate_subscripts({column}, 1) AS fragment FROM fields)" if listed else f"(SELECT doc_ord, {column} AS x, 1 AS fragment FROM fields)"
+    return f"SELECT doc_ord, '{field}' AS field, fragment, generate_subscripts(w, 1) AS pos, unnest(w) AS token FROM (SELECT doc_ord, fragment, {_v2('x')} AS w FROM {source})"
+
+
+_SPOTS = "spots AS (" + " UNION ALL ".join([_spots("t", "title", False), _spots("b", "body", False), _spots("i", "infobox", True), _spots("c", "category", True), _spots("r", "refs", True), _spots("l", "links", True)]) + ")"
+# The clauses of the lines with phrases, written out: query, clause, tokens, offsets; and query, clause, distance, two tokens.
+_ASKED = """phrases AS (SELECT * FROM (VALUES (1, 0, ['thor', 'thor', 'thor'], [0, 1, 2]), (2, 0, ['nd', 'er'], [0, 2]), (5, 0, ['th', 'er'], [0, 1]), (5, 1, ['ble'], [0]),
+ (6, 0, ['lang', 'en', 'source'], [0, 1, 2]), (9, 0, ['alpha', 'beta'], [0, 1]), (9, 1, ['docs'], [0])) v(query_id, clause, words, offsets)),
+nears AS (SELECT * FROM (VALUES (3, 0, 5, 'nd', 'ti'), (4, 0, 3, 'ha', 'er'), (4, 1, 4, 'er', 'ing'), (10, 0, 2, 'th', 'th')) v(query_id, clause, distance, one, other)),
+slots AS (SELECT query_id, clause, len(words) AS slots, unnest(words) AS token, unnest(offsets) AS off FROM phrases),
+starts AS (SELECT query_id, clause, doc_ord, field FROM slots JOIN spots USING (token) GROUP BY query_id, clause, slots, doc_ord, field, fragment, pos - off HAVING count(*) = slots),
+close_ AS (SELECT DISTINCT n.query_id, n.clause, a.doc_ord, a.field, a.fragment, a.pos FROM nears n JOIN spots a ON a.token = n.one JOIN spots b ON b.token = n.other
+ AND a.doc_ord = b.doc_ord AND a.field = b.field AND a.fragment = b.fragment AND abs(a.pos - b.pos) BETWEEN 1 AND n.distance),
+held AS (SELECT query_id, clause, doc_ord, field, count(*) AS n FROM (SELECT * FROM starts UNION ALL SELECT query_id, clause, doc_ord, field FROM close_) GROUP BY ALL)"""
+_PHRASE_RANKED = """SELECT query_id, rank, doc_ord, title, score FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_ord) AS INTEGER) AS rank
+ FROM (SELECT query_id, doc_ord, round(sum(tf * ln((SELECT count(*) FROM pages_) / df) / ln(2.0)), 6) AS score, count(*) AS met
+  FROM (SELECT query_id, clause, doc_ord, sum(n * CASE field WHEN 't' THEN 10 WHEN 'i' THEN 5 WHEN 'c' THEN 5 WHEN 'b' THEN 1 ELSE 2 END) AS tf, count(*) OVER (PARTITION BY query_id, clause) AS df
+   FROM held GROUP BY query_id, clause, doc_ord) GROUP BY query_id, doc_ord) s
+ WHERE met = (SELECT count(*) FROM (SELECT query_id, clause FROM phrases UNION SELECT query_id, clause FROM nears) c WHERE c.query_id = s.query_id))
+JOIN (SELECT doc_ord, title FROM pages_) USING (doc_ord) WHERE rank <= 10"""
+
+
 def oracles(lines, chunk: int) -> dict[str, str]:
     """SQL by query name."""
     stored = (_BAGS, _POSTINGS)
@@ -240,6 +264,10 @@ def oracles(lines, chunk: int) -> dict[str, str]:
         "stored_search_batch": asked_stems,
         "warm_search_batch": asked_stems,
         "streamed_search_batch": asked_stems,
+        "search_block_max": asked_stems,
+        "phrase_matches": _with(_SPOTS, _ASKED) + "SELECT * FROM held",
+        "search_phrases": _with(_SPOTS, _ASKED) + _PHRASE_RANKED,
+        "stored_search_phrases": _with(_SPOTS, _ASKED) + _PHRASE_RANKED,
         "stored_postings": _with(*stemmed) + "SELECT * FROM postings WHERE token IN ('thor', 'oner', 'src')",
         "index_build_stats": _with(*stemmed, _DF) + f"SELECT count(*) AS vocabulary, CAST(ceil(count(*) / {SHARD_TOKENS + 1}) AS BIGINT) AS shards, true AS timed, true AS sized FROM df",
         "command_line_index": _with(*stemmed) + statistics,

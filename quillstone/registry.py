@@ -11,10 +11,12 @@ from .functions.scoring import FIELDS, decode_postings, encode_posting, idf
 from .functions.text import INDEX_V1, INDEX_V2, QUERY, clean, drop_stop_words, tokens, tokens_of_fragments
 from .operators import extract as X
 from .operators import postings as P
+from .operators.counting import positional_postings, row_postings
+from .operators.positional import matches, parse_positional, search_positional
 from .operators.queryparse import classify, parse
 from .operators.search import search_fields
 from .oracle import SHARD_SIZE, oracles
-from .plans.build import build_index, load, open_index, search_index
+from .plans.build import build_index, load, open_index, search_index, search_index_top
 from .runtime import scratch_path, spread
 from .sources.pages import markup_pages, read_dump, read_queries, write_dump
 from .streaming.ingest import ingest, load_streamed
@@ -35,6 +37,19 @@ LINES = (
     (12, "l:site r:note alpha c:docs"),
     (13, "don't re-read http://a.b/c (thor)"),
 )
+#: Lines with phrases and words near each other.
+POSITIONAL = (
+    (1, '"thor thor thor"'),
+    (2, '"nd the er"'),
+    (3, "nd NEAR/5 ti"),
+    (4, "ha NEAR/3 er NEAR/4 ing"),
+    (5, '"th er" ble'),
+    (6, '"lang en source"'),
+    (7, '"the of" the NEAR/2 th'),
+    (8, ""),
+    (9, '"alpha beta" "docs"'),
+    (10, "th NEAR/2 th"),
+)
 CHUNK = 10_000
 
 
@@ -60,7 +75,7 @@ def _fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _postings(spark: SparkSession, sf_dir: str, stem: bool = False) -> DataFrame:
-    return P.postings(P.field_tokens(_fields(spark, sf_dir)), stem)
+    return row_postings(_fields(spark, sf_dir), stem=stem)
 
 
 def _counted(df: DataFrame, column) -> DataFrame:
@@ -145,7 +160,7 @@ def field_term_counts_stemmed(spark, d):
 
 
 def field_term_counts_v1(spark, d):
-    return P.postings(P.field_tokens(_fields(spark, d), INDEX_V1), stem=False)
+    return row_postings(_fields(spark, d), INDEX_V1, stem=False)
 
 
 def posting_encode(spark, d):
@@ -225,7 +240,7 @@ def _search(spark, d, which, **options):
     pages = markup_pages(spark, d)
     n = pages.agg(F.count("*").alias("n_docs"))
     asked = lines(spark).where(F.col("query_id").isin(*which)) if which else lines(spark)
-    return search_fields(asked, P.field_tokens(_fields(spark, d)), n, pages.select("doc_ord", "title"), **({"stem": False} | options))
+    return search_fields(asked, _fields(spark, d), n, pages.select("doc_ord", "title"), **({"stem": False} | options))
 
 
 def search_free_text(spark, d):
@@ -248,6 +263,34 @@ def search_stemmed(spark, d):
     return _search(spark, d, (), stem=True)
 
 
+def _positional(spark) -> DataFrame:
+    return spark.createDataFrame(list(POSITIONAL), "query_id int, line string")
+
+
+def phrase_matches(spark, d):
+    """Every occurrence of every clause, by document and field."""
+    return matches(parse_positional(_positional(spark), stem=False), positional_postings(_fields(spark, d), stem=False))
+
+
+def search_phrases(spark, d):
+    pages = markup_pages(spark, d)
+    n = pages.agg(F.count("*").alias("n_docs"))
+    return search_positional(_positional(spark), positional_postings(_fields(spark, d), stem=False), n, pages.select("doc_ord", "title"), stem=False)
+
+
+def stored_search_phrases(spark, d):
+    """The same from a stored index."""
+    path = scratch_path(spark, "index")
+    build_index(markup_pages(spark, d), path, stem=False, positions=True)
+    index = load(spark, path)
+    return search_positional(_positional(spark), index.positions, index.n_docs, index.titles, stem=False)
+
+
+def search_block_max(spark, d):
+    """The batch over a stored index, of whose postings only the best blocks are read."""
+    return search_index_top(spark, _index(spark, d), lines(spark))
+
+
 def _index(spark, d) -> str:
     """The path of an index over the markup view, in the shared folder."""
     path = scratch_path(spark, "index")
@@ -318,7 +361,7 @@ _QUERIES = (
     posting_encode, posting_list, posting_decode, chunk_merge, document_frequency, idf_table, vocab_shards, secondary_index,
     shard_lookup, title_address, title_lookup, document_hits, corpus_stats, index_stats, query_classify, query_parse,
     search_free_text, search_field, search_batch, search_aggregated, search_stemmed,
-    stored_search_batch, warm_search_batch, streamed_search_batch, stored_postings, index_build_stats, command_line_index, dump_scan, query_file,
+    stored_search_batch, warm_search_batch, streamed_search_batch, search_block_max, phrase_matches, search_phrases, stored_search_phrases, stored_postings, index_build_stats, command_line_index, dump_scan, query_file,
 )
 
 

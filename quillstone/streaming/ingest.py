@@ -13,7 +13,7 @@ from ..operators.postings import corpus_statistics, document_frequencies
 from ..operators.search import search
 from ..plans.build import index_pages
 from ..runtime import scratch
-from ..sources.store import Index, save
+from ..sources.store import Index, ranges_of, save
 
 
 def ingest(pages: DataFrame, path: str, checkpoint: str, config: TokenizerConfig = INDEX_V2, stem: bool = True) -> StreamingQuery:
@@ -34,7 +34,8 @@ def ingest(pages: DataFrame, path: str, checkpoint: str, config: TokenizerConfig
 
         with scratch():
             part = index_pages(batch, config, stem)
-            found = write(part.postings.sortWithinPartitions("token", "doc_ord"), "postings")
+            dealt = part.postings.repartitionByRange(ranges_of(part.postings), "token", "doc_ord")
+            found = write(dealt.sortWithinPartitions("token", "doc_ord"), "postings")
             titles = write(part.titles, "titles")
             frequencies = write(document_frequencies(found).sortWithinPartitions("token"), "frequencies")
             write(corpus_statistics(titles, found, frequencies).drop("vocabulary"), "stats")
@@ -57,8 +58,7 @@ class StreamedIndex:
 
     def compact(self, path: str) -> None:
         """Write everything as one stored index, in ranges of tokens."""
-        n = int(self.postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        save(Index(self.postings.repartitionByRange(n, "token", "doc_ord"), self.titles), path)
+        save(Index(self.postings, self.titles), path)
 
 
 def load_streamed(spark: SparkSession, path: str) -> StreamedIndex:
