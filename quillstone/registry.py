@@ -12,13 +12,15 @@ from .functions.text import INDEX_V1, INDEX_V2, QUERY, clean, drop_stop_words, t
 from .operators import extract as X
 from .operators import postings as P
 from .operators.counting import positional_postings, row_postings
+from .operators.lexicon import deletion_table, fuzzy_terms, gram_table, search_patterns, wildcard_terms
 from .operators.positional import matches, parse_positional, search_positional
 from .operators.queryparse import classify, parse
 from .operators.search import search_fields
 from .oracle import SHARD_SIZE, oracles
 from .plans.build import build_index, load, open_index, search_index, search_index_top
-from .runtime import scratch_path, spread
+from .runtime import materialize, scratch_path, spread
 from .sources.pages import markup_pages, read_dump, read_queries, write_dump
+from .sources.store import load_lexicon, save_lexicon
 from .streaming.ingest import ingest, load_streamed
 
 #: Query lines that the search queries answer.
@@ -50,6 +52,9 @@ POSITIONAL = (
     (9, '"alpha beta" "docs"'),
     (10, "th NEAR/2 th"),
 )
+#: Lines with misspelt words and wildcards, and patterns alone.
+LIKELY = ((1, "thro~ onere"), (2, "th*r"), (3, "o*ere thor~1"), (4, "*ution s*c* The"), (5, "qqqqqqqq~ zzz*"), (6, ""))
+PATTERNS = ("th*r", "*tion", "*erea*", "a*b*e", "s*1*", "onere", "*q*", "re*re")
 CHUNK = 10_000
 
 
@@ -286,6 +291,31 @@ def stored_search_phrases(spark, d):
     return search_positional(_positional(spark), index.positions, index.n_docs, index.titles, stem=False)
 
 
+def _vocabulary(spark, d) -> DataFrame:
+    return materialize(document_frequency(spark, d).select("token"), "vocabulary")
+
+
+def fuzzy_vocabulary(spark, d):
+    """The documents' tokens within two edits of each token of the benchmark's texts."""
+    items = spark.read.parquet(f"{d}/benchmark.parquet").select(F.explode(tokens(clean(F.col("text")), INDEX_V2)).alias("word"))
+    return fuzzy_terms(items.select("word", F.lit(2).alias("edits")), deletion_table(_vocabulary(spark, d)))
+
+
+def wildcard_vocabulary(spark, d):
+    words = _vocabulary(spark, d)
+    return wildcard_terms(spark.createDataFrame([(p,) for p in PATTERNS], "pattern string"), gram_table(words), words)
+
+
+def stored_search_patterns(spark, d):
+    """Misspelt words and wildcards, looked up in the tables that a stored index has for them."""
+    path = scratch_path(spark, "index")
+    build_index(markup_pages(spark, d), path, stem=False)
+    save_lexicon(spark, path)
+    index = load(spark, path)
+    asked = spark.createDataFrame(list(LIKELY), "query_id int, line string")
+    return search_patterns(asked, index.postings, index.frequencies, index.n_docs, index.titles, *load_lexicon(spark, path))
+
+
 def search_block_max(spark, d):
     """The batch over a stored index, of whose postings only the best blocks are read."""
     return search_index_top(spark, _index(spark, d), lines(spark))
@@ -361,7 +391,7 @@ _QUERIES = (
     posting_encode, posting_list, posting_decode, chunk_merge, document_frequency, idf_table, vocab_shards, secondary_index,
     shard_lookup, title_address, title_lookup, document_hits, corpus_stats, index_stats, query_classify, query_parse,
     search_free_text, search_field, search_batch, search_aggregated, search_stemmed,
-    stored_search_batch, warm_search_batch, streamed_search_batch, search_block_max, phrase_matches, search_phrases, stored_search_phrases, stored_postings, index_build_stats, command_line_index, dump_scan, query_file,
+    stored_search_batch, warm_search_batch, streamed_search_batch, search_block_max, fuzzy_vocabulary, wildcard_vocabulary, stored_search_patterns, phrase_matches, search_phrases, stored_search_phrases, stored_postings, index_build_stats, command_line_index, dump_scan, query_file,
 )
 
 

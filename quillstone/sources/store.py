@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scoring import FIELDS, weighted_tf
+from ..operators.lexicon import deletion_table, gram_table
 from ..operators.postings import posting_lists
 from ..runtime import stored_bytes
 
@@ -79,6 +80,18 @@ def save(index: Index, path: str, partitions: int | None = None) -> None:
             placed.result()
 
 
+def save_lexicon(spark: SparkSession, path: str) -> None:
+    """Add to an index the tables by which misspelt words and wildcards find tokens, in ranges of what is looked up."""
+    vocabulary = spark.read.parquet(f"{path}/frequencies").select("token")
+    for name, table, key in (("deletions", deletion_table(vocabulary), "variant"), ("grams", gram_table(vocabulary), "gram")):
+        table.repartitionByRange(key, "token").sortWithinPartitions(key, "token").write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def load_lexicon(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(deletions, grams) of an index."""
+    return spark.read.parquet(f"{path}/deletions"), spark.read.parquet(f"{path}/grams")
+
+
 def _save_sorted(positions: DataFrame, path: str, partitions: int | None) -> None:
     dealt = positions.repartitionByRange(partitions or ranges_of(positions), "token", "doc_ord")
     dealt.sortWithinPartitions("token", "doc_ord").write.mode("overwrite").parquet(path)

@@ -10,7 +10,8 @@ ORACLES = registry.oracle_sql()
 @pytest.fixture(scope="module")
 def sql():
     con = duckdb.connect()
-    con.execute(f"create view documents as select * from '{DATA}/documents.parquet'")
+    for name in ("documents", "benchmark", "pages", "events"):
+        con.execute(f"create view {name} as select * from '{DATA}/{name}.parquet'")
     return con
 
 
