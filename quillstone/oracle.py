@@ -274,6 +274,7 @@ def oracles(lines, chunk: int) -> dict[str, str]:
         "warm_search_batch": asked_stems,
         "streamed_search_batch": asked_stems,
         "search_block_max": asked_stems,
+        "updated_search_batch": asked_stems.replace("END AS text FROM documents)", "END AS text FROM documents WHERE doc_id % 7 <> 3 AND doc_id % 11 <> 4)"),
         "fuzzy_vocabulary": _with(*stored, _DF, _BENCH_WORDS.format(found=_v2("lower(replace(coalesce(text, ''), chr(10), ' '))")))
         + "SELECT word, 2 AS edits, token, CAST(levenshtein(word, token) AS INTEGER) AS distance FROM words_b JOIN df ON abs(length(word) - length(token)) <= 2 AND levenshtein(word, token) <= 2",
         "wildcard_vocabulary": _with(*stored, _DF, _PATTERNS) + "SELECT pattern, token FROM patterns JOIN df ON token LIKE replace(pattern, '*', '%')",

@@ -20,6 +20,7 @@ from .oracle import SHARD_SIZE, oracles
 from .plans.build import build_index, load, open_index, search_index, search_index_top
 from .runtime import materialize, scratch_path, spread
 from .sources.pages import markup_pages, read_dump, read_queries, write_dump
+from .sources.segments import SegmentedIndex
 from .sources.store import load_lexicon, save_lexicon
 from .streaming.ingest import ingest, load_streamed
 
@@ -316,6 +317,16 @@ def stored_search_patterns(spark, d):
     return search_patterns(asked, index.postings, index.frequencies, index.n_docs, index.titles, *load_lexicon(spark, path))
 
 
+def updated_search_batch(spark, d):
+    """The batch over an index whose pages have been replaced and deleted, as over what is left."""
+    pages = markup_pages(spark, d)
+    index = SegmentedIndex(spark, scratch_path(spark, "segments"))
+    index.apply(pages.where("doc_ord % 3 < 2").select("doc_ord", "title", F.when(F.col("doc_ord") % 5 == 0, F.upper("title")).otherwise(F.col("text")).alias("text")))
+    index.apply(pages.where("doc_ord % 3 = 2 OR doc_ord % 5 = 0"), pages.where("doc_ord % 11 = 4").select("doc_ord"))
+    index.apply(None, pages.where("doc_ord % 7 = 3 OR doc_ord % 11 = 4").select("doc_ord"))
+    return index.snapshot().search(lines(spark))
+
+
 def search_block_max(spark, d):
     """The batch over a stored index, of whose postings only the best blocks are read."""
     return search_index_top(spark, _index(spark, d), lines(spark))
@@ -391,7 +402,7 @@ _QUERIES = (
     posting_encode, posting_list, posting_decode, chunk_merge, document_frequency, idf_table, vocab_shards, secondary_index,
     shard_lookup, title_address, title_lookup, document_hits, corpus_stats, index_stats, query_classify, query_parse,
     search_free_text, search_field, search_batch, search_aggregated, search_stemmed,
-    stored_search_batch, warm_search_batch, streamed_search_batch, search_block_max, fuzzy_vocabulary, wildcard_vocabulary, stored_search_patterns, phrase_matches, search_phrases, stored_search_phrases, stored_postings, index_build_stats, command_line_index, dump_scan, query_file,
+    stored_search_batch, warm_search_batch, streamed_search_batch, updated_search_batch, search_block_max, fuzzy_vocabulary, wildcard_vocabulary, stored_search_patterns, phrase_matches, search_phrases, stored_search_phrases, stored_postings, index_build_stats, command_line_index, dump_scan, query_file,
 )
 
 

@@ -13,11 +13,12 @@ from ..operators.postings import corpus_statistics, document_frequencies
 from ..operators.search import search
 from ..plans.build import index_pages
 from ..runtime import scratch
+from ..sources.segments import SegmentedIndex
 from ..sources.store import Index, ranges_of, save
 
 
-def ingest(pages: DataFrame, path: str, checkpoint: str, config: TokenizerConfig = INDEX_V2, stem: bool = True) -> StreamingQuery:
-    """Start indexing a stream of new pages(doc_ord, title, text) into tables under path.
+def ingest(pages: DataFrame, path: str, checkpoint: str, config: TokenizerConfig = INDEX_V2, stem: bool = True, trigger: dict | None = None) -> StreamingQuery:
+    """Start indexing a stream of new pages(doc_ord, title, text) into tables under path; trigger as for ingest_updates().
 
     A page's postings depend on that page alone, so batches need no state: a batch adds its postings and titles,
     its own document frequencies and its own statistics, which a search adds up. Each batch overwrites a folder
@@ -40,7 +41,23 @@ def ingest(pages: DataFrame, path: str, checkpoint: str, config: TokenizerConfig
             frequencies = write(document_frequencies(found).sortWithinPartitions("token"), "frequencies")
             write(corpus_statistics(titles, found, frequencies).drop("vocabulary"), "stats")
 
-    return pages.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return pages.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def ingest_updates(pages: DataFrame, index: SegmentedIndex, checkpoint: str, trigger: dict | None = None, merge: bool = False) -> StreamingQuery:
+    """Start applying a stream of pages(doc_ord, title, text) to an index, in which a page that comes again replaces the former one.
+
+    A batch is one commit; one that is run again after a failure isn't applied twice. With merge, segments of like size are
+    merged after each batch. trigger holds the arguments of DataStreamWriter.trigger(); by default the query ends when
+    what is there has been read.
+    """
+
+    def add(batch: DataFrame, number: int) -> None:
+        index.apply(batch, batch=number)
+        if merge:
+            index.merge()
+
+    return pages.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
 @dataclass
