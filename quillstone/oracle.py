@@ -222,6 +222,41 @@ _PATTERNS = "patterns AS (SELECT unnest(['th*r', '*tion', '*erea*', 'a*b*e', 's*
 _BENCH_WORDS = "words_b AS (SELECT DISTINCT unnest({found}) AS word FROM benchmark)"
 
 
+def _has(word: str, field: str = "") -> str:
+    return f"EXISTS (SELECT 1 FROM postings p WHERE p.doc_ord = d.doc_ord AND p.token = '{word}'" + (f" AND p.{field} > 0)" if field else ")")
+
+
+# The boolean lines, written out.
+_BOOLEAN = " UNION ALL ".join(
+    f"SELECT {i} AS query_id, doc_ord FROM pages_ d WHERE {where}"
+    for i, where in (
+        (1, f"{_has('thor')} AND {_has('onere')}"),
+        (2, f"{_has('thor')} OR {_has('onere')}"),
+        (3, f"{_has('th')} AND {_has('er')} AND NOT {_has('ing')}"),
+        (4, f"NOT {_has('th')}"),
+        (5, f"({_has('ti')} OR {_has('tion')}) AND {_has('nd')} AND NOT ({_has('er')} OR {_has('12', 't')})"),
+        (6, f"{_has('document', 't')} AND {_has('onere')}"),
+        (7, f"{_has('en', 'i')} AND {_has('docs', 'c')} AND NOT {_has('th', 'b')}"),
+        (10, f"{_has('label', 'l')} OR NOT ({_has('note', 'r')} OR {_has('nd', 'b')})"),
+    )
+)
+_GRAPH = r"""hosts AS (SELECT lower(regexp_extract(url, '^https?://([^/?#]*)', 1)) AS host, regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1) AS path,
+ unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href FROM pages),
+edges AS (SELECT DISTINCT host || '/' || array_to_string(list_filter(string_split(path, '/'), lambda x: x <> ''), '/') AS source,
+ host || '/' || array_to_string(list_filter(string_split(regexp_extract(replace(href, '&amp;', '&'), '^([^?#]*)', 1), '/'), lambda x: x <> ''), '/') AS target FROM hosts WHERE href LIKE '/%'),
+links AS (SELECT * FROM edges WHERE source <> target)"""
+
+
+def _ranks(rounds: int = 60) -> str:
+    """Power iteration, a common table expression a round."""
+    steps = [f"WITH {_GRAPH}, nodes AS MATERIALIZED (SELECT source AS node FROM links UNION SELECT target FROM links), stats AS (SELECT count(*) AS n FROM nodes)",
+             "degrees AS MATERIALIZED (SELECT source AS node, count(*) AS k FROM links GROUP BY source)", "r0 AS MATERIALIZED (SELECT node, 1.0::DOUBLE / n AS r FROM nodes, stats)"]
+    for i in range(rounds):
+        steps.append(f"""g{i} AS MATERIALIZED (SELECT l.target AS node, sum(r / k) AS got FROM links l JOIN r{i} ON r{i}.node = l.source JOIN degrees e ON e.node = l.source GROUP BY l.target),
+r{i + 1} AS MATERIALIZED (SELECT node, 0.15 / n + 0.85 * (coalesce(got, 0) + (SELECT coalesce(sum(r), 0) FROM r{i} ANTI JOIN degrees USING (node)) / n) AS r FROM nodes LEFT JOIN g{i} USING (node), stats)""")
+    return ", ".join(steps) + f" SELECT node, round(r, 9) AS rank FROM r{rounds}"
+
+
 def oracles(lines, chunk: int) -> dict[str, str]:
     """SQL by query name."""
     stored = (_BAGS, _POSTINGS)
@@ -279,6 +314,9 @@ def oracles(lines, chunk: int) -> dict[str, str]:
         + "SELECT word, 2 AS edits, token, CAST(levenshtein(word, token) AS INTEGER) AS distance FROM words_b JOIN df ON abs(length(word) - length(token)) <= 2 AND levenshtein(word, token) <= 2",
         "wildcard_vocabulary": _with(*stored, _DF, _PATTERNS) + "SELECT pattern, token FROM patterns JOIN df ON token LIKE replace(pattern, '*', '%')",
         "stored_search_patterns": _with(*stored, _DF, _LIKELY, _ENTRIES) + _ranked(),
+        "boolean_search": _with(*stored) + _BOOLEAN,
+        "link_graph": f"WITH {_GRAPH} SELECT * FROM links",
+        "link_rank": _ranks(),
         "phrase_matches": _with(_SPOTS, _ASKED) + "SELECT * FROM held",
         "search_phrases": _with(_SPOTS, _ASKED) + _PHRASE_RANKED,
         "stored_search_phrases": _with(_SPOTS, _ASKED) + _PHRASE_RANKED,

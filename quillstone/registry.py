@@ -11,8 +11,11 @@ from .functions.scoring import FIELDS, decode_postings, encode_posting, idf
 from .functions.text import INDEX_V1, INDEX_V2, QUERY, clean, drop_stop_words, tokens, tokens_of_fragments
 from .operators import extract as X
 from .operators import postings as P
+from .operators.boolean import boolean_matches
 from .operators.counting import positional_postings, row_postings
 from .operators.lexicon import deletion_table, fuzzy_terms, gram_table, search_patterns, wildcard_terms
+from .operators.links import link_graph as page_links
+from .operators.links import link_rank as rank_links
 from .operators.positional import matches, parse_positional, search_positional
 from .operators.queryparse import classify, parse
 from .operators.search import search_fields
@@ -56,6 +59,7 @@ POSITIONAL = (
 #: Lines with misspelt words and wildcards, and patterns alone.
 LIKELY = ((1, "thro~ onere"), (2, "th*r"), (3, "o*ere thor~1"), (4, "*ution s*c* The"), (5, "qqqqqqqq~ zzz*"), (6, ""))
 PATTERNS = ("th*r", "*tion", "*erea*", "a*b*e", "s*1*", "onere", "*q*", "re*re")
+BOOLEAN = ((1, "thor AND onere"), (2, "thor OR onere"), (3, "th er NOT ing"), (4, "NOT th"), (5, "(ti OR tion) nd NOT (er OR t:12)"), (6, "t:document onere"), (7, "i:en c:docs NOT b:th"), (8, ""), (9, "( th"), (10, "l:label OR NOT (r:note OR b:nd)"))
 CHUNK = 10_000
 
 
@@ -327,6 +331,21 @@ def updated_search_batch(spark, d):
     return index.snapshot().search(lines(spark))
 
 
+def boolean_search(spark, d):
+    """All documents that answer each boolean line."""
+    found = materialize(_postings(spark, d), "postings")
+    asked = spark.createDataFrame(list(BOOLEAN), "query_id int, line string")
+    return boolean_matches(asked, found, P.document_frequencies(found), markup_pages(spark, d).select("doc_ord", "title"), stem=False)
+
+
+def link_graph(spark, d):
+    return page_links(spark.read.parquet(f"{d}/pages.parquet"))
+
+
+def link_rank(spark, d):
+    return rank_links(link_graph(spark, d)).select("node", F.round("rank", 9).alias("rank"))
+
+
 def search_block_max(spark, d):
     """The batch over a stored index, of whose postings only the best blocks are read."""
     return search_index_top(spark, _index(spark, d), lines(spark))
@@ -402,7 +421,7 @@ _QUERIES = (
     posting_encode, posting_list, posting_decode, chunk_merge, document_frequency, idf_table, vocab_shards, secondary_index,
     shard_lookup, title_address, title_lookup, document_hits, corpus_stats, index_stats, query_classify, query_parse,
     search_free_text, search_field, search_batch, search_aggregated, search_stemmed,
-    stored_search_batch, warm_search_batch, streamed_search_batch, updated_search_batch, search_block_max, fuzzy_vocabulary, wildcard_vocabulary, stored_search_patterns, phrase_matches, search_phrases, stored_search_phrases, stored_postings, index_build_stats, command_line_index, dump_scan, query_file,
+    stored_search_batch, warm_search_batch, streamed_search_batch, updated_search_batch, boolean_search, link_graph, link_rank, search_block_max, fuzzy_vocabulary, wildcard_vocabulary, stored_search_patterns, phrase_matches, search_phrases, stored_search_phrases, stored_postings, index_build_stats, command_line_index, dump_scan, query_file,
 )
 
 
