@@ -257,6 +257,15 @@ r{i + 1} AS MATERIALIZED (SELECT node, 0.15 / n + 0.85 * (coalesce(got, 0) + (SE
     return ", ".join(steps) + f" SELECT node, round(r, 9) AS rank FROM r{rounds}"
 
 
+_WATERMARK = "(SELECT max(ts) - INTERVAL 1 DAY FROM events)"
+_WINDOWS = f"""SELECT event_type, epoch_us(s) AS start_us, count(*) AS n, round(sum(value), 4) AS total
+FROM (SELECT *, time_bucket(INTERVAL 6 HOURS, ts, TIMESTAMP '2000-01-01') - to_hours(6 * unnest(range(0, 4))) AS s FROM events) WHERE s + INTERVAL 1 DAY <= {_WATERMARK} GROUP BY event_type, s"""
+_RUNS = f"""WITH seen AS (SELECT * FROM events WHERE ts <= {_WATERMARK}),
+marked AS (SELECT *, CASE WHEN event_type = lag(event_type) OVER w THEN 0 ELSE 1 END AS new FROM seen WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+numbered AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run, sum(new) OVER (PARTITION BY user_id) AS runs FROM marked)
+SELECT user_id, event_type, epoch_us(min(ts)) AS first_us, epoch_us(max(ts)) AS last_us, count(*) AS n, round(sum(value), 4) AS total FROM numbered WHERE run < runs GROUP BY user_id, event_type, run"""
+
+
 def oracles(lines, chunk: int) -> dict[str, str]:
     """SQL by query name."""
     stored = (_BAGS, _POSTINGS)
@@ -317,6 +326,8 @@ def oracles(lines, chunk: int) -> dict[str, str]:
         "boolean_search": _with(*stored) + _BOOLEAN,
         "link_graph": f"WITH {_GRAPH} SELECT * FROM links",
         "link_rank": _ranks(),
+        "event_windows": _WINDOWS,
+        "event_runs": _RUNS,
         "phrase_matches": _with(_SPOTS, _ASKED) + "SELECT * FROM held",
         "search_phrases": _with(_SPOTS, _ASKED) + _PHRASE_RANKED,
         "stored_search_phrases": _with(_SPOTS, _ASKED) + _PHRASE_RANKED,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +27,8 @@ from .sources.pages import markup_pages, read_dump, read_queries, write_dump
 from .sources.segments import SegmentedIndex
 from .sources.store import load_lexicon, save_lexicon
 from .streaming.ingest import ingest, load_streamed
+from .streaming.windows import append, rocksdb, window_statistics
+from .streaming.windows import event_runs as runs_of_events
 
 #: Query lines that the search queries answer.
 LINES = (
@@ -346,6 +349,39 @@ def link_rank(spark, d):
     return rank_links(link_graph(spark, d)).select("node", F.round("rank", 9).alias("rank"))
 
 
+def _event_stream(spark, d) -> DataFrame:
+    """The events as a stream of three files in order of time, each of which brings the last half day of the one before again."""
+    # microseconds since 1970 whatever the session's time zone
+    since = F.timestamp_diff("MICROSECOND", F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00")), F.col("ts").cast("timestamp_ntz"))
+    events, source = spark.read.parquet(f"{d}/events.parquet").withColumn("ts", F.timestamp_micros(since)), scratch_path(spark, "events")
+    first, last = events.agg(F.min("ts"), F.max("ts")).first()
+    third = (last - first) / 3
+    for i in range(3):
+        begin = first + i * third - timedelta(hours=12)
+        part = events.where((F.col("ts") >= F.lit(begin)) & ((F.col("ts") < F.lit(first + (i + 1) * third)) | F.lit(i == 2)))
+        part.coalesce(1).write.parquet(f"{source}/{i}")
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(source)
+
+
+def _appended(spark, rows: DataFrame) -> DataFrame:
+    path = scratch_path(spark, "appended")
+    append(rows, path, scratch_path(spark, "state")).awaitTermination()
+    return spark.read.schema(rows.schema).parquet(path)
+
+
+def event_windows(spark, d):
+    """Statistics of overlapping windows that the watermark has passed, each event once."""
+    found = _appended(spark, window_statistics(_event_stream(spark, d), "1 day", "6 hours", "1 day"))
+    return found.select("event_type", F.unix_micros("start").alias("start_us"), "n", F.round("total", 4).alias("total"))
+
+
+def event_runs(spark, d):
+    """Runs of one type of each user's events that the watermark has passed, by a processor with state."""
+    with rocksdb(spark):
+        found = _appended(spark, runs_of_events(_event_stream(spark, d), "1 day"))
+    return found.select("user_id", "event_type", F.unix_micros("first_ts").alias("first_us"), F.unix_micros("last_ts").alias("last_us"), "n", F.round("total", 4).alias("total"))
+
+
 def search_block_max(spark, d):
     """The batch over a stored index, of whose postings only the best blocks are read."""
     return search_index_top(spark, _index(spark, d), lines(spark))
@@ -421,7 +457,7 @@ _QUERIES = (
     posting_encode, posting_list, posting_decode, chunk_merge, document_frequency, idf_table, vocab_shards, secondary_index,
     shard_lookup, title_address, title_lookup, document_hits, corpus_stats, index_stats, query_classify, query_parse,
     search_free_text, search_field, search_batch, search_aggregated, search_stemmed,
-    stored_search_batch, warm_search_batch, streamed_search_batch, updated_search_batch, boolean_search, link_graph, link_rank, search_block_max, fuzzy_vocabulary, wildcard_vocabulary, stored_search_patterns, phrase_matches, search_phrases, stored_search_phrases, stored_postings, index_build_stats, command_line_index, dump_scan, query_file,
+    stored_search_batch, warm_search_batch, streamed_search_batch, updated_search_batch, boolean_search, link_graph, link_rank, event_windows, event_runs, search_block_max, fuzzy_vocabulary, wildcard_vocabulary, stored_search_patterns, phrase_matches, search_phrases, stored_search_phrases, stored_postings, index_build_stats, command_line_index, dump_scan, query_file,
 )
 
 
