@@ -12,7 +12,8 @@ to its token count. A state is what decides all that can follow: the longest suf
 token, and for each of its positions the last token of the encoding up to there and the count
 relative to the present one. The next last token is the one that ends here and may follow the last
 token where it begins; two tokens may follow each other if merging their joined bytes gives them
-back. States and transitions are compiled when first met, and the table starts anew at MAX_STATES.
+back. States and transitions are compiled when first met; at MAX_STATES states or ARCS_A_STATE times as many arcs the tables
+start anew with the state that is live, in the middle of a piece too, so a piece of any length takes no more.
 Counts of frequent pieces are kept in a memo of bounded size.
 
 Counts equal those of byte-level BPE vocabularies in the JSON format with the usual English
@@ -39,6 +40,8 @@ from pyspark.sql import types as T
 from ._rows import map_texts
 
 MAX_STATES = 100_000
+#: Arcs at which they start anew too, for each of so many states.
+ARCS_A_STATE = 3
 MAX_PIECES = 300_000
 #: Bytes of a piece that is remembered, at most.
 MEMO_BYTES = 64
@@ -244,14 +247,27 @@ class CountTransducer:
         arc = self.arcs[state << 8 | byte] = target << 16 | (emitted + 32768)
         return arc
 
+    def _full(self) -> bool:
+        return len(self.states) >= MAX_STATES or len(self.arcs) >= ARCS_A_STATE * MAX_STATES
+
+    def _restarted(self, state: int) -> int:
+        """The number of a live state in tables that start anew with it."""
+        live = self.states[state]
+        self._clear()
+        number = self.index.setdefault(live, len(self.states))
+        if number == len(self.states):
+            self.states.append(live)
+        return number
+
     def run(self, piece: bytes) -> int:
-        """Tokens of a piece: the sum of what its transitions emit."""
-        if len(self.states) > MAX_STATES:
-            self._clear()
+        """Tokens of a piece: the sum of what its transitions emit. Full tables start anew, within a piece too."""
         arcs, state, total = self.arcs, 0, 0
         for byte in piece:
             arc = arcs.get(state << 8 | byte)
             if arc is None:
+                if self._full():
+                    state = self._restarted(state)
+                    arcs = self.arcs
                 arc = self._compile(state, byte)
             state = arc >> 16
             total += (arc & 65535) - 32768

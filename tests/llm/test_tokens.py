@@ -1,9 +1,11 @@
 import random
+from pathlib import Path
 
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+from quillstone.llm import token_fst
 from quillstone.llm.token_fst import DONE, TokenCounter, count_tokens, piece_starts, symbols
 
 FILE = str(public_tokenizers.path("byte_bpe_50k.json"))
@@ -61,6 +63,15 @@ def test_scan_does_not_depend_on_chunks(monkeypatch):
     assert all(f == found[0] for f in found) and DONE == 0
 
 
+def test_tables_stay_bounded_within_a_piece(monkeypatch):
+    monkeypatch.setattr(token_fst, "MAX_STATES", 500)
+    rng = random.Random(3)
+    counter = token_fst.TokenCounter(Path(FILE).read_text(encoding="utf-8"))
+    texts = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n)) for n in (5, 3000, 60_000)]
+    assert counter(texts).tolist() == library(texts)
+    assert len(counter.counter.states) <= 500 and len(counter.counter.arcs) <= 500 * token_fst.ARCS_A_STATE
+
+
 def test_operator(docs, rows, no_docs):
     found = count_tokens(docs.withColumn("n_tokens", docs["n_chars"]), ["doc_id", "text", "n_tokens"], FILE).collect()
     assert len(found) == len(rows)
