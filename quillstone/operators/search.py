@@ -13,6 +13,8 @@ from .queryparse import parse
 
 #: Query terms of a batch that are read into the driver and broadcast.
 MAX_TERMS = 10_000
+#: Batches whose new tokens a searcher keeps apart; beyond, all are read into one frame.
+MAX_KEPT = 8
 
 
 def score(terms: DataFrame, found: DataFrame, frequencies: DataFrame, n_docs: DataFrame) -> DataFrame:
@@ -104,12 +106,20 @@ class Searcher:
         if words is None or len(self.known | set(words)) > 10 * MAX_TERMS:
             return search(lines, *self.stored, self.n_docs, self.titles, k, stem, aggregate)
         if new := sorted(set(words) - self.known):
-            self.kept.append(tuple(df.where(F.col("token").isin(new)).persist() for df in self.stored))
             self.known |= set(new)
+            self.kept.append(self._read(new))
+            if len(self.kept) > MAX_KEPT:  # one frame of all, so that no plan grows with the number of batches
+                for pair in self.kept:
+                    for df in pair:
+                        df.unpersist()
+                self.kept = [self._read(sorted(self.known))]
         empty = tuple(df.where("false") for df in self.stored)
         found, frequencies = (merge_postings([p[i] for p in self.kept] or [empty[i]]) for i in (0, 1))
         return rank(score(terms, found, F.broadcast(frequencies), self.n_docs), self.titles, k, aggregate, True)
 
+    def _read(self, tokens: list[str]) -> tuple[DataFrame, ...]:
+        return tuple(df.where(F.col("token").isin(tokens)).persist() for df in self.stored)
+
     def close(self) -> None:
         for pair in self.kept:
             for df in pair:

@@ -327,6 +327,10 @@ def oracles(lines, chunk: int) -> dict[str, str]:
         "link_graph": f"WITH {_GRAPH} SELECT * FROM links",
         "link_rank": _ranks(),
         "event_windows": _WINDOWS,
+        "sketch_statistics": _with(*stored, _DF) + """SELECT 'vocabulary' AS name, count(*) AS exact, true AS within FROM df
+ UNION ALL SELECT 'df ' || token, df, true FROM (SELECT token, df FROM df ORDER BY df DESC, token LIMIT 20)
+ UNION ALL SELECT 'quantile ' || q, count(DISTINCT doc_ord), true FROM postings, (VALUES ('0.25'), ('0.5'), ('0.75')) v(q) GROUP BY q""",
+        "search_query_file": _with(*stemmed, _DF, _parsed([(i, line) for i, (_, line) in enumerate(lines)], True), _ENTRIES) + _ranked().replace("rank, doc_ord, title, field", "rank, (SELECT count(*) FROM pages_ e WHERE e.doc_ord < r.doc_ord) AS doc_ord, title, field").replace("FROM entries) JOIN", "FROM entries) r JOIN"),
         "event_runs": _RUNS,
         "phrase_matches": _with(_SPOTS, _ASKED) + "SELECT * FROM held",
         "search_phrases": _with(_SPOTS, _ASKED) + _PHRASE_RANKED,

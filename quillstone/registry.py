@@ -20,6 +20,7 @@ from .operators.links import link_rank as rank_links
 from .operators.positional import matches, parse_positional, search_positional
 from .operators.queryparse import classify, parse
 from .operators.search import search_fields
+from .operators.sketches import LG, TRACKED, chunk_sketches, frequent_tokens, length_quantiles, merged, vocabulary_size
 from .oracle import SHARD_SIZE, oracles
 from .plans.build import build_index, load, open_index, search_index, search_index_top
 from .runtime import materialize, scratch_path, spread
@@ -382,6 +383,32 @@ def event_runs(spark, d):
     return found.select("user_id", "event_type", F.unix_micros("first_ts").alias("first_us"), F.unix_micros("last_ts").alias("last_us"), "n", F.round("total", 4).alias("total"))
 
 
+def sketch_statistics(spark, d):
+    """Merged sketches of chunks of 100 documents beside exact figures: each estimate is within its bound."""
+    found = materialize(_postings(spark, d), "postings")
+    whole = materialize(merged(chunk_sketches(found, 100)), "sketches")
+    exact = P.document_frequencies(found)
+    n = exact.agg(F.count("*").alias("n"))
+    size = vocabulary_size(whole).crossJoin(n).select(F.lit("vocabulary").alias("name"), F.col("n").alias("exact"), (F.abs(F.col("vocabulary") - F.col("n")) <= 3 * 1.04 / 2 ** (LG / 2) * F.col("n")).alias("within"))  # one row each
+    # every one of the 20 most frequent tokens is among the sketch's 100, with a count within the bound
+    top = exact.orderBy(F.col("df").desc(), "token").limit(20).withColumnRenamed("df", "exact")
+    bound = 3.5 * found.count() / TRACKED
+    frequent = top.join(frequent_tokens(whole, 100), "token", "left").select(F.concat(F.lit("df "), F.col("token")).alias("name"), "exact", F.coalesce(F.abs(F.col("df") - F.col("exact")) <= bound, F.lit(False)).alias("within"))
+    lengths = found.groupBy("doc_ord").agg(F.sum(sum((F.col(f) for f in FIELDS[1:]), F.col("t"))).alias("l"))
+    asked = length_quantiles(whole, [0.25, 0.5, 0.75])
+    ranks = asked.join(lengths, F.lit(True)).groupBy("at").agg(F.count("*").alias("exact"), F.avg((F.col("l") < F.col("length")).cast("double")).alias("below"), F.avg((F.col("l") <= F.col("length")).cast("double")).alias("upto"))  # three rows with all lengths
+    quantiles = ranks.select(F.concat(F.lit("quantile "), F.col("at").cast("string")).alias("name"), "exact", ((F.col("at") >= F.col("below") - 0.03) & (F.col("at") <= F.col("upto") + 0.03)).alias("within"))
+    return size.unionByName(frequent).unionByName(quantiles)
+
+
+def search_query_file(spark, d):
+    """The lines of a text file against an index of the pages of a dump, as the command line does it."""
+    path, index = scratch_path(spark, "queries"), scratch_path(spark, "index")
+    lines(spark).coalesce(1).sortWithinPartitions("query_id").select("line").write.text(path)
+    build_index(read_dump(spark, _dump(spark, d)), index)
+    return search_index(spark, index, read_queries(spark, path))
+
+
 def search_block_max(spark, d):
     """The batch over a stored index, of whose postings only the best blocks are read."""
     return search_index_top(spark, _index(spark, d), lines(spark))
@@ -457,7 +484,7 @@ _QUERIES = (
     posting_encode, posting_list, posting_decode, chunk_merge, document_frequency, idf_table, vocab_shards, secondary_index,
     shard_lookup, title_address, title_lookup, document_hits, corpus_stats, index_stats, query_classify, query_parse,
     search_free_text, search_field, search_batch, search_aggregated, search_stemmed,
-    stored_search_batch, warm_search_batch, streamed_search_batch, updated_search_batch, boolean_search, link_graph, link_rank, event_windows, event_runs, search_block_max, fuzzy_vocabulary, wildcard_vocabulary, stored_search_patterns, phrase_matches, search_phrases, stored_search_phrases, stored_postings, index_build_stats, command_line_index, dump_scan, query_file,
+    stored_search_batch, warm_search_batch, streamed_search_batch, updated_search_batch, boolean_search, link_graph, link_rank, event_windows, event_runs, sketch_statistics, search_query_file, search_block_max, fuzzy_vocabulary, wildcard_vocabulary, stored_search_patterns, phrase_matches, search_phrases, stored_search_phrases, stored_postings, index_build_stats, command_line_index, dump_scan, query_file,
 )
 
 

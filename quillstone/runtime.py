@@ -11,7 +11,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -113,19 +113,15 @@ def numbered(stored: DataFrame, place: str, ordinal: str, *source: str) -> DataF
 
     place holds monotonically_increasing_id() from when the table was written. Without source columns, rows are
     in order of place; with them (path and first byte of a split), in order of these, then of place. Each
-    partition's or split's offset is a row of a table that is read into the driver and broadcast: one short
-    row a task of the job that wrote the table.
+    partition's or split's offset is the sum of the rows of those before it, in a window over one short row a task of the job that
+    wrote the table; the driver holds none of them as Python rows, and the broadcast is of those short rows.
     """
     keys = list(source) or [fresh("part", stored)]
     rows = stored if source else stored.withColumn(keys[0], F.shiftright(place, 33))
     n, least, offset = (fresh(c, rows) for c in ("n", "least", "offset"))
-    counts = rows.groupBy(*keys).agg(F.count("*").alias(n), F.min(place).alias(least)).collect()
-    offsets, total = [], 0
-    for r in sorted(counts, key=lambda r: tuple(r[k] for k in keys)):
-        offsets.append((*(r[k] for k in keys), total - r[least]))
-        total += r[n]
-    schema = ", ".join([*(f"`{k}` {stored.schema[k].dataType.simpleString() if source else 'bigint'}" for k in keys), f"`{offset}` bigint"])
-    table = F.broadcast(stored.sparkSession.createDataFrame(offsets, schema))
+    counts = rows.groupBy(*keys).agg(F.count("*").alias(n), F.min(place).alias(least))
+    before = F.coalesce(F.sum(n).over(Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    table = F.broadcast(counts.select(*keys, (before - F.col(least)).alias(offset)))  # a row a split
     return rows.join(table, keys).withColumn(ordinal, F.col(offset) + F.col(place)).drop(*keys, offset, place)
 
 

@@ -187,6 +187,17 @@ def test_many_terms_and_a_warm_searcher(spark, stored, monkeypatch):
     assert ask(spark, stored[0], *lines) == want
 
 
+def test_a_searcher_keeps_a_plan_of_bounded_size(spark, stored, monkeypatch):
+    monkeypatch.setattr(S, "MAX_KEPT", 3)
+    searcher, sizes = open_index(spark, stored[0]), []
+    for word in ("thor", "hammer", "loki", "run", "god", "site", "note", "blank", "x"):
+        found = searcher.search(spark.createDataFrame([(0, word)], "query_id int, line string"))
+        assert [(0, r["rank"], r["title"], r["score"]) for r in found.orderBy("rank").collect()] == ask(spark, stored[0], word)
+        sizes.append(len(searcher.kept))
+    assert max(sizes) == 3 and sizes[3] == 1 and {"thor", "blank"} <= searcher.known
+    searcher.close()
+
+
 def test_empty_corpus(spark, tmp_path):
     empty = spark.createDataFrame([], "doc_ord long, title string, text string")
     save(index_pages(empty), str(tmp_path / "i"), 2)
