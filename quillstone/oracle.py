@@ -4,11 +4,9 @@ from __future__ import annotations
 
 import re
 
-from .functions.porter2 import DOUBLES, EXCEPTIONS, INVARIANTS, LI_ENDINGS, REGION_PREFIXES, STEP2, STEP3, STEP4
-from .functions.scoring import FIELDS, WEIGHTS
-from .functions.stopwords import STOP_WORDS
-from .functions.text import BLANKS_ASCII, BLANKS_UNICODE, SPECIALS_V1, SPECIALS_V2
-from .operators.postings import CHUNK_DOCS, SHARD_TOKENS
+from .oracle_values import (
+    BLANKS_ASCII, BLANKS_UNICODE, CHUNK_DOCS, DOUBLES, EXCEPTIONS, FIELDS, INVARIANTS, LI_ENDINGS, REGION_PREFIXES, SHARD_TOKENS, SPECIALS_V1, SPECIALS_V2, STEP2, STEP3, STEP4, STOP_WORDS, WEIGHTS,
+)
 
 #: Tokens of the first vocabulary shard; later ones hold one more. Small, so that test data has several.
 SHARD_SIZE = 1000
