@@ -15,7 +15,9 @@ shards: the driver and each worker hold one block at a time, and the passes' hit
 
 Defined cases: null texts and texts without words have no words and no hits; items with a null or
 wordless text have no windows; an item whose id is null hits words but isn't listed; rows that repeat
-are judged one by one; an empty table on either side gives no hits.
+are judged one by one; an empty table on either side gives no hits; a text longer than a shard is a shard of its own and is
+indexed whole; other columns are ignored, whatever their names, and a kept column with the name of a result column is
+replaced by it.
 """
 
 from __future__ import annotations

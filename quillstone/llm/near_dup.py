@@ -22,7 +22,7 @@ two different shingles of compared texts share one with a probability of some 1e
 Defined cases: words are split at ASCII white space, A-Z lower-cased; a text of fewer than SHINGLE words
 is one shingle; a null text or one without words has an empty set and is linked with nothing; rows with
 one id count as one document; a null id is linked with nothing, has a null component and is kept; an empty
-table gives an empty result; other columns don't matter, whatever their names.
+table gives an empty result; a text of any length is compared whole; other columns don't matter, whatever their names.
 """
 
 from __future__ import annotations

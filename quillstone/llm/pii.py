@@ -12,7 +12,9 @@ one counts if a rewritten character is inside and no base span of its kind overl
 "at" makes an e-mail address only together with a spelled dot, so "meet at example.com" is none.
 
 Defined cases: a null text counts as empty and has no spans; repeated rows are judged alike; an empty
-table gives an empty result; texts of any length are scanned whole, in linear time.
+table gives an empty result; texts of any length are scanned whole, in linear time; rewrites of spelled digits and of at and
+dot know English words only; other columns are ignored, whatever their names, and a kept column with the name of
+a result column is replaced by it.
 """
 
 from __future__ import annotations

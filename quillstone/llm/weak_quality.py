@@ -24,7 +24,7 @@ text with the labels' log-odds of toxic, bounded by TOXIC_BOUND. A document whos
 Defined cases: a null or empty text has no words, so all labellers abstain and it scores as the scorer
 scores the average of nothing, its intercept and dense means; without documents the result is empty;
 without labels the toxic word list is the fixed one; ties in the training sample go to the smaller id;
-repeated rows are judged alike; other columns are ignored, whatever their names.
+repeated rows are judged alike; a text of any length is measured whole; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -110,3 +110,13 @@ def test_a_block_is_held_and_broadcast_by_itself(spark, docs, rows, monkeypatch)
     fm_index._mark_shard(texts, sent, None)
     fm_index._mark_shard(texts, sent, None)
     assert alive == [0] * (2 * len(sent))
+
+
+def test_clashing_names_and_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(fm_index, "SHARD_BYTES", 500)
+    items = spark.createDataFrame([(7, "alpha beta gamma delta", "x")], ITEMS + ", spans string")
+    long = "word " * 3000 + "alpha beta gamma delta"
+    rows = [(1, "x alpha beta gamma delta", "a", "b", 5, "c"), (2, None, None, None, None, None), (3, long, "a", "b", 5, "c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, items string, spans string, n_hit int, text_ string")
+    found = sorted(mark(df, items, ["doc_id", "items", "n_hit", "text_"], window=3).collect(), key=lambda r: r["doc_id"])
+    assert [(r["doc_id"], r["n_words"], r["n_hit"], r["items"], r["text_"]) for r in found] == [(1, 5, 4, ["7"], "c"), (2, 0, 0, [], None), (3, 3004, 4, ["7"], "c")]

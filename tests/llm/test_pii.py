@@ -115,3 +115,11 @@ def test_nothing_is_lost_to_the_search_for_places(monkeypatch):
     assert sum(map(bool, found)) > 500
     monkeypatch.setattr(pii.MACHINE, "heads", re.compile(r"(?s:.)"))  # the machine is set on every character
     assert [t for t, f in zip(texts, found) if find_disguised(t, find(t)) != f] == []
+
+
+def test_clashing_names_and_long_texts(spark):
+    long = "word " * 60_000 + "bob@firm.example.com"
+    rows = [(1, "mail bob@firm.example.com", "x", "y", 7, "z"), (2, None, None, None, None, None), (3, long, "x", "y", 1, "z"), (1, "mail bob@firm.example.com", "x", "y", 7, "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, spans string, base_sha256 string, n_email int, text_ string")
+    found = sorted(detect(df, ["doc_id", "spans", "n_email", "text_"]).collect(), key=lambda r: r["doc_id"])
+    assert [(r["doc_id"], r["n_email"], r["spans"], r["text_"]) for r in found] == [(1, 1, "email:5:25", "z"), (1, 1, "email:5:25", "z"), (2, 0, "", None), (3, 1, f"email:{len(long) - 20}:{len(long)}", "z")]
