@@ -9,7 +9,8 @@ where both error rates balance.
 Counts are exact and lie in a table of n-grams that grows with the input. What a byte adds to a score
 depends only on the ORDER bytes before it and on itself, so each distinct n-gram of the input is priced
 once, by joins with the counts of its shorter forms. URLs are scored in blocks of an Arrow batch: a block
-names each of its n-grams once, so that one that every URL holds meets the prices once a block. Neither
+names each of its n-grams once, so that one that every URL holds meets the prices once a block; n-grams of very
+many blocks are dealt out to several tasks, by block, and meet a copy of their price in each. Neither
 counts nor prices are collected, and they are broadcast only where the planner finds them small.
 
 Defined cases: a null URL or one without "://" has an empty host and path and no rule, and its verdict is the
@@ -29,13 +30,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..runtime import materialize
+from ..runtime import materialize, salted_join
 from ._rows import map_texts
 
 #: Longest context in bytes; all shorter ones are used too.
 ORDER = 4
-#: Slots of scorer()'s tables of n-gram and context counts; judge() doesn't use them.
-TABLE = 1 << 18
 #: URL bytes of a block, at most, where it has more than one URL.
 BLOCK_BYTES = 1 << 18
 #: Weight of the next shorter context's estimate, in counts.
@@ -68,53 +67,6 @@ def decide(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[Co
     return rule, verdict
 
 
-def _grams(urls: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], list[np.ndarray]]:
-    """Lengths, URL starts, and for each order the slots of contexts and of n-grams, one a byte."""
-    pad = b"\x00" * ORDER
-    data = np.frombuffer(b"".join(pad + u for u in urls), np.uint8).astype(np.uint64)
-    lengths = np.array([len(u) for u in urls], np.int64)
-    starts = np.cumsum(lengths + ORDER) - lengths
-    at = np.repeat(starts - np.concatenate(([0], np.cumsum(lengths)[:-1])), lengths) + np.arange(lengths.sum())
-    contexts, grams = [], []
-    mix = lambda x: ((x * np.uint64(0x9E3779B97F4A7C15)) ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = np.zeros(len(at), np.uint64)
-    for order in range(ORDER + 1):
-        if order:
-            h = h * np.uint64(257) + data[at - order] + np.uint64(1)
-        seeded = mix(h + np.uint64(order) * np.uint64(0x1000003D1))
-        contexts.append((seeded >> np.uint64(46)).astype(np.int64) % TABLE)
-        grams.append((mix(seeded + data[at] + np.uint64(1)) >> np.uint64(46)).astype(np.int64) % TABLE)
-    return lengths, starts, contexts, grams
-
-
-def scorer(tables: np.ndarray):
-    """A function from URLs to length-normalised differences of log-likelihoods, accepted less rejected.
-
-    The hashed form in memory, for small models: where slots collide, it differs from judge()."""
-    if not tables[0].any() or not tables[1].any():
-        return lambda urls: np.zeros(len(urls))
-    counts = tables.astype(np.float64)
-
-    def score(urls: list[str | None]) -> np.ndarray:
-        raw = [(u or "").encode() for u in urls]
-        out = np.zeros(len(raw))
-        lengths, _, contexts, grams = _grams(raw)
-        if not lengths.sum():
-            return out
-        differences = np.zeros(int(lengths.sum()))
-        for side, sign in ((1, 1.0), (0, -1.0)):
-            p = np.full(len(differences), 1 / 256)
-            for c, g in zip(contexts, grams):
-                whole = counts[side, 1][c]
-                p = (np.minimum(counts[side, 0][g], whole) + BACKOFF * p) / (whole + BACKOFF)
-            differences += sign * np.log(p)
-        whose = np.repeat(np.arange(len(raw)), lengths)
-        sums = np.bincount(whose, weights=differences, minlength=len(raw))
-        return np.divide(sums, lengths, out=out, where=lengths > 0)
-
-    return score
-
-
 def grams(urls: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Lengths, and for each byte the n-gram that ends there, as a number of its ORDER + 1 bytes."""
     pad = b"\x00" * ORDER
@@ -183,12 +135,17 @@ def price(counted: DataFrame) -> DataFrame:
     return shorter.select(F.col("tail").alias("key"), F.when(F.col("both"), F.log("q1") - F.log("q0")).otherwise(0.0).alias("price"))
 
 
+def _priced(counted: DataFrame) -> DataFrame:
+    """(block, key, price) of the n-grams of each block; counted is a stored table."""
+    n = [F.sum(f"n{k}").alias(f"n{k}") for k in (0, 1)]
+    total = materialize(counted.groupBy("key").agg(*n, F.count("*").alias("rows")), "counts")
+    prices = price(total.select("key", "n0", "n1"))
+    return salted_join(counted.select("block", "key"), prices, "key", "block", sizes=total.select("key", "rows")).select("block", "key", "price")
+
+
 def _scored(rows: DataFrame, keep: list[str]) -> DataFrame:
     """The kept columns of rows with blocks, and the score of each."""
-    counted = materialize(_counted(rows), "grams")
-    total = counted.groupBy("key").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    prices = price(materialize(total, "counts"))
-    priced = counted.select("block", "key").join(prices, "key").select("block", "key", "price")
+    priced = _priced(materialize(_counted(rows), "grams"))
 
     def score(urls: pa.Table, known: pa.Table) -> pa.Table:
         lengths, keys = grams([(u or "").encode() for u in urls["url"].to_pylist()])

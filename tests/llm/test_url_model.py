@@ -2,9 +2,10 @@ import math
 import re
 
 import numpy as np
+import pytest
 
 from quillstone.llm.registry import URL_RULES
-from quillstone.llm.url_model import ORDER, judge, scorer
+from quillstone.llm.url_model import ORDER, judge
 
 URLS = [
     "http://a.example.com/en/700?x", "https://a.example.com/en/812", "http://example.com/en/7", "HTTP://EXAMPLE.Com/en/9#top", "http://notexample.com/en/7",
@@ -58,42 +59,43 @@ def test_empty_and_untrained(spark):
     assert row["verdict"] == "allow" and row["score"] == 0.0
 
 
-def test_score_is_the_length_normalised_ratio():
-    from quillstone.llm.url_model import BACKOFF, TABLE, _grams
-
-    tables = np.zeros((2, 2, TABLE), np.int64)
-    for side, urls in ((1, [b"abab"]), (0, [b"bbbb"])):
-        _, _, contexts, grams = _grams(urls)
-        for c, g in zip(contexts, grams):
-            tables[side, 0] += np.bincount(g, minlength=TABLE)
-            tables[side, 1] += np.bincount(c, minlength=TABLE)
-
-    def log_p(text, data):
-        total = 0.0
-        pad = "\0" * ORDER
-        for i, ch in enumerate(text):
-            p = 1 / 256
-            for k in range(ORDER + 1):
-                ctx = (pad + text)[ORDER + i - k : ORDER + i]
-                seen = [(pad + data)[ORDER + j - k : ORDER + j] == ctx for j in range(len(data))]
-                n = sum(seen)
-                hit = sum(s and data[j] == ch for j, s in enumerate(seen))
-                p = (hit + BACKOFF * p) / (n + BACKOFF)
-            total += math.log(p)
-        return total
-
-    for u in ("abab", "bb", "zz"):
-        assert abs(scorer(tables)([u])[0] - (log_p(u, "abab") - log_p(u, "bbbb")) / len(u)) < 1e-9
-
+def test_a_hot_n_gram_is_dealt_out(spark, monkeypatch):
+    """An n-gram of all blocks is priced in several tasks, each row with the price that the others get."""
+    from pyspark.sql import functions as F
 
-def test_scores_are_exact_where_n_grams_are_many(spark):
+    from quillstone import runtime
+    from quillstone.llm.url_model import _priced
+
+    monkeypatch.setattr(runtime, "HOT_ROWS", 50)
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        rows = [(b, 7, 1, 0) for b in range(1000)] + [(b, 1000 + b, 0, 2) for b in range(1000)]
+        counted = runtime.materialize(spark.createDataFrame(rows, "block long, key long, n0 long, n1 long"), "grams")
+        found = _priced(counted)
+        tasks = found.where("key = 7").select(F.spark_partition_id().alias("task")).distinct().count()
+        assert tasks >= 4 and found.count() == 2000
+        assert found.where("key = 7").select("price").distinct().count() == 1 and {(r["block"], r["key"]) for r in found.collect()} == {r[:2] for r in rows}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("hot, block", [(256, 1 << 18), (4, 2000)])
+def test_scores_are_exact_where_n_grams_are_many(spark, monkeypatch, hot, block):
     import random
     from collections import Counter
 
     from pyspark.sql import functions as F
 
+    from quillstone import runtime
+    from quillstone.llm import url_model
     from quillstone.llm.url_model import BACKOFF, HELD_OUT
 
+    monkeypatch.setattr(runtime, "HOT_ROWS", hot)
+    monkeypatch.setattr(url_model, "BLOCK_BYTES", block)
     rng = random.Random(5)
     urls = [f"http://{'ok' if i % 2 else 'no'}.x/{''.join(rng.choice('abcdefghijklmnopqrstuvwxyz0123456789') for _ in range(40))}" for i in range(4000)]
     urls += ["http://else.y/" + u[-30:] for u in urls[:40]] + [None, "", "mailto:a"]
