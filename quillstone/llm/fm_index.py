@@ -9,9 +9,12 @@ sampled suffix positions, and overlapping ones merge into removal spans.
 A phrase (window) is `window` consecutive words of a test item, or all words of a shorter item.
 Words are runs of ASCII letters and digits and of all characters beyond ASCII, A-Z in lower case.
 
-The phrases are broadcast in blocks of at most BLOCK_BYTES, each a variable of its own; only a single item
-that is larger makes a larger one. A larger benchmark means more blocks, and so more passes over a task's
-shards: the driver and each worker hold one block at a time, and the passes' hits and items are merged.
+A benchmark whose phrases fit in BLOCK_BYTES is broadcast once. A larger one is cut into blocks of at most that size
+(only a single item that is larger makes a larger one), and each block is a pass over the texts of its own: it is
+broadcast, the word spans and items it finds are written to a table, and it is destroyed before the next one is
+read. So driver, executors and workers hold one block at a time, whatever the benchmark's size. The tables
+hold rows only for texts that were hit, by a hash of the text; a last pass merges them, equal texts of very many rows
+dealt out to several tasks.
 
 Defined cases: null texts and texts without words have no words and no hits; items with a null or
 wordless text have no windows; an item whose id is null hits words but isn't listed; rows that repeat
@@ -24,15 +27,17 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from ._rows import map_texts
+from ..runtime import fresh, materialize, salted_join
+from ._rows import chunks, map_texts
 
 WINDOW = 10
 #: Bytes of phrases that one broadcast holds.
@@ -45,6 +50,7 @@ SAMPLE = 8
 _KEEP = b"0123456789abcdefghijklmnopqrstuvwxyz" + bytes(range(0x80, 0x100))
 _FOLD = bytes(c if c in _KEEP else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
 _BREAK = b"\x01"
+SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 WORD = re.compile(r"[0-9A-Za-z\x80-\U0010ffff]+")
 
 
@@ -272,36 +278,93 @@ def mark(
     spans are the merged removal spans as [start, end) in characters. With cleaned, a column of the
     text column's name follows in which each span is replaced by a space.
     """
-    blocks = list(map(docs.sparkSession.sparkContext.broadcast, phrase_blocks(benchmark, window, item_col, item_text)))
-    span_type = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
-    fields = [
-        T.StructField("n_words", T.LongType()),
-        T.StructField("n_hit", T.LongType()),
-        T.StructField("items", T.ArrayType(T.StringType())),
-        T.StructField("spans", span_type),
-    ]
+    fields = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("spans", SPANS)]
     if cleaned:
         fields.append(T.StructField(text_col, docs.schema[text_col].dataType))
+    blocks = phrase_blocks(benchmark, window, item_col, item_text)
+    first, second = next(blocks, None), next(blocks, None)
+    if second is not None:
+        return _mark_in_passes(docs, chain([first, second], blocks), keep, fields, text_col, cleaned)
+    shared = docs.sparkSession.sparkContext.broadcast(first or Phrases([], 1))
 
     def factory():
-        return lambda texts: _mark_shard(texts, blocks, text_col if cleaned else None)
+        def apply(texts: pa.Array) -> dict:
+            raws = [r or b"" for r in texts.cast(pa.binary()).to_pylist()]
+            return _result(texts, *_find(raws, shared.value), text_col if cleaned else None)
+
+        return apply
 
     return map_texts(docs, keep, fields, factory, text=text_col, size=SHARD_BYTES)
 
 
-def _mark_shard(texts: pa.Array, blocks: list[Broadcast], cleaned: str | None) -> dict:
-    raws = [r or b"" for r in texts.cast(pa.binary()).to_pylist()]
-    covered, items, begins, n_words = None, [set() for _ in raws], None, None
+def _mark_in_passes(docs: DataFrame, blocks: Iterator[Phrases], keep: list[str], fields: list[T.StructField], text_col: str, cleaned: bool) -> DataFrame:
+    """mark() where the phrases are more than a block."""
+    key, deal, text, hits = (fresh(c, docs) for c in ("text_key", "deal", "text_", "hits"))
+    names = {f.name for f in fields}
+    keep = [c for c in keep if c not in names]
+    keyed = docs.select(*keep, docs[text_col].alias(text), F.sha2(docs[text_col], 256).alias(key))
+    found = None
+    for n, phrases in enumerate(blocks):
+        one = _spans_of_block(keyed, phrases, key, text).withColumn("block", F.lit(n))
+        found = one if found is None else found.unionByName(one)
+    # rows of equal texts found the same, so one row of each text and block is enough
+    each = found.groupBy(key, "block").agg(F.first("hit").alias("hit"))
+    hit = each.groupBy(key).agg(F.collect_list("hit").alias(hits))
+    dealt = keyed.withColumn(deal, F.xxhash64(*keep) if keep else F.lit(0))
+    joined = salted_join(dealt, hit, key, deal, "left").select(*keep, text, hits)
+    types = {f.name: to_arrow_type(f.dataType) for f in fields}
+
+    def merge(batches):
+        import pyarrow.compute  # noqa: F401  used by chunks()
+
+        for part in chunks(batches, text, SHARD_BYTES):
+            texts = part.column(text)
+            n_words = np.array([len(words(t)) for t in texts.cast(pa.binary()).to_pylist()], np.int64)
+            begins = np.cumsum(n_words + 1) - (n_words + 1)
+            covered, items = np.zeros(int((n_words + 1).sum()) + 1, np.int64), []
+            for begin, own in zip(begins.tolist(), part.column(hits).to_pylist()):
+                items.append({i for h in own or () for i in h["items"]})
+                for h in own or ():
+                    np.add.at(covered, begin + 1 + np.array([s["start"] for s in h["spans"]], np.int64), 1)
+                    np.add.at(covered, begin + 1 + np.array([s["end"] for s in h["spans"]], np.int64), -1)
+            made = _result(texts, begins, n_words, covered, items, text_col if cleaned else None)
+            columns = [v if isinstance(v := made[f.name], pa.Array) else pa.array(v, types[f.name]) for f in fields]
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *columns], names=[*keep, *(f.name for f in fields)])
+
+    return joined.mapInArrow(merge, T.StructType([*(docs.schema[c] for c in keep), *fields]))
+
+
+def _spans_of_block(keyed: DataFrame, phrases: Phrases, key: str, text: str) -> DataFrame:
+    """(key, hit) of each row whose text a block's phrases hit: word spans and items. The block is destroyed once these are written."""
+    shared = keyed.sparkSession.sparkContext.broadcast(phrases)
+    hit = T.StructType([T.StructField("spans", SPANS), T.StructField("items", T.ArrayType(T.StringType()))])
+
+    def factory():
+        def apply(texts: pa.Array) -> dict:
+            begins, n_words, covered, items = _find([r or b"" for r in texts.cast(pa.binary()).to_pylist()], shared.value)
+            flags = np.cumsum(covered)[:-1] > 0
+            return {"hit": [{"spans": s, "items": sorted(i for i in own if i is not None)} if (s := _stretches(flags, b, n)) else None for b, n, own in zip(begins.tolist(), n_words.tolist(), items)]}
+
+        return apply
+
+    try:
+        return materialize(map_texts(keyed, [key], [T.StructField("hit", hit)], factory, text=text, size=SHARD_BYTES).where("hit is not null"), "hits")
+    finally:
+        shared.destroy()
 
-    def pass_over(phrases: Phrases) -> None:
-        nonlocal covered, begins, n_words
-        codes = _codes(raws, {_BREAK: -1} | phrases.vocabulary)
-        if covered is None:
-            begins = np.flatnonzero(codes == -1)
-            n_words = np.diff(np.append(begins, len(codes))) - 1
-            covered = np.zeros(len(codes) + 1, np.int64)
-        if not phrases.by_length:
-            return
+
+def _stretches(flags: np.ndarray, begin: int, n_words: int) -> list[dict]:
+    """[start, end) in words of the stretches that are hit in the text that begins there."""
+    edge = np.diff(np.concatenate(([0], flags[begin + 1 : begin + 1 + n_words].astype(np.int8), [0])))
+    return [{"start": a, "end": b} for a, b in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist())]
+
+
+def _find(raws: list[bytes], phrases: Phrases) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[set]]:
+    """Where each text of a shard begins, its words, how many more occurrences cover each word than the one before, and the items of each text."""
+    codes = _codes(raws, {_BREAK: -1} | phrases.vocabulary)
+    begins = np.flatnonzero(codes == -1)
+    covered, items = np.zeros(len(codes) + 1, np.int64), [set() for _ in raws]
+    if phrases.by_length:
         at, span, which = _occurrences(codes, phrases)
         np.add.at(covered, at, 1)
         np.add.at(covered, at + span, -1)
@@ -309,25 +372,18 @@ def _mark_shard(texts: pa.Array, blocks: list[Broadcast], cleaned: str | None) -
             whose = np.searchsorted(begins, positions, side="right") - 1
             for pair in np.unique(whose * np.int64(len(owners)) + kinds).tolist():
                 items[pair // len(owners)].update(phrases.ids[k] for k in owners[pair % len(owners)])
+    return begins, np.diff(np.append(begins, len(codes))) - 1, covered, items
 
-    for block in blocks:
-        pass_over(block.value)
-        if len(blocks) > 1 and getattr(block, "_path", None):  # a worker keeps what it has read; it can be read again
-            vars(block).pop("_value", None)
-    if not blocks:
-        pass_over(Phrases([], 1))
+
+def _result(texts: pa.Array, begins: np.ndarray, n_words: np.ndarray, covered: np.ndarray, items: list[set], cleaned: str | None) -> dict:
     hit = np.cumsum(covered)[:-1] > 0
     n_hit = np.add.reduceat(hit.astype(np.int64), begins) if len(begins) else np.zeros(0, np.int64)
-    spans: list[list[dict]] = [[] for _ in raws]
-    values = None
-    if cleaned:
-        values = [r.decode() if v else None for r, v in zip(raws, texts.is_valid().to_pylist())]
+    spans: list[list[dict]] = [[] for _ in items]
+    values = texts.to_pylist() if cleaned else None
     for d in np.flatnonzero(n_hit).tolist():
-        flags = hit[begins[d] + 1 : begins[d] + 1 + n_words[d]]
-        edge = np.diff(np.concatenate(([0], flags.astype(np.int8), [0])))
-        text = raws[d].decode()
+        text = texts[d].as_py()
         places = [m.span() for m in WORD.finditer(text)]
-        spans[d] = [{"start": places[a][0], "end": places[b - 1][1]} for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1))]
+        spans[d] = [{"start": places[s["start"]][0], "end": places[s["end"] - 1][1]} for s in _stretches(hit, begins[d], n_words[d])]
         if cleaned:
             kept, last = [], 0
             for s in spans[d]:

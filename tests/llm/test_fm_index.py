@@ -78,43 +78,62 @@ def test_removal_spans(spark):
 
 
 def test_empty_tables(spark, docs, rows, no_docs):
+    assert mark(no_docs, spark.createDataFrame([(1, "a b"), (2, "c")], ITEMS), ["doc_id"]).collect() == []
     none = spark.createDataFrame([], ITEMS)
     found = mark(docs, none, ["doc_id"]).collect()
     assert len(found) == len(rows) and not any(r["n_hit"] for r in found)
     assert mark(no_docs, spark.createDataFrame([(1, "a b")], ITEMS), ["doc_id"]).collect() == []
 
 
-def test_a_block_is_held_and_broadcast_by_itself(spark, docs, rows, monkeypatch):
-    import gc
-
-    import pyarrow as pa
+def test_one_block_is_broadcast_at_a_time(spark, docs, rows, monkeypatch):
     from pyspark import Broadcast, SparkContext
 
-    sent, send = [], SparkContext.broadcast
+    alive, most, sent = [], [], []
+    send, end = SparkContext.broadcast, Broadcast.destroy
+
+    def broadcast(self, value):
+        made = send(self, value)
+        if isinstance(value, fm_index.Phrases):
+            alive.append(made)
+            sent.append(made)
+            most.append(len(alive))
+        return made
+
+    def destroy(self, blocking=False):
+        if self in alive:
+            alive.remove(self)
+        return end(self, blocking)
+
     monkeypatch.setattr(fm_index, "BLOCK_BYTES", 4000)
-    monkeypatch.setattr(SparkContext, "broadcast", lambda self, value: sent.append(send(self, value)) or sent[-1])
-    mark(docs, spark.createDataFrame(items_of(rows), ITEMS), ["doc_id"])
-    assert len(sent) > 1 and all(isinstance(b.value, fm_index.Phrases) for b in sent)
+    monkeypatch.setattr(SparkContext, "broadcast", broadcast)
+    monkeypatch.setattr(Broadcast, "destroy", destroy)
+    items = items_of(rows)
+    found = mark(docs, spark.createDataFrame(items, ITEMS), ["doc_id", "text"])
+    assert len(sent) > 1 and max(most) == 1 and not alive
+    for r in found.collect():
+        assert (r["n_words"], r["n_hit"], r["items"]) == brute(r["text"], items, 10)
 
-    alive, load = [], Broadcast.load_from_path
 
-    def loaded(self, path):
-        gc.collect()
-        alive.append(sum(isinstance(o, fm_index.Phrases) for o in gc.get_objects()))
-        return load(self, path)
+def test_passes_give_the_spans_and_texts_of_one(spark, docs, rows, monkeypatch):
+    """Stretches that meet at a border of two blocks' phrases are one span, and hot equal texts are dealt out."""
+    from quillstone import runtime
 
-    for b in sent:
-        vars(b).pop("_value", None)
-    monkeypatch.setattr(Broadcast, "load_from_path", loaded)
-    texts = pa.array([t for _, t, *_ in rows])
-    fm_index._mark_shard(texts, sent, None)
-    fm_index._mark_shard(texts, sent, None)
-    assert alive == [0] * (2 * len(sent))
+    text = "Keep, one-two Three; keep é four! five SIX tail"
+    df = docs.select("doc_id", "text").union(spark.createDataFrame([(1000 + i, text) for i in range(40)] + [(2000, None)], "doc_id long, text string"))
+    items = spark.createDataFrame([*items_of(rows), (20, "ONE two three"), (21, "four"), (22, "five six")], ITEMS)
+    said = lambda found: sorted((repr(tuple(r)) for r in found.collect()))
+    whole = said(mark(df, items, ["doc_id"], window=4, cleaned=True))
+    monkeypatch.setattr(fm_index, "BLOCK_BYTES", 400)
+    monkeypatch.setattr(runtime, "HOT_ROWS", 5)
+    assert said(mark(df, items, ["doc_id"], window=4, cleaned=True)) == whole
+    assert any("Keep,  ; keep é   tail" in w for w in whole)
 
 
-def test_clashing_names_and_long_texts(spark, monkeypatch):
+@pytest.mark.parametrize("block", [64 << 20, 10])
+def test_clashing_names_and_long_texts(spark, monkeypatch, block):
+    monkeypatch.setattr(fm_index, "BLOCK_BYTES", block)
     monkeypatch.setattr(fm_index, "SHARD_BYTES", 500)
-    items = spark.createDataFrame([(7, "alpha beta gamma delta", "x")], ITEMS + ", spans string")
+    items = spark.createDataFrame([(7, "alpha beta gamma delta", "x"), (8, "not in there", "y")], ITEMS + ", spans string")
     long = "word " * 3000 + "alpha beta gamma delta"
     rows = [(1, "x alpha beta gamma delta", "a", "b", 5, "c"), (2, None, None, None, None, None), (3, long, "a", "b", 5, "c")]
     df = spark.createDataFrame(rows, "doc_id long, text string, items string, spans string, n_hit int, text_ string")
