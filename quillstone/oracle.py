@@ -147,13 +147,18 @@ def _stems(vocabulary: str, tag: str) -> str:
     return re.sub(r"\b(s\d[a-c]?|stems)\b", tag + r"\1", steps)
 
 
-def _parsed(lines, stem: bool = False) -> str:
+# A line of each benchmark item.
+_ITEM_LINES = """SELECT item_id + 1000 AS query_id, CASE item_id % 3 WHEN 0 THEN w WHEN 1 THEN 't:' || w || ' b:' || w ELSE 'q:' || w END AS line
+ FROM (SELECT item_id, regexp_replace(coalesce(text, ''), '[\\r\\n]+', ' ', 'g') AS w FROM benchmark)"""
+
+
+def _parsed(lines, stem: bool = False, more: str = "") -> str:
     values = ", ".join(f"({i}, {_quote(s)})" for i, s in lines)
     known = ", ".join(map(_quote, FIELDS))
     listed, source = ("words_", "words_ JOIN q_stems USING (token)") if stem else ("all_terms", "all_terms")
     own = "* EXCLUDE (token, stem), stem AS token" if stem else "*"
     stemming = f"vocabulary_q AS (SELECT DISTINCT token FROM words_), {_stems('vocabulary_q', 'q_')}," if stem else ""
-    return f"""lines AS (SELECT * FROM (VALUES {values}) v(query_id, line)),
+    return f"""lines AS (SELECT * FROM (VALUES {values}) v(query_id, line){more}),
  classes AS (SELECT query_id, line, len(p) > 0 AND len(list_filter(p, lambda x: split_part(x, ':', 1) NOT IN ({known}))) = 0 AS is_field
   FROM (SELECT query_id, line, list_filter(string_split(line, ' '), lambda x: contains(x, ':')) AS p FROM lines)),
  pieces AS (SELECT query_id, is_field, unnest(string_split(line, ' ')) AS piece, generate_subscripts(string_split(line, ' '), 1) - 1 AS place FROM classes),
@@ -307,8 +312,8 @@ def oracles(lines, chunk: int) -> dict[str, str]:
         "document_hits": _with(*stored) + "SELECT token, doc_ord FROM postings WHERE token IN ('thor', 'onere', 'src1')",
         "corpus_stats": _with(*stored) + statistics,
         "index_stats": _with(*stored, _DF) + f"SELECT count(*) AS vocabulary, CAST(ceil(count(*) / {SHARD_SIZE + 1}) AS BIGINT) AS shards FROM df",
-        "query_classify": "WITH " + _parsed(lines) + " SELECT query_id, line, is_field FROM classes",
-        "query_parse": "WITH " + _parsed(lines) + " SELECT query_id, field_pos, field, pos, token FROM terms",
+        "query_classify": "WITH " + _parsed(lines, more=" UNION ALL " + _ITEM_LINES) + " SELECT query_id, line, is_field FROM classes",
+        "query_parse": "WITH " + _parsed(lines, more=" UNION ALL " + _ITEM_LINES) + " SELECT query_id, field_pos, field, pos, token FROM terms",
         "stem_vocabulary": _with(*stemmed) + "SELECT token, stem FROM b_stems",
         "field_term_counts_stemmed": _with(*stemmed) + "SELECT * FROM postings",
         "search_stemmed": asked_stems,
@@ -337,7 +342,7 @@ def oracles(lines, chunk: int) -> dict[str, str]:
         "index_build_stats": _with(*stemmed, _DF) + f"SELECT count(*) AS vocabulary, CAST(ceil(count(*) / {SHARD_TOKENS + 1}) AS BIGINT) AS shards, true AS timed, true AS sized FROM df",
         "command_line_index": _with(*stemmed) + statistics,
         "dump_scan": _with() + "SELECT row_number() OVER (ORDER BY doc_ord) - 1 AS doc_ord, doc_ord AS page_id, title, text FROM pages_",
-        "query_file": "SELECT * FROM (VALUES " + ", ".join(f"(CAST({i} AS BIGINT), {_quote(line)})" for i, (_, line) in enumerate(lines)) + ") v(query_id, line)",
+        "query_file": "WITH " + _parsed(lines, more=" UNION ALL " + _ITEM_LINES) + " SELECT row_number() OVER (ORDER BY query_id) - 1 AS query_id, line FROM lines",
         "search_free_text": asked + _ranked("query_id = 1"),
         "search_field": asked + _ranked("query_id = 3"),
         "search_batch": asked + _ranked(),

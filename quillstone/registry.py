@@ -242,12 +242,20 @@ def index_stats(spark, d):
     return vocabulary.agg(F.count("*").alias("vocabulary"), F.ceil(F.count("*") / (SHARD_SIZE + 1)).alias("shards"))
 
 
+def _item_lines(spark, d):
+    """The fixed lines, and a line of each benchmark item: free text, two fields with the text each, or a prefix that is none."""
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), "[\r\n]+", " ")
+    form = F.when(F.col("item_id") % 3 == 0, text).when(F.col("item_id") % 3 == 1, F.concat(F.lit("t:"), text, F.lit(" b:"), text)).otherwise(F.concat(F.lit("q:"), text))
+    items = spark.read.parquet(f"{d}/benchmark.parquet").select((F.col("item_id") + 1000).alias("query_id"), form.alias("line"))
+    return lines(spark).select(F.col("query_id").cast("long"), "line").union(items)
+
+
 def query_classify(spark, d):
-    return classify(lines(spark))
+    return classify(_item_lines(spark, d))
 
 
 def query_parse(spark, d):
-    return parse(lines(spark), stem=False)
+    return parse(_item_lines(spark, d), stem=False)
 
 
 def _search(spark, d, which, **options):
@@ -473,7 +481,7 @@ def dump_scan(spark, d):
 
 def query_file(spark, d):
     path = scratch_path(spark, "queries")
-    lines(spark).coalesce(1).sortWithinPartitions("query_id").select("line").write.text(path)
+    _item_lines(spark, d).repartitionByRange("query_id").sortWithinPartitions("query_id").select("line").write.text(path)
     return read_queries(spark, path)
 
 
