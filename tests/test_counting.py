@@ -1,9 +1,13 @@
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from quillstone.functions.scoring import FIELDS
-from quillstone.functions.text import INDEX_V2
+from quillstone.functions.scoring import FIELDS, decode_posting, encode_posting
+from quillstone.functions.text import INDEX_V2, tokens
 from quillstone.operators import counting
+from quillstone.operators import postings as P
+from quillstone.operators.counting import row_lists, row_postings
+from quillstone.operators.extract import extract_fields
 from quillstone.runtime import BATCH_SETTINGS, bounded_batches
 
 
@@ -39,3 +43,41 @@ def test_batches_to_python_are_bounded(spark):
     by_hand.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "77")
     bounded_batches(by_hand)
     assert by_hand.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "77"
+
+
+ODD = ["", None, "thor", "a1b2cc 33x^y\x7fz", "héttp://x.y Z http", "http http://a.b c", "x—y İ \x1c\x0b\x85q", "d'été (l'été)\t~re-read_", "\U0001f600 1,000.50$ %", "httpx\nhttp://b q", " 9 "]
+
+
+def test_bytes_are_split_as_expressions_split_texts(spark):
+    every = "".join(map(chr, range(1, 400)))
+    texts = [*ODD, every, *(f"a{c}b {c}{c}1" for c in every)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", tokens(F.col("text"), INDEX_V2).alias("found"))
+    want = {r["i"]: r["found"] for r in rows.collect()}
+    for first in (0, 3):  # a slice whose offsets don't begin at 0
+        assert counting.split_texts(pa.array(texts, pa.string())[first:], INDEX_V2).to_pylist() == [want[i] for i in range(first, len(texts))]
+    assert counting.split_texts(pa.array([], pa.string()), INDEX_V2).to_pylist() == []
+
+
+@pytest.mark.parametrize("held", [1, 7, 1 << 18])
+def test_lists_of_batches_equal_lists_of_postings(spark, monkeypatch, held):
+    """Documents of a chunk lie in several lists, one after the other or mixed, and come twice."""
+    pages = spark.createDataFrame([(i * 7 % 40, f"Title {i}", f"alpha beta{i % 3} {{{{infobox k{i}}}}} gamma gamma") for i in range(40)] + [(3, "Title", "alpha alpha"), (3, None, None)], "doc_ord long, title string, text string")
+    want = sorted(map(tuple, P.posting_lists(row_postings(extract_fields(pages), stem=False), 10).collect()))
+    schema = "token string, chunk long, first long, last long, postings string"
+    monkeypatch.setattr(counting, "LIST_POSTINGS", held)
+    fields = counting.text_lists(extract_fields(pages)).toArrow().combine_chunks()
+    for size in (1, 5, 100):
+        batches = counting._of_texts(counting._lists(INDEX_V2, False, (), 10), INDEX_V2)(iter(fields.to_batches(max_chunksize=size)))
+        made = [r for b in batches for r in b.to_pylist()]
+        parts = spark.createDataFrame([tuple(r.values()) for r in made], schema)
+        assert sorted(map(tuple, P.merge_lists(parts).collect())) == want
+    plan = P.merge_lists(row_lists(extract_fields(pages), stem=False))._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list(struct(first" in plan
+
+
+def test_postings_are_decoded_without_patterns(spark):
+    cols = ["t", "i", "b", "c", "r", "l"]
+    rows = [(10**12 + k, *(k * 37 if k >> n & 1 else 0 for n in range(6))) for k in range(1, 64)]
+    df = spark.createDataFrame(rows, "doc_ord long, " + ", ".join(f"{c} int" for c in cols))
+    found = df.select(decode_posting(F.substring(encode_posting(), 2, 100)).alias("p")).select("p.*")
+    assert sorted(map(tuple, found.collect())) == rows and "regexp" not in found._jdf.queryExecution().optimizedPlan().toString()
