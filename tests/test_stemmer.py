@@ -1,5 +1,6 @@
 import pytest
 
+from quillstone.functions import porter2
 from quillstone.functions.porter2 import EXCEPTIONS, INVARIANTS, stem
 
 # Pairs from the published sample vocabulary of the algorithm.
@@ -41,3 +42,12 @@ def test_rules():
 def test_words_with_a_stem_of_their_own():
     assert all(stem(w) == s for w, s in EXCEPTIONS.items())
     assert all(stem(w) == w and stem(w + "s") == w for w in INVARIANTS - {"proceed", "exceed", "succeed"})
+
+
+def test_a_word_without_a_suffix_is_compared_once():
+    class Once(tuple):
+        def __iter__(self):
+            raise AssertionError("suffixes are gone through")
+
+    assert porter2._longest("thor", Once(("ed", "ing"))) == ""
+    assert porter2._longest("agreed", ("ed", "eed")) == "eed" and porter2._regions("beautiful") == (5, 7) and porter2._regions("beau") == (4, 4)
