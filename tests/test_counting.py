@@ -6,7 +6,7 @@ from quillstone.functions.scoring import FIELDS, decode_posting, encode_posting
 from quillstone.functions.text import INDEX_V2, tokens
 from quillstone.operators import counting
 from quillstone.operators import postings as P
-from quillstone.operators.counting import row_lists, row_postings
+from quillstone.operators.counting import positional_postings, row_lists, row_postings
 from quillstone.operators.extract import extract_fields
 from quillstone.runtime import BATCH_SETTINGS, bounded_batches
 
@@ -81,3 +81,11 @@ def test_postings_are_decoded_without_patterns(spark):
     df = spark.createDataFrame(rows, "doc_ord long, " + ", ".join(f"{c} int" for c in cols))
     found = df.select(decode_posting(F.substring(encode_posting(), 2, 100)).alias("p")).select("p.*")
     assert sorted(map(tuple, found.collect())) == rows and "regexp" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_places_are_made_of_texts(spark):
+    """No expression makes an array of tokens before Python gets a page."""
+    pages = spark.createDataFrame([(1, "A title", "some text")], "doc_ord long, title string, text string")
+    for made in (positional_postings, row_postings):
+        plan = made(extract_fields(pages), stem=False)._jdf.queryExecution().optimizedPlan().toString()
+        assert "[A-Za-z]+" not in plan
