@@ -16,7 +16,7 @@ from ..functions.stemming import stemmer
 from ..functions.stopwords import STOP_WORDS
 from ..functions.text import INDEX_V2, tokens
 from .counting import places
-from .search import bounded
+from .search import among, bounded
 
 QUOTED = r'"([^"]*)"'
 NEAR = r"^NEAR/([1-9][0-9]*)$"
@@ -89,7 +89,7 @@ def search_positional(lines: DataFrame, positions: DataFrame, n_docs: DataFrame,
     """
     terms, words = bounded(parse_positional(lines, stem))
     if words is not None:
-        positions = positions.where(F.col("token").isin(words))
+        positions = positions.where(among(words))
     weight = F.create_map(*(F.lit(x) for pair in WEIGHTS.items() for x in pair))
     held = matches(terms, positions).groupBy("query_id", "clause", "doc_ord").agg(F.sum(F.col("n") * weight[F.col("field")]).alias("tf"))
     rare = held.groupBy("query_id", "clause").agg(F.count("*").alias("df"))

@@ -1,3 +1,4 @@
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -89,3 +90,39 @@ def test_places_are_made_of_texts(spark):
     for made in (positional_postings, row_postings):
         plan = made(extract_fields(pages), stem=False)._jdf.queryExecution().optimizedPlan().toString()
         assert "[A-Za-z]+" not in plan
+
+
+def test_slices_put_small_batches_together():
+    """One filtering and one sort of words for many small batches, and no slice of more tokens than asked for but a longer page."""
+    small = [batch([[["one", "two"]]]) for _ in range(7)]
+    assert [b.num_rows for b in counting._slices(small, 36)] == [3, 3, 1]
+    assert [b.num_rows for b in counting._slices([batch(PAGES)], 1)] == [1, 2, 1, 1, 1]
+    assert [b.num_rows for b in counting._slices(small, 1 << 18)] == [7] and not list(counting._slices([batch([])], 20))
+
+
+def test_postings_of_a_slice_are_sorted():
+    """By token, byte by byte, and document, whatever the order of pages and words."""
+    pages = batch([[["zeta", "Zeta", "alpha"]], [["alpha", "z"]], [["zeta", "alpha"], ["ab1"]]]).set_column(0, "doc_ord", pa.array([9, 3, 5], pa.int64()))
+    for placed in (False, True):
+        (found,) = counting._counts(INDEX_V2, False, (), placed)([pages])
+        rows = list(zip(*(found.column(c).to_pylist() for c in ("token", "doc_ord")), strict=True))
+        assert rows == [("Zeta", 9), ("ab1", 5), ("alpha", 3), ("alpha", 5), ("alpha", 9), ("zeta", 5), ("zeta", 9)]
+
+
+def test_lists_are_put_together_before_they_leave_a_worker(monkeypatch):
+    """Slices' lists of a token and chunk become one row where their documents lie apart; their words aren't sorted again."""
+    monkeypatch.setattr(counting, "SLICE_TOKENS", 6)
+    made = lambda docs: [tuple(r.values()) for b in counting._lists(INDEX_V2, False, (), 10)([batch([[["one"]]] * len(docs)).set_column(0, "doc_ord", pa.array(docs, pa.int64()))]) for r in b.to_pylist()]
+    each = "t1i1b1c1r1l1"
+    assert made([1, 2, 8, 11]) == [("one", 0, 1, 8, f"d1{each}d2{each}d8{each}"), ("one", 1, 11, 11, f"d11{each}")]
+    assert sorted(made([4, 4, 1])) == [("one", 0, 1, 4, f"d1{each}d4{each}"), ("one", 0, 4, 4, f"d4{each}")]
+
+
+def test_posting_texts_of_any_counts(spark):
+    """Counts by few or many values, small or large, are written as encode_posting() writes them."""
+    rows = [(d, *((d * 37 + f * 11) % m * (d >> f & 1) for f, m in enumerate((2, 3, 500, 7, 1 << 20, 90_000)))) for d in range(1, 64)]
+    df = spark.createDataFrame(rows, "doc_ord long, " + ", ".join(f"{f} int" for f in FIELDS))
+    want = [r["p"] for r in df.orderBy("doc_ord").select(encode_posting().alias("p")).collect()]
+    number = np.arange(len(rows))
+    c = counting._Counted(pa.array(["w"]), pa.array([r[0] for r in rows]), number * 0, number, [np.array(x, np.int32) for x in zip(*(r[1:] for r in rows), strict=True)], number, number, number)
+    assert counting._encoded(c).to_pylist() == want

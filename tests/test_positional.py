@@ -9,6 +9,8 @@ from quillstone.operators import search as S
 from quillstone.operators.counting import places, positional_postings, row_postings
 from quillstone.operators.extract import extract_fields
 from quillstone.operators.positional import matches, parse_positional, search_positional
+from quillstone.operators.search import among
+from quillstone.plans.build import build_index, load
 
 WORDS = ["thor", "hammer", "the", "storm", "a1b", "odin"]
 
@@ -108,3 +110,19 @@ def test_a_document_holds_every_clause_and_fragments_are_apart(spark, monkeypatc
     assert sorted(got) == sorted(want) and got[:3] == [(0, 0), (0, 3), (2, 0)]
     monkeypatch.setattr(S, "MAX_TERMS", 2)
     assert ask(*lines) == got
+
+
+def test_stored_postings_hold_the_places(spark, texts, tmp_path):
+    """Places are made, dealt and sorted with the postings; only rows of the words asked for reach the search."""
+    page = ("Thor runs", "{{Infobox thor | a = running runs}} thor {{infobox b}} thor's runs ==References== *[runs thor] *[thor] [[Category:Gods]] ==External links== * [http://a.b thor] * [run]")
+    pages = spark.createDataFrame([(i, "Page", t) for i, t in texts] + [(100, *page), (101, None, None)], "doc_ord long, title string, text string")
+    build_index(pages, str(tmp_path / "index"), stem=False, positions=True)
+    assert not (tmp_path / "index" / "positions").exists()
+    index = load(spark, str(tmp_path / "index"))
+    want = positional_postings(extract_fields(pages), stem=False)
+    assert index.positions.columns == want.columns and sorted(map(str, index.positions.collect())) == sorted(map(str, want.collect()))
+    assert index.postings.columns == row_postings(extract_fields(pages)).columns
+    words = [f"w{i}" for i in range(12)]  # a scan takes more than ten in one list for a range
+    plan = index.positions.where(among(words))._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(token,w1)" in plan
+    assert index.positions.where(among([])).count() == 0
